@@ -1,0 +1,37 @@
+"""Tables written to the shared folder of ``spark.checkpoint.dir``: they cut lineage and outlive executors."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only where none is set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="qaloom-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+class Tables:
+    """Intermediate tables of one run; ``drop`` removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            if found := self.paths.pop(id(df), None):
+                jvm = self.spark.sparkContext._jvm
+                path = jvm.org.apache.hadoop.fs.Path(found[1])
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
