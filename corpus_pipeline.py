@@ -1,11 +1,19 @@
-"""The corpus pipeline: quality rules first; further stages follow."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, packing.
+
+Each stage takes what its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from qaloom.llm.durable import Tables
+from qaloom.llm.mixing import mix_sources
+from qaloom.llm.ngram_join import ngram_components
+from qaloom.llm.packing import pack
 from qaloom.llm.quality import quality_rules
+from qaloom.llm.secrets import masked, scan_secrets
 from qaloom.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,12 +25,67 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, carry=COLUMNS).where(F.col("kept")).select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality)]
-ORACLE_SQL = None
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near duplicates; of equal rows, one."""
+    ship(spark)
+    kept = ngram_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    once = Window.partitionBy("doc_id", "_same").orderBy("lang", "source")
+    return (
+        docs.select(*COLUMNS)
+        .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+        .withColumn("_same", F.xxhash64("text"))
+        .withColumn("_nth", F.row_number().over(once))
+        .where("_nth = 1")
+        .select(*COLUMNS)
+    )
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    found = scan_secrets(docs.select(*COLUMNS))
+    some = F.size("secret_spans") > 0
+    text = masked(F.col("text"), F.col("secret_spans"))
+    out = found.withColumn("text", text)
+    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the one that ends a source's quota is cut to its first words."""
+    mixed = mix_sources(docs, carry=COLUMNS)
+    words = F.col("segments")
+    epochs = F.array_distinct(F.transform(words, lambda s: s["epoch"]))
+    taken = F.transform(epochs, lambda e: F.aggregate(F.filter(words, lambda s: s["epoch"] == e), F.lit(0).cast("long"), lambda a, s: a + s["words"]))
+    rows = mixed.select(*COLUMNS, "size", F.explode(taken).alias("_words"))
+    first = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), 1, F.col("_words").cast("int"))
+    cut = F.col("_words") < F.col("size")
+    rows = rows.withColumn("text", F.when(cut, F.array_join(first, " ")).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document's ids goes."""
+    ship(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scans", secrets),
+    ("source_mixing", mixture),
+    ("best_fit_packing", packing),
+]
+ORACLE_SQL = None  # tokenizer ids and n-gram coverage are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    tables = Tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            out = tables.save(out)
+            tables.drop(docs)
+        docs = out
     return docs

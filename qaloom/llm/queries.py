@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from qaloom.llm.mixing import mix_sources
 from qaloom.llm.ngram_join import ngram_components
+from qaloom.llm.packing import pack
 from qaloom.llm.quality import quality_rules
+from qaloom.llm.secrets import count_kind, listed, scan_secrets
 from qaloom.shipping import ship
 from qaloom.sources.tables import table
 
@@ -17,11 +22,27 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base_spans")
+    counts = [count_kind(base, k).alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("segments")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0])))
