@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from qaloom.llm.embed_join import embedding_components
 from qaloom.llm.mixing import mix_sources
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
@@ -22,6 +23,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pack(table(spark, sf_dir, "documents"))
