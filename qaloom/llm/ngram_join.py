@@ -9,7 +9,8 @@ verify; a pair then needs min(l, l') shared prefix tokens before its exact overl
 What moves: packed blocks of tokens once, to learn which tokens occur in two classes or more;
 afterwards only such tokens, and only of sets of which at least ceil(t n) tokens are of that kind.
 Components, not pairs, are the result, so a group of near copies isn't expanded: members are first
-linked with one leader, and the prefix join then skips pairs that are already in one component.
+linked with its most typical member, and the prefix join then skips pairs that are already in one
+component.  Sets that stay apart meet the others in chunks, not pair by pair.
 
 Hashes have 64 bits.  Among 3e10 different sets about 25 pairs may be taken for equal.
 """
@@ -34,6 +35,8 @@ MOST_MATCHES = 16
 VERIFY_COST = 0.05  # of one token of a candidate, in posting entries read
 BLOCK_BYTES = 16 << 20  # text bytes gathered into one set of blocks
 GROUP_TOKENS = 3_000_000  # tokens that one group of blocks is sized for
+CHUNK_SETS = 128  # open sets that meet others together
+MEETING_TOKENS = 1_000_000  # tokens that one meeting's other side is sized for
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +178,10 @@ def choose_matches(freq: np.ndarray, n: int, least: int) -> tuple[int, int]:
 
 
 def _prefixes(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(cls, n, l, prefix, tokens) of the sets that can be similar to another set."""
+    """(cls, n, l, weight, prefix, tokens) of the sets that can be similar to another set.
+
+    ``weight``, the mean frequency of the tokens, tells how typical a set is of its group.
+    """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         cls, n = _joined(pdf, "cls", np.int64), _joined(pdf, "n", np.uint32).astype(np.int64)
@@ -188,10 +194,10 @@ def _prefixes(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             least = int(_least_overlap(n[i], similarity))
             if j - i >= least:
                 l, inside = choose_matches(freq[i:j], int(n[i]), least)
-                rows.append((int(cls[i]), int(n[i]), l, tokens[i : i + inside], tokens[i:j]))
-        return pd.DataFrame(rows, columns=["cls", "n", "l", "prefix", "tokens"])
+                rows.append((int(cls[i]), int(n[i]), l, int(freq[i:j].sum() // n[i]), tokens[i : i + inside], tokens[i:j]))
+        return pd.DataFrame(rows, columns=["cls", "n", "l", "weight", "prefix", "tokens"])
 
-    return shared.groupBy("part").applyInPandas(choose, "cls long, n long, l int, prefix array<long>, tokens array<long>")
+    return shared.groupBy("part").applyInPandas(choose, "cls long, n long, l int, weight long, prefix array<long>, tokens array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -208,35 +214,79 @@ def _fits(x: Column, y: Column, similarity: tuple[int, int]) -> Column:
     return (b * x >= a * y) & (b * y >= a * x)
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left shares with each on the right; sets have no repeats."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    tokens = np.concatenate([*left, np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    for j, other in enumerate(right):
+        lo, hi = np.searchsorted(tokens, other), np.searchsorted(tokens, other, "right")
+        each = hi - lo
+        at = np.repeat(lo - np.cumsum(each) + each, each) + np.arange(each.sum())
+        out[:, j] = np.bincount(owner[at], minlength=len(left))
+    return out
+
+
+def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFrame, similarity: tuple[int, int], tables: Tables) -> DataFrame:
+    """All similar pairs (a, b) of classes that the leaders have left in different components.
+
+    A class is open if a posting list holds it and mostly another component.  Open classes form
+    chunks of those with one leader; a chunk meets each class that shares enough prefix tokens with
+    it once, and inside such a meeting the pairs' own prefixes and sets decide.
+    """
+    num, den = similarity
+    known = entries.join(label, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "l", F.coalesce("component", "cls").alias("comp"))
+    main = known.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"))
+    lists = tables.save(known.join(main.where("comps > 1").drop("comps"), "token"))
+    opened = lists.where("comp <> main").select("cls", "comp").distinct().join(leads, F.col("cls") == F.col("a"), "left")
+    opened = opened.select("cls", "comp", F.coalesce("b", "cls").alias("lead"))
+    of_lead = opened.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK_SETS).alias("parts"))
+    opened = tables.save(opened.join(of_lead, "lead"))
+    chunks = max(1, -(-opened.count() // CHUNK_SETS))
+    chunk = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("cls"), "parts")), F.lit(2 * chunks))
+    opened = tables.save(opened.select("cls", "comp", chunk.alias("chunk")))
+    asked = lists.join(opened.select("cls", "chunk"), "cls").groupBy("chunk", "token").agg(F.min("l").alias("least"))
+    met = asked.join(lists.select("token", "cls", "l"), "token").groupBy("chunk", "cls").agg(F.count("*").alias("shared"), F.min(F.least("least", "l")).alias("need"))
+    met = tables.save(met.where("shared >= need").select("chunk", "cls"))
+    size = met.join(sets.select("cls", "n"), "cls").groupBy("chunk").agg(F.ceil(F.sum("n") / MEETING_TOKENS).alias("parts"))
+    size = tables.save(size)
+    full = sets.join(label, F.col("cls") == F.col("node"), "left").select("cls", "n", "l", F.coalesce("component", "cls").alias("comp"), "prefix", "tokens")
+    own = opened.select("cls", "chunk").join(size, "chunk").select("cls", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(full, "cls")
+    other = met.join(size, "chunk").select("cls", "chunk", F.pmod(F.xxhash64("cls"), "parts").alias("part")).join(full, "cls")
+
+    own, other = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (own, other))  # columns of their own
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(x) and len(y):
+            col = lambda f, c: f[c].to_numpy()
+            arrays = lambda f, c: [np.asarray(v, np.int64) for v in f[c]]
+            may = overlaps(arrays(x, "prefix"), arrays(y, "prefix")) >= np.minimum(col(x, "l")[:, None], col(y, "l")[None, :])
+            may &= col(x, "comp")[:, None] != col(y, "comp")[None, :]
+            rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+            tx, ty, nx, ny = arrays(x, "tokens"), arrays(y, "tokens"), col(x, "n"), col(y, "n")
+            both = overlaps([tx[i] for i in rows], [ty[j] for j in cols])
+            alike = den * both >= num * (nx[rows][:, None] + ny[cols][None, :] - both)
+            i, j = np.nonzero(alike & may[np.ix_(rows, cols)])
+            found = [col(x, "cls")[rows[i]], col(y, "cls")[cols[j]]]
+        return pd.DataFrame({"a": found[0], "b": found[1]} if len(found) else {"a": [], "b": []}).astype("int64")
+
+    return tables.save(own.groupBy("chunk", "part").cogroup(other.groupBy("chunk", "part")).applyInPandas(meet, "a long, b long"))
+
+
 def _class_components(sets: DataFrame, similarity: tuple[int, int], tables: Tables) -> DataFrame:
     """(node, component) of the classes that have a similar class."""
-    entries = sets.select("cls", "n", "l", F.explode("prefix").alias("token"))
-    links = label = None
-    for pick in (F.min, F.max):  # a leader of each posting list, twice
-        known = entries if label is None else entries.join(label, entries.cls == label.node, "left").select(entries["*"], F.coalesce("component", "cls").alias("comp"))
-        lead = known.groupBy("token").agg(pick(F.struct("n", "cls", *(["comp"] if label is not None else []))).alias("lead"))
-        met = known.join(lead, "token").where((F.col("cls") != F.col("lead.cls")) & _fits(F.col("n"), F.col("lead.n"), similarity))
-        if label is not None:
-            met = met.where("comp <> lead.comp")
-        best = met.groupBy("cls", F.col("lead.cls").alias("b")).count().groupBy(F.col("cls").alias("a")).agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        found = tables.save(_similar(best, sets, similarity))
-        links = found if links is None else links.unionByName(found)
-        label = tables.save(components(links, tables))
-    known = entries.join(label, entries.cls == label.node, "left").select(entries["*"], F.coalesce("component", "cls").alias("comp"))
-    main = (
-        known.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    )
-    open_ = tables.save(known.join(main, "token"))
-    x, y = open_.alias("x"), open_.where("comp <> main").alias("y")
-    pairs = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("x.main")) | (F.col("x.cls") < F.col("y.cls"))) & _fits(F.col("x.n"), F.col("y.n"), similarity))
-        .groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("need"))
-        .where("shared >= need")
-        .select("a", "b")
-    )
-    links = links.unionByName(tables.save(_similar(pairs, sets, similarity)))
+    entries = sets.select("cls", "n", "l", "weight", F.explode("prefix").alias("token"))
+    # First, each class and the most typical class of its posting lists that it meets most often.
+    lead = entries.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1")
+    meets = entries.join(lead, "token").where((F.col("cls") != F.col("lead.cls")) & _fits(F.col("n"), F.col("lead.n"), similarity))
+    votes = meets.groupBy("cls", F.col("lead.cls").alias("b")).count().groupBy(F.col("cls").alias("a"))
+    leads = tables.save(votes.agg(F.max_by("b", F.struct("count", "b")).alias("b")))
+    links = tables.save(_similar(leads, sets, similarity))
+    label = tables.save(components(links, tables))
+    links = links.unionByName(_open_pairs(entries, leads, label, sets, similarity, tables))
     return tables.save(components(links, tables))
 
 
