@@ -15,6 +15,7 @@ from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
 from qaloom.llm.quality import quality_rules
 from qaloom.llm.secrets import count_kind, listed, scan_secrets
+from qaloom.llm.sharding import shard_documents
 from qaloom.llm.url_filter import filter_urls
 from qaloom.llm.wrapper import extract_pages
 from qaloom.shipping import ship
@@ -26,6 +27,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return embedding_components(table(spark, sf_dir, "embeddings"))
