@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from qaloom.plans import evaluation, texts
+from qaloom.plans.registry import Query
+from qaloom.shipping import ship
 
-from pyspark.sql import DataFrame, SparkSession
+_ALL = (evaluation.R, texts.R)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _shipped(query: Query) -> Query:
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _shipped(q) for r in _ALL for name, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in _ALL for name, sql in r.sql.items()}
