@@ -11,9 +11,11 @@ packed one by one, each with its own slots; no rows give no sequences; extra col
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.llm import textblocks as tb
-from qaloom.llm.durable import Tables
+from qaloom.sources.durable import Tables
 from qaloom.llm.ranks import running
 
 CAPACITY = 2048
 CLOSING_ID = 0
-KEEP_WORDS = 300_000  # cached words of a worker; beyond that the cache starts anew
-LONG_WORD = 64  # bytes; longer words aren't cached
+KEEP_WORDS = 3_000_000  # that a worker remembers, of about 30 bytes each
+WORD_END = "</w>"  # of the vocabulary's tokens that end a run of letters, a digit or a run of signs
+SIGNS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+CHUNK_BYTES = 4 << 20  # of text tokenized at once
 TOKENIZER = "word_bpe_49k.json"
 
 _loaded: dict[str, object] = {}
@@ -40,42 +44,102 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The vocabulary drops white space before it merges, so a text's ids are its words' ids one after
-    another, and a word needs to be merged only once.
+    another, and a word needs to be merged only once.  Words are known by 64-bit hashes, sorted,
+    beside the places of their ids in one array; a full memory starts anew.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def batch(self, texts: list[bytes]) -> list[list[int]]:
-        """The ids of each text."""
-        split = [t.split() for t in texts]
-        known = self.known
-        fresh = {w for words in split for w in words if w not in known}
-        if len(known) + len(fresh) > KEEP_WORDS:
-            known.clear()
-            fresh = {w for words in split for w in words}
-        new = list(fresh)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        for w in fresh:
-            if len(w) > LONG_WORD:
-                del known[w]
-        return out
+        ends = [t for t in self.model.get_vocab().items() if t[0].endswith(WORD_END)]
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for _, i in ends]] = True
+        self.signs = {s: _packed(self.model.encode(s.decode(), add_special_tokens=False).ids) for s in SIGNS} | {b"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def merge(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, ids) of words not seen before.
+
+        A word of letters only is one run to the tokenizer and ends with the only token marked so:
+        such words are encoded together, as one text, and cut apart after those tokens.  A sign
+        after the letters is a run of its own.
+        """
+        plain, bodies, rest = [], [], []
+        for w in words:
+            sign = w[-1:] if w[-1:] in SIGNS else b""
+            body = (w[:-1] if sign else w).decode("utf-8", "replace")
+            if body.isalpha() and (body.isascii() or (body.lower().isalpha() and is_normalized("NFC", body))):
+                plain.append((w, sign))
+                bodies.append(body)
+            else:
+                rest.append(w)
+        lines = [" ".join(bodies[i : i + 256]) for i in range(0, len(bodies), 256)]
+        ids = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([*ids, np.zeros(0, "<u4")])
+        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) == len(plain):
+            raw, at = ids.tobytes(), 0
+            for (w, sign), cut in zip(plain, cuts.tolist(), strict=True):
+                yield w, raw[at:cut] + self.signs[sign]
+                at = cut
+        else:
+            rest = words
+        for w, e in zip(rest, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
+            yield w, _packed(e.ids)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Remember words by their sorted hashes."""
+        known: dict[bytes, bytes] = {}
+        for i in range(0, len(words), 4096):
+            known.update(self.merge(words[i : i + 4096]))
+        packed = [known[w] for w in words]
+        lengths = np.array([len(x) // 4 for x in packed], np.int32)
+        fresh = np.frombuffer(b"".join(packed), "<u4")
+        while self.used + len(fresh) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+        self.ids[self.used : self.used + len(fresh)] = fresh
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(lengths) - lengths)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.used += len(fresh)
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, each with its closing id; where each row begins, and the end)."""
+        hashes, rows, begins, ends = tb.words(data, offsets, lower=False)
+        found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(found) > KEEP_WORDS:
+            self.forget()
+        at = np.searchsorted(self.hashes, found)
+        new = np.ones(len(found), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != found[inside]
+        if new.any():
+            base = int(offsets[0])
+            cut = [data[base + i : base + j].tobytes() for i, j in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            self.learn(found[new], cut)
+            at = np.searchsorted(self.hashes, found)
+        start, length = self.starts[at][back], self.lengths[at][back].astype(np.int64)
+        total, many = int(length.sum()), len(offsets) - 1
+        before = np.cumsum(length) - length
+        place = np.arange(total)
+        out = np.full(total + many, CLOSING_ID, "<u4")
+        out[place + np.repeat(rows, length)] = self.ids[place + np.repeat(start - before, length)]
+        size = np.bincount(rows, weights=length, minlength=many).astype(np.int64) + 1
+        return out, np.concatenate([[0], np.cumsum(size)])
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -92,21 +156,19 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, name:
         for batch in batches:
             data, offsets, _ = tb.string_column(batch, text_col)
             names = batch.column(0)
-            for i, j in tb.chunks(offsets):
-                texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
+            for i, j in tb.chunks(offsets, CHUNK_BYTES):
+                out, cuts = own.rows(data, offsets[i : j + 1])
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
-                for k, ids in enumerate(own.batch(texts)):
-                    ids.append(CLOSING_ID)
-                    raw = np.array(ids, "<u4").tobytes()
-                    for p, at in enumerate(range(0, len(ids), capacity)):
-                        part = raw[4 * at : 4 * (at + capacity)]
+                for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    for p, at in enumerate(range(lo, hi, capacity)):
+                        part = out[at : min(hi, at + capacity)]
                         row.append(i + k)
                         piece.append(p)
-                        start.append(at)
-                        length.append(len(part) // 4)
+                        start.append(at - lo)
+                        length.append(len(part))
                         crc.append(zlib.crc32(part))
                         if keep_ids:
-                            kept.append(part)
+                            kept.append(part.tobytes())
                 cols = [names.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 heads = ["id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
@@ -180,7 +242,9 @@ def pack(
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = plan_slots(counts, capacity)
     key = plan[:, 0] << 44 | plan[:, 1]
-    ranked = running(pieces, ["length"], ["id", "piece", "ids_crc32"], sum(counts.values()), to="rank")
+    table = F.array(*[F.lit(counts.get(k, 0)).cast("long") for k in range(capacity + 1)])
+    sized = pieces.withColumn("_rows", F.element_at(table, F.col("length").cast("int") + 1))
+    ranked = running(sized, ["length"], ["id", "piece", "ids_crc32"], sum(counts.values()), to="rank", key_rows="_rows")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
