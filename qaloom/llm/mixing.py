@@ -124,17 +124,17 @@ def mix_sources(
     got = split_tree(quotas, shards, seed)
     plan = [
         {
-            "p_source": r["_source"], "source_size": r["size"], "target": float(goal[i]), "want": want[i], "blocks": max(1, quotas[i]),
+            "p_source": r["_source"], "rows": r["rows"], "source_size": r["size"], "target": float(goal[i]), "want": want[i], "blocks": max(1, quotas[i]),
             "stride": _stride(max(1, quotas[i])), "ends": np.cumsum([g[i] for g in got]).tolist(),
         }
         for i, r in enumerate(sums)
     ]
-    kind = "array<struct<p_source:string,source_size:long,target:double,want:long,blocks:long,stride:long,ends:array<long>>>"
+    kind = "array<struct<p_source:string,rows:long,source_size:long,target:double,want:long,blocks:long,stride:long,ends:array<long>>>"
     plan_rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind)))
-    line = running(base, ["_source"], ["_hash", id_col], sum(r["rows"] for r in sums), "size", "_start")
     if len(plan) <= MOST_BROADCAST:
         plan_rows = F.broadcast(plan_rows)
-    line = line.join(plan_rows, F.col("_source").eqNullSafe(F.col("p_source")))
+    line = base.join(plan_rows, F.col("_source").eqNullSafe(F.col("p_source")))
+    line = running(line, ["_source"], ["_hash", id_col], sum(r["rows"] for r in sums), "size", "_start", key_rows="rows")
 
     total, want_, start, size = F.col("source_size"), F.col("want"), F.col("_start"), F.col("size")
     rounds = F.when((size > 0) & (want_ > start), _whole(want_ - start - 1, F.greatest(total, F.lit(1)))).otherwise(-1)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, value: str | None = None, to: str = "before", key_rows: str | None = None) -> DataFrame:
