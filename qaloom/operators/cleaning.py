@@ -225,7 +225,7 @@ def markdown(clean: DataFrame, doc: str = "doc") -> DataFrame:
     fields = [quote("source_pdf", F.col(doc)), *[quote(n, F.col(n)) for n in ("doc_id", "title", "dept", "issued", "rev", "valid_until")]]
     title = F.when(F.coalesce("title", F.lit("")) == "", F.col(doc)).otherwise(F.col("title"))
     text = F.concat_ws("\n", F.lit("---"), *fields, F.lit("---"), F.lit(""))
-    return clean.withColumn("markdown", F.concat(text, F.lit("\n# "), title, F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n")))
+    return clean.withColumn("markdown", F.concat(text, F.lit("# "), title, F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n")))
 
 
 def decode_pdfs(files: DataFrame, decoder: Callable[[bytes], list[dict]], slugs: DataFrame) -> DataFrame:
