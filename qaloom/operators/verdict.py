@@ -24,13 +24,12 @@ def _flag(raw: Column) -> Column:
 
 def parse(verdict: Column) -> Column:
     """The verdict as a struct; null where it isn't valid: malformed, a mark outside 1..5, a part missing."""
-    raw = F.from_json(verdict, _RAW)
-    marks = [_mark(raw[d]) for d in DIMENSIONS]
-    flag = _flag(raw["safety_flag"])
-    good = flag.isNotNull() & raw["reason"].isNotNull()
-    for m in marks:
-        good &= m.isNotNull()
-    return F.when(good, F.struct(*[m.alias(d) for m, d in zip(marks, DIMENSIONS, strict=True)], flag.alias("safety_flag"), raw["reason"].alias("reason")))
+
+    def checked(raw: Column) -> Column:
+        v = F.struct(*[_mark(raw[d]).alias(d) for d in DIMENSIONS], _flag(raw["safety_flag"]).alias("safety_flag"), raw["reason"].alias("reason"))
+        return F.filter(F.array(v), lambda x: ~F.exists(F.array(*[x[d].isNull() for d in (*DIMENSIONS, "safety_flag", "reason")]), lambda missing: missing))
+
+    return F.get(F.flatten(F.transform(F.array(F.from_json(verdict, _RAW)), checked)), F.lit(0))  # parsed once
 
 
 def weighted_tenths(v: Column | None = None) -> Column:

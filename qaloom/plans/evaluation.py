@@ -168,7 +168,7 @@ def verdict_validate(spark: SparkSession, d: str) -> DataFrame:
         F.lit('{"faithfulness": '), F.col("k") % 7, F.lit(', "accuracy": "'), F.col("k") % 5 + 1, F.lit('", "completeness": '), F.col("k") % 4 + 1, F.lit('.0, "clarity": '), F.col("k") % 3 + 1,
         F.when(F.col("k") % 11 == 0, ', "safety_flag": "maybe"').otherwise(', "safety_flag": false'), F.lit(', "extra": 1, "reason": "r"'), F.when(F.col("k") % 13 == 0, "").otherwise("}"),
     )
-    v = verdict.parse(marks)
+    rows, v = rows.select("event_id", verdict.parse(marks).alias("v")), F.col("v")
     return rows.select("event_id", v.isNotNull().alias("valid"), F.coalesce(verdict.weighted_tenths(v), F.lit(0)).alias("tenths"))
 
 
