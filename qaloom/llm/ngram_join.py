@@ -33,8 +33,9 @@ WORDS = 5
 SIMILARITY = (75, 100)  # a ratio of integers, so that no rounding decides
 MOST_MATCHES = 16
 VERIFY_COST = 0.05  # of one token of a candidate, in posting entries read
-BLOCK_BYTES = 16 << 20  # text bytes gathered into one set of blocks
-GROUP_TOKENS = 3_000_000  # tokens that one group of blocks is sized for
+BLOCK_BYTES = 8 << 20  # text bytes gathered into one set of blocks
+GROUP_TOKENS = 2_000_000  # tokens that one group of blocks is sized for
+RUN = 0xFFFF  # tokens of a set in one run of a block
 CHUNK_SETS = 128  # open sets that meet others together
 MEETING_TOKENS = 1_000_000  # tokens that one meeting's other side is sized for
 
@@ -81,6 +82,7 @@ def _signatures(df: DataFrame, words: int) -> DataFrame:
             for i, j in tb.chunks(offsets):
                 n, cls = class_ids(*token_sets(data, offsets[i : j + 1], words), j - i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(cls, mask=n == 0)], names=["id", "n", "cls"])
+        tb.release()
 
     return df.select("id", "text").mapInArrow(scan, "id long, n long, cls long")
 
@@ -101,7 +103,11 @@ def _blocks(df: DataFrame, words: int, parts: int) -> DataFrame:
         for p in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[p] : cuts[p + 1]]
             who, count = np.unique(owner[own], return_counts=True)
-            rows.append((int(p), cls[who].tobytes(), n[who].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), tokens[own].tobytes()))
+            runs = -(-count // RUN)  # of a set's tokens here; only very large sets have several
+            if runs.max() > 1:
+                last = np.cumsum(runs) - 1
+                who, count = np.repeat(who, runs), np.where(np.isin(np.arange(runs.sum()), last), np.repeat(count - RUN * (runs - 1), runs), RUN)
+            rows.append((int(p), cls[who].tobytes(), n[who].astype(np.uint32).tobytes(), count.astype(np.uint16).tobytes(), tokens[own].tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "cls", "n", "count", "tokens"])
 
@@ -120,6 +126,8 @@ def _blocks(df: DataFrame, words: int, parts: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from pack(held)
+        held.clear()
+        tb.release()
 
     return df.select("text").mapInArrow(scan, "part long, cls binary, n binary, count binary, tokens binary")
 
@@ -132,7 +140,7 @@ def _shared_tokens(blocks: DataFrame, parts: int) -> DataFrame:
     """Packed (class, size, token, frequency) of tokens in two classes or more, by part of the classes."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = _joined(pdf, "count", np.uint32)
+        each = _joined(pdf, "count", np.uint16)
         cls, n = np.repeat(_joined(pdf, "cls", np.int64), each), np.repeat(_joined(pdf, "n", np.uint32), each)
         tokens = _joined(pdf, "tokens", np.uint64)
         order = np.argsort(tokens)
@@ -158,6 +166,8 @@ def _shared_tokens(blocks: DataFrame, parts: int) -> DataFrame:
             for p in np.flatnonzero(np.diff(cuts))
             for own in [order[cuts[p] : cuts[p + 1]]]
         ]
+        del cls, n, tokens, freq, order, part
+        tb.release()
         return pd.DataFrame(rows, columns=["part", "cls", "n", "tokens", "freq"])
 
     return blocks.groupBy("part").applyInPandas(count, "part long, cls binary, n binary, tokens binary, freq binary")

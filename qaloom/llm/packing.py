@@ -28,10 +28,10 @@ from qaloom.llm.ranks import running
 
 CAPACITY = 2048
 CLOSING_ID = 0
-KEEP_WORDS = 3_000_000  # that a worker remembers, of about 30 bytes each
+KEEP_WORDS = 2_000_000  # that a worker remembers, of about 30 bytes each
 WORD_END = "</w>"  # of the vocabulary's tokens that end a run of letters, a digit or a run of signs
 SIGNS = frozenset((b".", b",", b";", b":", b"!", b"?"))
-CHUNK_BYTES = 4 << 20  # of text tokenized at once
+CHUNK_BYTES = 2 << 20  # of text tokenized at once
 TOKENIZER = "word_bpe_49k.json"
 
 _loaded: dict[str, object] = {}
@@ -174,6 +174,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, name:
                 if keep_ids:
                     cols, heads = [*cols, pa.array(kept, pa.binary())], [*heads, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=heads)
+        tb.release()
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias(text_col)).mapInArrow(
@@ -203,20 +204,20 @@ def plan_slots(counts: dict[int, int], capacity: int) -> np.ndarray:
         rank, left = 0, counts[length]
         while left:
             k = bisect_left(rooms, length)
+            room = rooms[k] if k < len(rooms) else capacity
+            each = room // length
             if k < len(rooms):
-                room = rooms[k]
                 first, many = groups[room].pop()
                 if not groups[room]:
                     del groups[room]
                     del rooms[k]
-                take = min(left, many)
+                take = min(many, max(1, left // each))
                 if take < many:
                     put(room, first + take, many - take)
             else:
-                each = capacity // length  # new sequences hold as many pieces as fit
-                room, first, take = capacity, fresh, max(1, left // each)
+                first, take = fresh, max(1, left // each)
                 fresh += take
-            fit = min(room // length, left // take)
+            fit = min(each, left // take)  # the last sequence of a length may get fewer
             for f in range(fit):
                 rows.append((length, rank, take, first, capacity - room + f * length))
                 rank += take

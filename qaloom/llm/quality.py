@@ -126,6 +126,7 @@ def quality_rules(
                 cols.append(pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * len(lengths), pa.int32()), pa.array(flat)))
                 cols += [pa.array(failed), pa.array(~failed & ~bad)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *[x.split()[0] for x in SCHEMA.split(", ")]])
+        tb.release()
 
     kinds = dict(df.select(*[F.col(f"`{c}`") for c in names]).dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + SCHEMA

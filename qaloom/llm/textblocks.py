@@ -6,6 +6,8 @@ multi-byte UTF-8 character, so words by bytes and words by code points are the s
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,14 @@ _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Hand freed memory back: a worker that waits between tasks should hold little."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    if name and hasattr(libc := ctypes.CDLL(name), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
