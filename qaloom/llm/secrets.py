@@ -113,15 +113,15 @@ def scan_secrets(df: DataFrame, text_col: str = "text", model: list[float] | Non
         model = train(labelled_samples(df.sparkSession))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     bare = lambda spans: F.transform(spans, lambda s: s.dropFields("match"))
-    out = df.withColumns({"_assign": _spans(text, ASSIGN, 0), "_access": _spans(text, ACCESS, 1), "_hex": _spans(text, HEX, 2), "_random": _spans(text, CANDIDATE, 3)})
-    strong = F.filter("_assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
-    keys = F.filter("_access", lambda s: F.length(s["match"]) >= 16)
-    out = out.withColumn("_base", F.array_sort(F.concat(bare(strong), bare(keys), bare(F.col("_hex")))))
-    beside = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    out = df.withColumns({"_qaloom_assign": _spans(text, ASSIGN, 0), "_qaloom_access": _spans(text, ACCESS, 1), "_qaloom_hex": _spans(text, HEX, 2), "_qaloom_random": _spans(text, CANDIDATE, 3)})
+    strong = F.filter("_qaloom_assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
+    keys = F.filter("_qaloom_access", lambda s: F.length(s["match"]) >= 16)
+    out = out.withColumn("_qaloom_base", F.array_sort(F.concat(bare(strong), bare(keys), bare(F.col("_qaloom_hex")))))
+    beside = lambda s: ~F.exists("_qaloom_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     mixed = lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]")
-    more = F.filter("_random", lambda s: F.when(mixed(s) & beside(s), ratio(s["match"], model) > margin).otherwise(False))
-    out = out.withColumn("_all", F.when(F.size("_random") > 0, F.array_sort(F.concat(F.col("_base"), bare(more)))).otherwise(F.col("_base")))
-    return out.withColumns({base_to: F.col("_base"), to: F.col("_all")}).drop("_assign", "_access", "_hex", "_random", "_base", "_all")
+    more = F.filter("_qaloom_random", lambda s: F.when(mixed(s) & beside(s), ratio(s["match"], model) > margin).otherwise(False))
+    out = out.withColumn("_qaloom_all", F.when(F.size("_qaloom_random") > 0, F.array_sort(F.concat(F.col("_qaloom_base"), bare(more)))).otherwise(F.col("_qaloom_base")))
+    return out.withColumns({base_to: F.col("_qaloom_base"), to: F.col("_qaloom_all")}).drop("_qaloom_assign", "_qaloom_access", "_qaloom_hex", "_qaloom_random", "_qaloom_base", "_qaloom_all")
 
 
 def listed(spans: Column) -> Column:

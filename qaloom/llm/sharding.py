@@ -45,12 +45,17 @@ def quotas(demand: list[list[int]], free: list[int]) -> list[list[int]]:
 
 
 def _votes(labels: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """(g, shard, votes): linked documents of each shard, a text's own ones and its neighbours'."""
+    """(g, shard, votes, lead): linked documents of each shard, a text's own ones and its neighbours'.
+
+    ``lead``, the least of a text and its neighbours, breaks ties, so that the ends of a link agree.
+    """
     own = labels.select("g", "shard", F.col("cnt").alias("votes"))
     if edges is None:
-        return own
+        return own.withColumn("lead", F.col("g"))
     near = edges.join(labels.withColumnRenamed("g", "h"), "h").select("g", "shard", (F.col("weight") * F.col("cnt")).alias("votes"))
-    return own.unionByName(near).groupBy("g", "shard").agg(F.sum("votes").alias("votes"))
+    least = edges.groupBy("g").agg(F.min("h").alias("least"))
+    votes = own.unionByName(near).groupBy("g", "shard").agg(F.sum("votes").alias("votes")).join(least, "g", "left")
+    return votes.withColumn("lead", F.coalesce(F.least("g", "least"), "g")).drop("least")
 
 
 def _round(labels: DataFrame, edges: DataFrame | None, caps: list[int], only_free: bool, tables: Tables) -> tuple[DataFrame, int]:
@@ -58,7 +63,7 @@ def _round(labels: DataFrame, edges: DataFrame | None, caps: list[int], only_fre
     shards = len(caps)
     held = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.sum("cnt").alias("n")).collect()}
     free = [c - held.get(j, 0) for j, c in enumerate(caps)]
-    rank = F.struct("votes", F.xxhash64("g", "shard"), "shard")
+    rank = F.struct("votes", F.xxhash64("lead", "shard"), "shard")
     votes = _votes(labels, edges).withColumn("rank", rank)
     open_ = [j for j in range(shards) if free[j] > 0 or not only_free]
     best = votes.where(F.col("shard").isin(open_)).groupBy("g").agg(F.max("rank").alias("best"))
