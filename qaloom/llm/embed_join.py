@@ -30,7 +30,7 @@ from qaloom.sources.durable import Tables
 
 COSINE = 0.9
 BLOCK_DIMS = 8
-SLICE_ROWS = 8192
+SLICE_ROWS = 16384
 SEED = 20240229
 SLACK = 1e-4  # added to the budget, for single-precision block distances
 CHUNK = 512  # rows of a slice compared at once
@@ -158,9 +158,10 @@ def _pairs(classes: DataFrame, dims: int, cosine: float, slice_rows: int) -> Dat
 def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per row: id, n_links (other rows linked directly), component_id, kept (id = component_id)."""
     tables = Tables(df.sparkSession)
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
+    kind = "float" if dict(df.dtypes)[vector_col] == "array<float>" else "double"  # single-precision vectors move as such
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{kind}>").alias("embedding"))
     # -0.0 and 0.0 are one component value
-    clean = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).withColumn("usable", _usable())
+    clean = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind))).withColumn("usable", _usable())
     key = F.when(F.col("usable"), F.sha2(F.to_json("embedding"), 256))
     signs = tables.save(clean.select("id", key.alias("key")))
     classes = clean.where("usable").groupBy(key.alias("key")).agg(F.min("id").alias("least"), F.count("*").alias("size"), F.any_value("embedding").alias("embedding"))
