@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
+from qaloom.llm import oracles
 from qaloom.llm.chat import format_chat, read_back
 from qaloom.llm.embed_join import embedding_components
 from qaloom.llm.mixing import mix_sources
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
-from qaloom.llm.quality import quality_rules
+from qaloom.llm.quality import COVERAGE, quality_rules
 from qaloom.llm.secrets import count_kind, listed, scan_secrets
 from qaloom.llm.sharding import shard_documents
 from qaloom.llm.url_filter import filter_urls
@@ -43,7 +43,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return quality_rules(table(spark, sf_dir, "documents"))
+    rules = quality_rules(table(spark, sf_dir, "documents"))
+    grams = {f"gram_chars_{n}": F.col("gram_chars")[k] for k, n in enumerate(sorted(COVERAGE))}
+    return rules.withColumns(grams).drop("gram_chars")
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "op8_chat_formatting": oracles.OP8}
