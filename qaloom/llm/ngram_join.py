@@ -6,8 +6,9 @@ least l tokens among the first ``n - ceil(t n) + l`` of each, for every l.  Each
 that costs it least, by the length of its posting lists and the estimated number of candidates to
 verify; a pair then needs min(l, l') shared prefix tokens before its exact overlap is computed.
 
-What moves: packed blocks of tokens once, to learn which tokens occur in two classes or more;
-afterwards only such tokens, and only of sets of which at least ceil(t n) tokens are of that kind.
+What moves: packed blocks of tokens once, to learn which tokens occur in two classes or more.  Tokens
+that crowd a block of texts, such as those of a common passage, are counted while texts are read, and
+don't move for that: no group holds a hot token's sets.  Afterwards only such tokens, and only of sets of which at least ceil(t n) tokens are of that kind.
 Components, not pairs, are the result, so a group of near copies isn't expanded: members are first
 linked with its most typical member, and the prefix join then skips pairs that are already in one
 component.  Sets that stay apart meet the others in chunks, not pair by pair.
@@ -17,7 +18,7 @@ Hashes have 64 bits.  Among 3e10 different sets about 25 pairs may be taken for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,11 @@ WORDS = 5
 SIMILARITY = (75, 100)  # a ratio of integers, so that no rounding decides
 MOST_MATCHES = 16
 VERIFY_COST = 0.05  # of one token of a candidate, in posting entries read
-BLOCK_BYTES = 8 << 20  # text bytes gathered into one set of blocks
+BLOCK_BYTES = 6 << 20  # text bytes gathered into one set of blocks
 GROUP_TOKENS = 2_000_000  # tokens that one group of blocks is sized for
+HOT_LEAST, HOT_SHARE = 16, 128  # a token is hot if so many sets of a block, and one in so many, hold it
+MOST_HOT = 500_000  # hot tokens that every task knows: 8 MB
+SHARED = "part long, cls binary, n binary, tokens binary, freq binary"
 RUN = 0xFFFF  # tokens of a set in one run of a block
 CHUNK_SETS = 128  # open sets that meet others together
 MEETING_TOKENS = 1_000_000  # tokens that one meeting's other side is sized for
@@ -73,71 +77,140 @@ def _least_overlap(n: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     return (a * n + b - 1) // b
 
 
+def _distinct_sets(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, size) of one set of each class, and (place in those, token) of their tokens."""
+    cls, n, tokens = (np.concatenate(x) for x in zip(*sets, strict=True))
+    _, first = np.unique(cls, return_index=True)
+    first.sort()
+    take = np.repeat(np.isin(np.arange(len(n)), first), n)
+    return cls[first], n[first], np.repeat(np.arange(len(first)), n[first]), tokens[take]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], words: int, each: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct sets of about BLOCK_BYTES of texts at a time; ``each`` sees every chunk of rows."""
+    held, size = [], 0
+    for batch in batches:
+        data, offsets, _ = tb.string_column(batch, "text")
+        for i, j in tb.chunks(offsets):
+            owner, tokens = token_sets(data, offsets[i : j + 1], words)
+            n, cls = class_ids(owner, tokens, j - i)
+            if each:
+                each(batch, i, j, n, cls)
+            some = n > 0
+            held.append((cls[some], n[some], tokens))
+            size += int(offsets[j] - offsets[i])
+            if size >= BLOCK_BYTES:
+                yield _distinct_sets(held)
+                held, size = [], 0
+    if held:
+        yield _distinct_sets(held)
+    held.clear()
+    tb.release()
+
+
 def _signatures(df: DataFrame, words: int) -> DataFrame:
-    """(id, n, cls) per row; cls is null for an empty set."""
+    """(id, n, cls) per row, cls null for an empty set; and rows of n -1 with (hot, many): tokens that
+    many sets of one block hold."""
+    names = ["id", "n", "cls", "hot", "many"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets, _ = tb.string_column(batch, "text")
-            for i, j in tb.chunks(offsets):
-                n, cls = class_ids(*token_sets(data, offsets[i : j + 1], words), j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(cls, mask=n == 0)], names=["id", "n", "cls"])
-        tb.release()
+        rows: list[pa.RecordBatch] = []
 
-    return df.select("id", "text").mapInArrow(scan, "id long, n long, cls long")
+        def sign(batch: pa.RecordBatch, i: int, j: int, n: np.ndarray, cls: np.ndarray) -> None:
+            none = pa.nulls(j - i, pa.int64())
+            rows.append(pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(cls, mask=n == 0), none, none], names=names))
 
+        for cls, _, _, tokens in _gathered(batches, words, sign):
+            found, many = np.unique(tokens, return_counts=True)
+            hot = many >= max(HOT_LEAST, len(cls) // HOT_SHARE)
+            none = pa.nulls(int(hot.sum()), pa.int64())
+            rows.append(pa.RecordBatch.from_arrays([none, pa.array(np.full(len(none), -1)), none, pa.array(found[hot].view(np.int64)), pa.array(many[hot].astype(np.int64))], names=names))
+            yield from rows
+            rows.clear()
+        yield from rows
 
-def _blocks(df: DataFrame, words: int, parts: int) -> DataFrame:
-    """Packed tokens by part of the token space: classes, set sizes, tokens per class, tokens."""
+    return df.select("id", "text").mapInArrow(scan, "id long, n long, cls long, hot long, many long")
+
+
+def _hot_tokens(signs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(token, frequency), by token, of at most MOST_HOT tokens: the most frequent of those that crowd a block.
+
+    Any set of tokens would do: those left out are counted like the others.
+    """
+    top = signs.where("n < 0").groupBy("hot").agg(F.sum("many").alias("many")).orderBy(F.desc("many"), "hot").limit(MOST_HOT)
+    rows = top.toPandas()
+    token, freq = rows["hot"].to_numpy(np.int64).view(np.uint64), np.minimum(rows["many"].to_numpy(np.int64), 0xFFFFFFFF)
+    order = np.argsort(token)
+    return token[order], freq[order]
+
+
+def _is_hot(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(hot, tokens)
+    out = np.zeros(len(tokens), bool)
+    inside = at < len(hot)
+    out[inside] = hot[at[inside]] == tokens[inside]
+    return out
+
+
+def _parted(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of 64-bit keys dealt to equal ranges."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    for p in np.flatnonzero(np.diff(cuts)):
+        yield int(p), order[cuts[p] : cuts[p + 1]]
 
-    def pack(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        cls, n, tokens = (np.concatenate(x) for x in zip(*sets, strict=True))
-        _, first = np.unique(cls, return_index=True)  # one set of each class
-        first.sort()
-        take = np.repeat(np.isin(np.arange(len(n)), first), n)
-        owner, tokens, cls, n = np.repeat(np.arange(len(first)), n[first]), tokens[take], cls[first], n[first]
-        part = (tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-        rows = []
-        for p in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[p] : cuts[p + 1]]
-            who, count = np.unique(owner[own], return_counts=True)
-            runs = -(-count // RUN)  # of a set's tokens here; only very large sets have several
-            if runs.max() > 1:
-                last = np.cumsum(runs) - 1
-                who, count = np.repeat(who, runs), np.where(np.isin(np.arange(runs.sum()), last), np.repeat(count - RUN * (runs - 1), runs), RUN)
-            rows.append((int(p), cls[who].tobytes(), n[who].astype(np.uint32).tobytes(), count.astype(np.uint16).tobytes(), tokens[own].tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "cls", "n", "count", "tokens"])
+
+def _blocks(df: DataFrame, words: int, parts: int, hot: np.ndarray) -> DataFrame:
+    """Packed tokens by part of the token space, without hot ones: classes, set sizes, tokens per class, tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            data, offsets, _ = tb.string_column(batch, "text")
-            for i, j in tb.chunks(offsets):
-                owner, tokens = token_sets(data, offsets[i : j + 1], words)
-                n, cls = class_ids(owner, tokens, j - i)
-                some = n > 0
-                held.append((cls[some], n[some], tokens))
-                size += int(offsets[j] - offsets[i])
-                if size >= BLOCK_BYTES:
-                    yield from pack(held)
-                    held, size = [], 0
-        if held:
-            yield from pack(held)
-        held.clear()
-        tb.release()
+        for cls, n, owner, tokens in _gathered(batches, words):
+            cold = ~_is_hot(tokens, hot)
+            owner, tokens, rows = owner[cold], tokens[cold], []
+            for p, own in _parted(tokens, parts):
+                who, count = np.unique(owner[own], return_counts=True)
+                runs = -(-count // RUN)  # of a set's tokens here; only very large sets have several
+                if runs.max() > 1:
+                    last = np.cumsum(runs) - 1
+                    who, count = np.repeat(who, runs), np.where(np.isin(np.arange(runs.sum()), last), np.repeat(count - RUN * (runs - 1), runs), RUN)
+                rows.append((p, cls[who].tobytes(), n[who].astype(np.uint32).tobytes(), count.astype(np.uint16).tobytes(), tokens[own].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "cls", "n", "count", "tokens"])
 
     return df.select("text").mapInArrow(scan, "part long, cls binary, n binary, count binary, tokens binary")
 
 
+def _packed(cls: np.ndarray, n: np.ndarray, tokens: np.ndarray, freq: np.ndarray, parts: int) -> pd.DataFrame:
+    """Rows of SHARED, by part of the classes."""
+    kinds = ((cls, np.int64), (n, np.uint32), (tokens, np.uint64), (freq, np.uint32))
+    rows = [(p, *(x[own].astype(k).tobytes() for x, k in kinds)) for p, own in _parted(cls.view(np.uint64), parts)]
+    return pd.DataFrame(rows, columns=["part", "cls", "n", "tokens", "freq"])
+
+
+def _hot_entries(df: DataFrame, words: int, parts: int, hot: np.ndarray, freq: np.ndarray) -> DataFrame:
+    """The hot tokens of every set, in SHARED: their frequencies are known, so nothing of them has to meet.
+
+    Copies in several blocks come several times.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cls, n, owner, tokens in _gathered(batches, words):
+            own = _is_hot(tokens, hot)
+            owner, tokens = owner[own], tokens[own]
+            out = _packed(cls[owner], n[owner], tokens, freq[np.searchsorted(hot, tokens)], parts)
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    return df.select("text").mapInArrow(scan, SHARED)
+
+
 def _joined(pdf: pd.DataFrame, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(pdf[name]), kind)
 
 
 def _shared_tokens(blocks: DataFrame, parts: int) -> DataFrame:
-    """Packed (class, size, token, frequency) of tokens in two classes or more, by part of the classes."""
+    """SHARED of the blocks' tokens that two classes or more hold."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         each = _joined(pdf, "count", np.uint16)
@@ -157,20 +230,12 @@ def _shared_tokens(blocks: DataFrame, parts: int) -> DataFrame:
         cls, n, tokens = cls[new], n[new], tokens[new]
         _, back, freq = np.unique(tokens, return_inverse=True, return_counts=True)
         freq = freq[back]
-        cls, n, tokens, freq = (x[freq >= 2] for x in (cls, n, tokens, freq))
-        part = (cls.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-        rows = [
-            (int(p), *(x[own].astype(k).tobytes() for x, k in ((cls, np.int64), (n, np.uint32), (tokens, np.uint64), (freq, np.uint32))))
-            for p in np.flatnonzero(np.diff(cuts))
-            for own in [order[cuts[p] : cuts[p + 1]]]
-        ]
-        del cls, n, tokens, freq, order, part
+        out = _packed(*(x[freq >= 2] for x in (cls, n, tokens, freq)), parts)
+        del cls, n, tokens, freq, order, back
         tb.release()
-        return pd.DataFrame(rows, columns=["part", "cls", "n", "tokens", "freq"])
+        return out
 
-    return blocks.groupBy("part").applyInPandas(count, "part long, cls binary, n binary, tokens binary, freq binary")
+    return blocks.groupBy("part").applyInPandas(count, SHARED)
 
 
 def choose_matches(freq: np.ndarray, n: int, least: int) -> tuple[int, int]:
@@ -198,6 +263,9 @@ def _prefixes(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         tokens, freq = _joined(pdf, "tokens", np.uint64), _joined(pdf, "freq", np.uint32).astype(np.int64)
         order = np.lexsort((tokens, freq, cls))
         cls, n, tokens, freq = cls[order], n[order], tokens[order].view(np.int64), freq[order]
+        new = np.ones(len(cls), bool)
+        new[1:] = (cls[1:] != cls[:-1]) | (tokens[1:] != tokens[:-1])
+        cls, n, tokens, freq = cls[new], n[new], tokens[new], freq[new]
         starts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
         rows = []
         for i, j in zip(starts, [*starts[1:], len(cls)], strict=True):
@@ -311,10 +379,15 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     tables = Tables(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signs = tables.save(_signatures(rows, words))
+    scanned = tables.save(_signatures(rows, words))
+    hot, freq = _hot_tokens(scanned)
+    signs = scanned.where("n >= 0").select("id", "n", "cls")
     total = signs.agg(F.sum("n")).first()[0] or 0
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_TOKENS))
-    sets = tables.save(_prefixes(_shared_tokens(_blocks(rows, words, parts), parts), similarity))
+    shared = _shared_tokens(_blocks(rows, words, parts, hot), parts)
+    if len(hot):
+        shared = shared.unionByName(_hot_entries(rows, words, parts, hot, freq))
+    sets = tables.save(_prefixes(shared, similarity))
     label = _class_components(sets, similarity, tables)
     of_class = signs.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
     named = of_class.join(label, of_class.cls == label.node, "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
