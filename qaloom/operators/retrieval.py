@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ def prompt(hits: DataFrame, template: str) -> DataFrame:
     one = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(" · "), F.col("section").cast("string"), F.lit("]\n"), F.col("body"))
     grouped = hits.groupBy("query_id").agg(F.any_value("question").alias("question"), F.array_sort(F.collect_list(F.struct("rank", one.alias("body")))).alias("parts"))
     context = F.array_join(F.transform("parts", lambda p: p["body"]), "\n\n")
-    filled = F.replace(F.replace(F.lit(template), F.lit("{context}"), context), F.lit("{question}"), F.col("question"))
-    return grouped.select("query_id", filled.alias("prompt"))
+    values = {"context": context, "question": F.col("question")}
+    filled = re.split(r"\{(context|question)\}", template)  # at once, so that no value is taken for a placeholder
+    return grouped.select("query_id", F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(filled)]).alias("prompt"))
 
 
 def recall(ranks: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,8 @@ def judge_worklist(questions: DataFrame, producers: DataFrame, answers: DataFram
 def blind_prompt(work: DataFrame, documents: DataFrame, template: str) -> DataFrame:
     """(custom_id, prompt) from (custom_id, clean_path, question, answer): nothing else can enter a prompt."""
     joined = work.select("custom_id", "clean_path", "question", "answer").join(documents.select("clean_path", F.trim("text").alias("document")), "clean_path")
-    text = F.lit(template)
-    for name in ("document", "question", "answer"):
-        text = F.replace(text, F.lit("{" + name + "}"), F.col(name))
-    return joined.select("custom_id", text.alias("prompt"))
+    parts = re.split(r"\{(document|question|answer)\}", template)  # filled at once, so that no value is taken for a placeholder
+    return joined.select("custom_id", F.concat(*[F.col(x) if k % 2 else F.lit(x) for k, x in enumerate(parts)]).alias("prompt"))
 
 
 def route(results: DataFrame, manifest: DataFrame, scores: DataFrame) -> DataFrame:

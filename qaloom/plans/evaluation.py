@@ -230,3 +230,23 @@ def job_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("producer"), F.col("c_acctbal").alias("paid"), F.col("c_mktsegment").alias("segment"))
     new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("producer")).agg(F.max("o_totalprice").alias("paid"))
     return sinks.upsert(old, new, "producer")
+
+
+@R.query(
+    """WITH a AS (SELECT user_id % 50 AS question_id, 'p' || (user_id % 10) AS producer, event_id AS answer_id, ts, event_type FROM events WHERE event_type <> 'error')
+  SELECT question_id, producer, answer_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, producer ORDER BY answer_id DESC) AS nth FROM a) WHERE nth = 1"""
+)
+def latest_answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(
+        (F.col("user_id") % 50).alias("question_id"), F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string")).alias("producer"), F.col("event_id").alias("answer_id"),
+        F.when(F.col("event_type") == "error", "failed").alias("error"),
+    )
+    return worklist.latest(rows, "answer_id").select("question_id", "producer", "answer_id")
+
+
+@R.query("SELECT CAST(d.doc_id AS VARCHAR) AS custom_id, 'Document: ' || trim(text) || chr(10) || 'Question: ' || source || chr(10) || 'Answer: ' || lang AS prompt FROM documents d JOIN labels l USING (doc_id)")
+def blind_prompts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("clean_path", F.col("doc_id").cast("string"))
+    work = docs.join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    work = work.select(F.col("clean_path").alias("custom_id"), "clean_path", F.col("source").alias("question"), F.col("lang").alias("answer"), "quality", "toxic")
+    return worklist.blind_prompt(work, docs.select("clean_path", "text"), "Document: {document}\nQuestion: {question}\nAnswer: {answer}")

@@ -317,3 +317,16 @@ def title_from_filename(spark: SparkSession, d: str) -> DataFrame:
 @R.query("SELECT doc_id, strlen(text) AS bytes, sha256(text) AS sha FROM documents")
 def content_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
+
+
+@R.query("SELECT vec_id, CAST(round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 1000) AS BIGINT) AS length_1000, len(embedding) AS dims FROM embeddings")
+def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(retrieval.dot(v, v)) * 1000).cast("long").alias("length_1000"), F.size(v).cast("long").alias("dims"))
+
+
+@R.query()
+def section_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of documents read as markdown, each as one text for retrieval."""
+    made = segment.sections_of(segment.blocks_of(segment.split_front_matter(_as_markdown(spark, d), "markdown"), "doc_id"), "doc_id")
+    return made.select("doc_id", "section", segment.section_text(F.col("heading"), F.col("content")).alias("body"))
