@@ -113,7 +113,7 @@ def mix_sources(
         *[F.col(f"`{c}`").alias(c) for c in dict.fromkeys([id_col, *carry])],
         F.col(f"`{source_col}`").cast("string").alias("_source"),
         word_count(F.col(f"`{text_col}`")).alias("size"),
-    ).withColumn("_hash", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), "size"))
+    ).withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"))))
     sums = base.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     sums.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
     sizes = [r["size"] for r in sums]
@@ -134,7 +134,7 @@ def mix_sources(
     if len(plan) <= MOST_BROADCAST:
         plan_rows = F.broadcast(plan_rows)
     line = base.join(plan_rows, F.col("_source").eqNullSafe(F.col("p_source")))
-    line = running(line, ["_source"], ["_hash", id_col], sum(r["rows"] for r in sums), "size", "_start", key_rows="rows")
+    line = running(line, ["_source"], ["_hash", id_col], sum(r["rows"] for r in sums), "size", "_start", "rows", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long"))
 
     total, want_, start, size = F.col("source_size"), F.col("want"), F.col("_start"), F.col("size")
     rounds = F.when((size > 0) & (want_ > start), _whole(want_ - start - 1, F.greatest(total, F.lit(1)))).otherwise(-1)

@@ -64,3 +64,22 @@ all_ AS (
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM all_)
 SELECT * EXCLUDE (size), NOT base_failed AND dup_line_chars <= 0.30::DOUBLE * size AND gram_chars_5 <= 0.45::DOUBLE * word_chars AND gram_chars_8 <= 0.35::DOUBLE * word_chars AND gram_chars_12 <= 0.30::DOUBLE * word_chars AS kept FROM judged
 """
+
+OP7 = rf"""
+WITH docs AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+hashed AS (SELECT *, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size) AS h FROM docs),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, count(*) AS many FROM docs GROUP BY source),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sums),
+-- in the order in which sources reach their limit, those before k are at it if the level of the rest lifts them
+ordered AS (SELECT *, row_number() OVER (ORDER BY s::DOUBLE / w, source NULLS LAST) AS k FROM weighed),
+levels AS (SELECT k, sum(s) OVER () - coalesce(3 * sum(s) OVER before, 0) AS num, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS den, s, w FROM ordered WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, k FROM levels WHERE num * w <= 3 * s * den ORDER BY k LIMIT 1),
+goal AS (
+  SELECT o.source, o.s, o.many, CASE WHEN o.k < l.k THEN 3.0 * o.s ELSE (l.num * o.w)::DOUBLE / l.den::DOUBLE END::DOUBLE AS target,
+    CASE WHEN o.k < l.k THEN 3 * o.s ELSE (2 * l.num * o.w + l.den) // (2 * l.den) END AS want FROM ordered o CROSS JOIN level l),
+line AS (
+  SELECT doc_id, size, s AS source_size, target, want,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || h[1:8])::BIGINT % CAST(ceil(many / 4096.0) AS BIGINT), h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM hashed d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE (want // source_size) * size + greatest(0, least(size, want % source_size - start)) END AS BIGINT) AS taken FROM line
+"""

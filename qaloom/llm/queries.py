@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "op8_chat_formatting": oracles.OP8}
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "op7_source_mixing": oracles.OP7, "op8_chat_formatting": oracles.OP8}

@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 4096
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, value: str | None = None, to: str = "before", key_rows: str | None = None) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, value: str | None = None, to: str = "before", key_rows: str | None = None, place: Column | None = None) -> DataFrame:
     """``df`` and the column ``to``: the sum of ``value`` (1 each, if none) over the earlier rows of the same keys.
 
     ``rows`` is the number of rows of ``df``, which sizes the buckets; where most keys are small,
-    ``key_rows`` names a column with the rows of each key, which then sizes its own.  Rows that are equal in
+    ``key_rows`` names a column with the rows of each key, which then sizes its own.  ``place``, a long, deals rows to
+    buckets; a hash of ``order``, if none.  Rows that are equal in
     ``order`` come in any order among themselves.  Null keys are keys like others.
     """
     many = max(1, -(-rows // BUCKET_ROWS))
     each: Column = F.col(value) if value else F.lit(1).cast("long")
     deal = F.ceil(F.col(key_rows) / BUCKET_ROWS) if key_rows else F.lit(many)
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), deal).cast("int")).withColumn("_each", each)
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order) if place is None else place, deal).cast("int")).withColumn("_each", each)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     dealt_sums = dealt.withColumn("_inside", F.coalesce(F.sum("_each").over(inside), F.lit(0)).cast("long"))
     if many == 1:
