@@ -56,3 +56,25 @@ def judge_estimate(questions: DataFrame, producers: int, inp: float, out: float,
     rows = total.select("calls", "in_tokens", cases.alias("c")).select(F.col("c.scenario").alias("scenario"), "calls", "in_tokens", (F.col("calls") * F.col("c.cap")).alias("out_tokens"))
     sync = (F.col("in_tokens") * F.lit(inp) + F.col("out_tokens") * F.lit(out)) / 1_000_000
     return rows.withColumns({"sync_usd": sync, "batched_usd": sync * discount})
+
+
+def section_tokens(sections: DataFrame, default: int = 400) -> int:
+    """Mean tokens of a section (heading, content): what retrieval injects; ``default`` without sections."""
+    from qaloom.functions.text import token_count
+
+    row = lambda r: F.array_join(r, " ")
+    none = F.array().cast("array<string>")
+    part = lambda b: (
+        F.when(b["kind"] == "para", F.array(b["text"])).when(b["kind"] == "bullets", b["items"])
+        .when(b["kind"] == "table", F.concat(F.array(row(b["header"])), F.transform(b["rows"], row))).otherwise(none)
+    )
+    text = F.array_join(F.concat(F.array("heading"), F.flatten(F.transform("content", part))), "\n")
+    mean = sections.agg(F.avg(token_count(text)).alias("mean")).first()["mean"]
+    return default if mean is None else round(mean)
+
+
+def train_tokens(train: DataFrame) -> int:
+    """Tokens of all messages of training records."""
+    from qaloom.functions.text import token_count
+
+    return train.select(F.explode("messages").alias("m")).agg(F.coalesce(F.sum(token_count(F.col("m.content"))), F.lit(0)).alias("n")).first()["n"]

@@ -77,3 +77,21 @@ def coverage(split: DataFrame, stratum: str) -> DataFrame:
     """(stratum, test, train): rows of each part."""
     of = lambda p: F.count_if(F.col("part") == p).alias(p)
     return split.groupBy(stratum).agg(of("test"), of("train"))
+
+
+def require_no_leaks(train: DataFrame, test: DataFrame, key: str, columns: list[str]) -> None:
+    """The gate before training: raise if an id or a fact is in both parts."""
+    from qaloom.operators.checks import require_empty
+
+    require_empty(leaks(train, test, key, columns), "leak")
+
+
+def review_sheet(pool: DataFrame) -> DataFrame:
+    """(doc_id, nth, line) of the sheet on which a reviewer ticks pairs: flagged ones first in each document."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("needs_attention"), "id")
+    mark = F.when(F.col("needs_attention"), " (check)").otherwise("")
+    line = F.concat(
+        F.lit("- [ ] "), F.col("id"), mark, F.lit(" | "), F.col("section"), F.lit(" | "), F.col("answer_type"),
+        F.lit("\n  - Q: "), F.col("question"), F.lit("\n  - A: "), F.col("answer"), F.lit("\n  - Evidence: "), F.col("evidence"),
+    )
+    return pool.select("doc_id", F.row_number().over(order).alias("nth"), line.alias("line"))

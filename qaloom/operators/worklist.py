@@ -74,3 +74,44 @@ def completeness(questions: DataFrame, producers: DataFrame, answers: DataFrame)
         F.count("*").alias("expected"), F.count_if(F.col("g") > 0).alias("good"),
         F.coalesce(F.sum("e"), F.lit(0)).alias("errors"), F.count_if(F.coalesce("g", F.lit(0)) == 0).alias("missing"),
     )
+
+
+CUSTOM_ID = r"^[A-Za-z0-9_-]{1,64}$"
+
+
+def bad_ids(work: DataFrame) -> DataFrame:
+    """Rows whose custom_id a batch service would refuse."""
+    return work.where(~F.col("custom_id").rlike(CUSTOM_ID))
+
+
+def select_producers(producers: DataFrame, method: str | None = None, keys: list[str] | None = None, local_only: bool = False, limit: int | None = None) -> DataFrame:
+    """Producers (producer, method, is_local, ord) of a run, in their order."""
+    out = producers
+    if method is not None:
+        out = out.where(F.col("method") == method)
+    if keys is not None:
+        out = out.where(F.col("producer").isin(keys))
+    if local_only:
+        out = out.where("is_local")
+    out = out.orderBy("ord")
+    return out.limit(limit) if limit is not None else out
+
+
+def resolve_models(producers: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``producers`` and called_model: what training made for tuned ones, the model itself for others.
+
+    A tuned producer without a trained model has null there: see ``untrained``.
+    """
+    made = F.broadcast(jobs.select("producer", "trained_model"))
+    called = F.when(F.col("method") == "finetuned", F.when(F.col("trained_model") != "", F.col("trained_model"))).otherwise(F.col("model"))
+    return producers.join(made, "producer", "left").withColumn("called_model", called).drop("trained_model")
+
+
+def untrained(resolved: DataFrame) -> DataFrame:
+    """Producers that can't answer yet."""
+    return resolved.where("called_model IS NULL").select("producer")
+
+
+def latest_live_job(jobs: DataFrame) -> DataFrame:
+    """(suffix, job_id) of each suffix's newest job that didn't fail; jobs: (job_id, suffix, status, created_at)."""
+    return jobs.where(~F.lower("status").rlike("error|cancel|failed")).groupBy("suffix").agg(F.max_by("job_id", F.struct("created_at", "job_id")).alias("job_id"))

@@ -250,3 +250,20 @@ def blind_prompts(spark: SparkSession, d: str) -> DataFrame:
     work = docs.join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id")
     work = work.select(F.col("clean_path").alias("custom_id"), "clean_path", F.col("source").alias("question"), F.col("lang").alias("answer"), "quality", "toxic")
     return worklist.blind_prompt(work, docs.select("clean_path", "text"), "Document: {document}\nQuestion: {question}\nAnswer: {answer}")
+
+
+@R.query(
+    """SELECT s_name AS producer, CASE WHEN s_suppkey % 3 = 0 THEN CASE WHEN s_acctbal > 0 THEN 'trained-' || s_suppkey END ELSE 'm' || s_nationkey END AS called_model FROM supplier"""
+)
+def resolved_models(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier")
+    number = F.col("s_suppkey").cast("string")
+    who = rows.select(F.col("s_name").alias("producer"), F.when(F.col("s_suppkey") % 3 == 0, "finetuned").otherwise("prompting").alias("method"), F.concat(F.lit("m"), F.col("s_nationkey").cast("string")).alias("model"))
+    jobs = rows.where("s_suppkey % 2 = 0 OR s_acctbal > 0").select(F.col("s_name").alias("producer"), F.when(F.col("s_acctbal") > 0, F.concat(F.lit("trained-"), number)).otherwise("").alias("trained_model"))
+    return worklist.resolve_models(who, jobs).select("producer", "called_model")
+
+
+@R.query("SELECT o_custkey AS suffix, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS job_id FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def live_jobs(spark: SparkSession, d: str) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", "Failed").otherwise("running")
+    return worklist.latest_live_job(table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("suffix"), state.alias("status"), F.col("o_orderdate").alias("created_at")))

@@ -107,3 +107,37 @@ def test_checks(spark):
     checks.assert_complete(report.where("producer = 'q'"))
     with pytest.raises(ValueError, match="several"):
         checks.assert_one_judge(spark.createDataFrame([("a",), ("b",)], "judge_model string"))
+
+
+def test_models_and_jobs(spark):
+    who = spark.createDataFrame([("a", "prompting", "m", True, 2), ("b", "finetuned", "base", False, 1), ("c", "finetuned", "base", True, 0)], "producer string, method string, model string, is_local boolean, ord int")
+    jobs = spark.createDataFrame([("b", "trained-b"), ("c", "")], "producer string, trained_model string")
+    got = worklist.resolve_models(who, jobs)
+    assert {r["producer"]: r["called_model"] for r in got.collect()} == {"a": "m", "b": "trained-b", "c": None}
+    assert [r["producer"] for r in worklist.untrained(got).collect()] == ["c"]
+    assert [r["producer"] for r in worklist.select_producers(who, local_only=True, limit=1).collect()] == ["c"]
+    assert [r["producer"] for r in worklist.select_producers(who, "finetuned", ["b"]).collect()] == ["b"]
+    runs = spark.createDataFrame([("j1", "s", "ok", 1), ("j2", "s", "CANCELLED", 2)], "job_id string, suffix string, status string, created_at int")
+    assert worklist.latest_live_job(runs).first()["job_id"] == "j1"
+    ids = spark.createDataFrame([("q-1--p00",), ("q 1--p00",), ("x" * 65,)], "custom_id string")
+    assert worklist.bad_ids(ids).count() == 2
+
+
+def test_token_estimates(spark):
+    block = "struct<kind:string,text:string,items:array<string>,header:array<string>,rows:array<array<string>>>"
+    rows = [("a head", [("para", "one two", None, None, None), ("bullets", None, ["x y", "z"], None, None)]), ("t", [("table", None, None, ["h1", "h2"], [["1", "2 3"]])])]
+    sections = spark.createDataFrame(rows, f"heading string, content array<{block}>")
+    assert cost.section_tokens(sections) == round((7 + 6) / 2) and cost.section_tokens(sections.where("false")) == 400
+    train = spark.createDataFrame([([("user", "a b"), ("assistant", "c")],)], "messages array<struct<role:string,content:string>>")
+    assert cost.train_tokens(train) == 3 and cost.train_tokens(train.where("false")) == 0
+
+
+def test_gate_and_sheet(spark):
+    from qaloom.operators import split
+
+    a = spark.createDataFrame([(1, "the same five words here", "x")], "id long, q string, a string")
+    with pytest.raises(ValueError, match="leak"):
+        split.require_no_leaks(a, a.withColumn("id", F.lit(2).cast("long")), "id", ["q"])
+    split.require_no_leaks(a, spark.createDataFrame([(3, "other", "y")], "id long, q string, a string"), "id", ["q"])
+    pool = spark.createDataFrame([("d-q001", "D", "S", "Q?", "A", "E", "factual", False), ("d-q002", "D", "S", "Q?", "7", "E", "numeric", True)], "id string, doc_id string, section string, question string, answer string, evidence string, answer_type string, needs_attention boolean")
+    assert [r["line"].split(" |")[0] for r in split.review_sheet(pool).orderBy("nth").collect()] == ["- [ ] d-q002 (check)", "- [ ] d-q001"]
