@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from qaloom.llm import ngram_join as nj
@@ -102,3 +103,42 @@ def test_words_and_grams_in_pieces(monkeypatch):
     for h, (_, w) in zip(hashes, got, strict=True):
         assert same.setdefault(w, h) == h
     assert len(set(same.values())) == len(same)
+
+
+class Plain:
+    """Takes the functions that a DataFrame would ship, to run them here."""
+
+    def select(self, *_):
+        return self
+
+    groupBy = select
+
+    def mapInArrow(self, function, schema):
+        return function
+
+    applyInPandas = mapInArrow
+
+
+def test_runs_and_hot_tokens_change_nothing(monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(3, 60))) for _ in range(80)]
+    texts += [t + " end" for t in texts[:40]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    def sets(run, hot):
+        monkeypatch.setattr(nj, "RUN", run)
+        frames = [b.to_pandas() for b in nj._blocks(Plain(), 5, 3, hot)(iter([batch]))]
+        parts = pd.concat(frames).groupby("part")
+        shared = pd.concat([nj._shared_tokens(Plain(), 2)(g) for _, g in parts])
+        if len(hot):
+            more = [b.to_pandas() for b in nj._hot_entries(Plain(), 5, 2, hot, np.full(len(hot), 99))(iter([batch]))]
+            shared = pd.concat([shared, *more])
+        out = pd.concat([nj._prefixes(Plain(), (75, 100))(g) for _, g in shared.groupby("part")])
+        return {c: (n, frozenset(t)) for c, n, t in zip(out["cls"], out["n"], out["tokens"], strict=True)}
+
+    none = np.zeros(0, np.uint64)
+    want = sets(0xFFFF, none)
+    assert len(want) > 40 and sets(2, none) == want
+    owner, tokens = nj.token_sets(*tb.string_column(batch, "text")[:2], 5)
+    found, many = np.unique(tokens, return_counts=True)
+    assert sets(0xFFFF, found[many >= 2][::2]) == want  # half of the shared tokens, as hot ones
