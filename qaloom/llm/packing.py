@@ -28,7 +28,7 @@ from qaloom.llm.ranks import running
 
 CAPACITY = 2048
 CLOSING_ID = 0
-KEEP_WORDS = 2_000_000  # that a worker remembers, of about 30 bytes each
+KEEP_WORDS, HELD_WORDS = 1_000_000, 400_000  # that a worker remembers, of about 30 bytes each; and between tasks
 WORD_END = "</w>"  # of the vocabulary's tokens that end a run of letters, a digit or a run of signs
 SIGNS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 CHUNK_BYTES = 2 << 20  # of text tokenized at once
@@ -68,7 +68,17 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.hashes, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.again, self.ids, self.used = np.zeros(0, bool), np.zeros(1 << 16, "<u4"), 0
+
+    def shrink(self) -> None:
+        """Keep words that have been met in several chunks, HELD_WORDS of them at most."""
+        keep = np.flatnonzero(self.again)
+        keep = keep[:: max(1, -(-len(keep) // HELD_WORDS))]
+        length = self.lengths[keep].astype(np.int64)
+        start = np.cumsum(length) - length
+        self.ids = self.ids[np.arange(length.sum()) + np.repeat(self.starts[keep] - start, length)] if len(keep) else np.zeros(1 << 16, "<u4")
+        self.hashes, self.starts, self.lengths, self.used = self.hashes[keep], start, self.lengths[keep], int(length.sum())
+        self.again = np.zeros(len(keep), bool)
 
     def merge(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(word, ids) of words not seen before.
@@ -109,10 +119,11 @@ class WordTokenizer:
         lengths = np.array([len(x) // 4 for x in packed], np.int32)
         fresh = np.frombuffer(b"".join(packed), "<u4")
         while self.used + len(fresh) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(fresh), "<u4")])
         self.ids[self.used : self.used + len(fresh)] = fresh
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
+        self.again = np.insert(self.again, at, False)
         self.starts = np.insert(self.starts, at, self.used + np.cumsum(lengths) - lengths)
         self.lengths = np.insert(self.lengths, at, lengths)
         self.used += len(fresh)
@@ -122,11 +133,12 @@ class WordTokenizer:
         hashes, rows, begins, ends = tb.words(data, offsets, lower=False)
         found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(found) > KEEP_WORDS:
-            self.forget()
+            self.shrink()
         at = np.searchsorted(self.hashes, found)
         new = np.ones(len(found), bool)
         inside = at < len(self.hashes)
         new[inside] = self.hashes[at[inside]] != found[inside]
+        self.again[at[~new]] = True
         if new.any():
             base = int(offsets[0])
             cut = [data[base + i : base + j].tobytes() for i, j in zip(begins[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
@@ -174,6 +186,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, name:
                 if keep_ids:
                     cols, heads = [*cols, pa.array(kept, pa.binary())], [*heads, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=heads)
+        own.shrink()
         tb.release()
 
     kind = dict(df.dtypes)[id_col]
