@@ -33,7 +33,7 @@ BLOCK_DIMS = 8
 SLICE_ROWS = 16384
 SEED = 20240229
 SLACK = 1e-4  # added to the budget, for single-precision block distances
-CHUNK = 512  # rows of a slice compared at once
+CHUNK, TILE = 256, 4096  # rows of two slices compared at once
 
 
 def rotation(dims: int, seed: int = SEED) -> np.ndarray:
@@ -65,16 +65,23 @@ def _meet(a: np.ndarray, b: np.ndarray, id_a: np.ndarray, id_b: np.ndarray, bloc
     order = np.argsort(rb[:, 0])
     rb, b, id_b = rb[order], b[order], id_b[order]
     axis, radius = rb[:, 0], np.float32(budget[block] ** 0.5)
-    square_b = (rb * rb).sum(1)
+    # |x - y|^2 <= budget as one product: (-2 x, 1) . (y, |y|^2) <= budget - |x|^2
+    rows = np.concatenate([-2 * ra, np.ones((len(ra), 1), np.float32)], 1)
+    columns = np.ascontiguousarray(np.concatenate([rb, (rb * rb).sum(1)[:, None]], 1).T)
+    limit = (budget[block] - (ra * ra).sum(1)).astype(np.float32)
     first = np.argsort(ra[:, 0])
     out = []
     for i in range(0, len(ra), CHUNK):
         own = first[i : i + CHUNK]
-        x = ra[own]
-        s, e = np.searchsorted(axis, x[0, 0] - radius), np.searchsorted(axis, x[-1, 0] + radius, "right")
-        near = (x * x).sum(1)[:, None] + square_b[None, s:e] - 2 * (x @ rb[s:e].T)
-        p, q = np.nonzero(near <= budget[block])
-        p, q = own[p], q + s
+        s, e = np.searchsorted(axis, ra[own[0], 0] - radius), np.searchsorted(axis, ra[own[-1], 0] + radius, "right")
+        met = []
+        for at in range(s, e, TILE):
+            near = rows[own] @ columns[:, at : min(e, at + TILE)] <= limit[own][:, None]
+            flat = np.flatnonzero(near)
+            met.append((own[flat // near.shape[1]], flat % near.shape[1] + at))
+        if not met:
+            continue
+        p, q = (np.concatenate(x) for x in zip(*met, strict=True))
         keep = id_a[p] < id_b[q] if same else id_a[p] != id_b[q]
         p, q = p[keep], q[keep]
         for c in range(0, len(p), 1 << 16):
