@@ -34,8 +34,8 @@ WORDS = 5
 SIMILARITY = (75, 100)  # a ratio of integers, so that no rounding decides
 MOST_MATCHES = 16
 VERIFY_COST = 0.05  # of one token of a candidate, in posting entries read
-BLOCK_BYTES = 6 << 20  # text bytes gathered into one set of blocks
-GROUP_TOKENS = 2_000_000  # tokens that one group of blocks is sized for
+BLOCK_BYTES = 4 << 20  # text bytes gathered into one set of blocks
+GROUP_TOKENS = 1_000_000  # tokens that one group of blocks is sized for
 HOT_LEAST, HOT_SHARE = 16, 128  # a token is hot if so many sets of a block, and one in so many, hold it
 MOST_HOT = 500_000  # hot tokens that every task knows: 8 MB
 SHARED = "part long, cls binary, n binary, tokens binary, freq binary"
