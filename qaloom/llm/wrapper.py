@@ -2,7 +2,7 @@
 
 From each host a few pages are taken, a bounded number, and their DOM trees aligned by simple tree
 matching.  Nodes that say the same on all of them are template; the slot is the deepest node that
-holds the varying text.  Each page then gives the text of its host's slot, without the parts inside
+holds all the varying text.  Each page then gives the text of its host's slot, without the parts inside
 that aren't article: menus, adverts, notices, forms, comments and the like.  A page that lacks the
 slot is its own sample.
 
@@ -30,7 +30,6 @@ from qaloom.llm.url_filter import parts
 SAMPLE_PAGES = 6  # of a host, from which its wrapper is induced
 MOST_BROADCAST = 50_000  # hosts whose wrappers are broadcast
 ALIGNED_DEPTH = 40  # deeper nodes count as their ancestors' text in an alignment
-SLOT_SHARE = 0.9  # of the varying text that the slot must hold
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -268,7 +267,7 @@ def induce(pages: list[str]) -> list[str]:
 
     path, node, total = [template.key], template, weight(template)
     while total and node.tag not in ("article", "main"):
-        heavy = [x for x in node.kids if weight(x) >= SLOT_SHARE * total]
+        heavy = [x for x in node.kids if weight(x) == total]
         if not heavy:
             break
         node = heavy[0]

@@ -130,6 +130,15 @@ def test_extraction_of_parts():
     assert wrapper.extract("<div>" * 5000 + "deep", None) == "deep" and wrapper.extract("just text", None) == "just text"
 
 
+def test_text_beside_a_heavy_child_stays():
+    post = lambda k: page(f'<div class="post"><h1>Title {k}</h1><p>lede {k}</p><div class="entry"><p>{f"body{k} " * 200}</p></div></div>')
+    pages = [post(k) for k in range(4)]
+    path = wrapper.induce(pages)
+    for k, html in enumerate(pages):
+        assert wrapper.extract(html, path).startswith(f"Title {k}\n\nlede {k}\n\nbody{k} body{k}")
+    assert wrapper.extract(pages[0], None).startswith("Title 0\n\nlede 0\n\nbody0")
+
+
 def test_pages(spark):
     rows = spark.read.parquet(f"{DIR}/pages.parquet").collect()
     got = {r["page_id"]: r for r in queries.op9_html_extraction(spark, DIR).collect()}
