@@ -44,6 +44,10 @@ DROPPED_WORDS = frozenset(
     "sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead toolbar pagination pager search comment comments disqus respond replies "
     "share sharing social related recommended newsletter subscribe subscription contentinfo complementary dialog skip".split()
 )
+#: Words that, beside a dropped one, only say where or what kind of box it is: main-menu, ad-box, cookie-bar.
+QUALIFIERS = frozenset("main site page top bottom left right primary secondary global box widget area block bar list links buttons form".split())
+NEVER_LISTED = frozenset("html body article main p h1 h2 h3 h4 h5 h6".split())
+SMALL, SMALL_BOX = 10, 3  # a listed node goes if its text is a tenth of the page's; a third if it has no paragraphs
 _CLOSED_BY = {  # a start tag closes an open element of these tags, up to a boundary
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
@@ -56,7 +60,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("key", "kids", "skip", "tag")
+    __slots__ = ("key", "kids", "listed", "prose", "size", "skip", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids = tag, []
@@ -64,8 +68,38 @@ class Node:
         named = f"{said.get('class', '')} {said.get('id', '')}".lower()
         self.key = f"{tag}.{' '.join(sorted(set(_WORD.findall(named))))}"
         hidden = "display:none" in said.get("style", "").replace(" ", "").lower() or said.get("aria-hidden") == "true" or re.search(r"\shidden(?:\s|=|/|$)", attrs) is not None
-        words = _WORD.findall(f"{named} {said.get('role', '')}".lower()) if said else ()
-        self.skip = tag in DROPPED or hidden or (tag not in ("html", "body", "article", "main") and not DROPPED_WORDS.isdisjoint(words))
+        self.skip = tag in DROPPED or hidden
+        self.listed = bool(said) and tag not in NEVER_LISTED and any(map(_names_a_box, f"{named} {said.get('role', '')}".lower().split()))
+        self.size, self.prose = 0, False
+
+
+def _names_a_box(token: str) -> bool:
+    """Whether a whole class, id or role is a dropped word, alone or with others and qualifiers."""
+    words = set(_WORD.findall(token))
+    return not DROPPED_WORDS.isdisjoint(words) and words <= DROPPED_WORDS | QUALIFIERS
+
+
+def judge(root: Node) -> Node:
+    """Skip listed nodes that are small against the page, and those beside its article that have no paragraphs or aren't most of it."""
+    order: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    for node, _, inside in order:  # grows as it is walked; parents come first
+        order.extend((x, node, inside or node.tag in ("article", "main")) for x in node.kids if not isinstance(x, str) and not x.skip)
+    holds: set[int] = set()
+    for node, parent, _ in reversed(order):
+        node.size += sum(len(x.strip()) for x in node.kids if isinstance(x, str))
+        node.prose |= node.tag == "p" and node.size > 0
+        if parent:
+            parent.size += node.size
+            parent.prose |= node.prose
+            if node.size and (node.tag in ("article", "main") or id(node) in holds):
+                holds.add(id(parent))
+    total = root.size
+    declared = id(root) in holds
+    for node, _, inside in order:
+        if node.listed and id(node) not in holds:
+            small = node.size * SMALL <= total or (not node.prose and node.size * SMALL_BOX <= total)
+            node.skip = small or (declared and not inside and (not node.prose or node.size * 2 <= total))
+    return root
 
 
 def parse(text: str) -> Node:
@@ -255,7 +289,7 @@ def align(template: Shape, page: Shape) -> None:
 
 def induce(pages: list[str]) -> list[str]:
     """The path of keys from the root to the slot of pages of one host."""
-    shapes = [shape_of([parse(p)], k) for k, p in enumerate(pages)]
+    shapes = [shape_of([judge(parse(p))], k) for k, p in enumerate(pages)]
     template = shapes[0]
     for s in shapes[1:]:
         align(template, s)
@@ -291,7 +325,7 @@ def extract(page: str | None, path: list[str] | None) -> str:
     """A page's main text by its host's path, or by its own where that isn't on it."""
     if not page:
         return ""
-    root = parse(page)
+    root = judge(parse(page))
     text = slot_text(root, path) if path else None
     return text if text else slot_text(root, induce([page])) or ""
 

@@ -139,6 +139,18 @@ def test_text_beside_a_heavy_child_stays():
     assert wrapper.extract(pages[0], None).startswith("Title 0\n\nlede 0\n\nbody0")
 
 
+def test_names_alone_drop_no_article():
+    body = f"<h1>Title</h1><p>{'long ' * 60}</p>"
+    for attrs in ("id=page class='has-sidebar'", "class='content-sidebar-wrap'", "class='no-comments'", "class='social'", "id=related"):
+        assert wrapper.extract(page(f"<div {attrs}>{body}</div>"), None).startswith("Title\n\nlong"), attrs
+    heads = "<h2 id='related-work'>Related work</h2><h2 id='search'>Search</h2><h3 id='social'>Social</h3><p class='notice'>Read this</p>"
+    story = f"<div class='social'><p>{'said ' * 30}</p></div>"
+    text = wrapper.extract(page(f"<article>{body}{heads}{story}</article>"), None)
+    assert all(x in text.split("\n\n") for x in ("Related work", "Search", "Social", "Read this")) and "said said" in text
+    boxes = "<div class='ad'>buy</div><div class='main-menu'>a b</div><ul class='share-buttons'><li>x</ul>"
+    assert wrapper.extract(page(f"<article>{body}{boxes}</article><div class='sidebar'><p>{'else ' * 20}</p></div>"), None) == f"Title\n\n{('long ' * 60).strip()}"
+
+
 def test_pages(spark):
     rows = spark.read.parquet(f"{DIR}/pages.parquet").collect()
     got = {r["page_id"]: r for r in queries.op9_html_extraction(spark, DIR).collect()}
