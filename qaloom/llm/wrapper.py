@@ -1,13 +1,21 @@
-"""HTML extraction by wrapper induction.
+"""HTML extraction by template induction over all of a host's pages.
 
-From each host a few pages are taken, a bounded number, and their DOM trees aligned by simple tree
-matching.  Nodes that say the same on all of them are template; the slot is the deepest node that
-holds all the varying text.  Each page then gives the text of its host's slot, without the parts inside
-that aren't article: menus, adverts, notices, forms, comments and the like.  A page that lacks the
-slot is its own sample.
+A page is a sequence of units: a paragraph, a list, a table or a run of text, each at a path of
+keys in the DOM tree.  Over all pages of a host, and over those of one layout (the same boxes that hold
+text), it is counted how many have a path, and how many of these have the same text there.  What
+all of them say is template; each page gives the rest of its own units, so a host may have any
+number of layouts, and a page that no other resembles loses nothing.  Menus, adverts, notices, forms, comments and the like are left out before that.
 
-What moves: hosts and hashes to choose the samples, the samples' html, and one path per host, which
-is broadcast while there are few hosts and joined by a shuffle otherwise.  Pages stay where they are.
+A path counts if it is on two different pages at least and on one in 200 of its host's.  On two
+or three pages that says little: such text is dropped only from a page of which
+more is left than dropped.  A page of nothing but template keeps it.
+
+``induce`` aligns a few pages of one host by simple tree matching and gives the path of the slot
+that holds all their varying text, for callers that have these pages at hand.
+
+What moves: one hash of each distinct unit of a host from each task, and a host's template units,
+which are broadcast while there are few hosts and joined by a shuffle otherwise.  Pages stay where
+they are.
 
 Defined results: a null or empty html gives an empty text; a null URL counts as a host of its own
 name; repeated rows are extracted one by one; extra columns don't matter; html is read whole.
@@ -15,20 +23,23 @@ name; repeated rows are extracted one by one; extra columns don't matter; html i
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.sources.durable import Tables
 from qaloom.llm.url_filter import parts
 
-SAMPLE_PAGES = 6  # of a host, from which its wrapper is induced
-MOST_BROADCAST = 50_000  # hosts whose wrappers are broadcast
+LEAST_SHARE = 200  # a path on fewer than one in so many of a host's pages has no template
+SURE_PAGES = 4  # so many pages that agree are enough to drop what is most of a page
+MOST_BROADCAST = 50_000  # hosts whose templates are broadcast
 ALIGNED_DEPTH = 40  # deeper nodes count as their ancestors' text in an alignment
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +49,7 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure b i em strong a span br".split())
+BOXES = frozenset("div section article main table".split())
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input iframe svg canvas object menu dialog head title noembed noframes".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert banner popup modal "
@@ -60,7 +72,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("key", "kids", "listed", "prose", "size", "skip", "tag")
+    __slots__ = ("boxes", "key", "kids", "listed", "prose", "size", "skip", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids = tag, []
@@ -70,7 +82,7 @@ class Node:
         hidden = "display:none" in said.get("style", "").replace(" ", "").lower() or said.get("aria-hidden") == "true" or re.search(r"\shidden(?:\s|=|/|$)", attrs) is not None
         self.skip = tag in DROPPED or hidden
         self.listed = bool(said) and tag not in NEVER_LISTED and any(map(_names_a_box, f"{named} {said.get('role', '')}".lower().split()))
-        self.size, self.prose = 0, False
+        self.size, self.prose, self.boxes = 0, False, False
 
 
 def _names_a_box(token: str) -> bool:
@@ -91,6 +103,7 @@ def judge(root: Node) -> Node:
         if parent:
             parent.size += node.size
             parent.prose |= node.prose
+            parent.boxes |= node.boxes or node.tag in BOXES
             if node.size and (node.tag in ("article", "main") or id(node) in holds):
                 holds.add(id(parent))
     total = root.size
@@ -179,16 +192,41 @@ def _has_heading(node: Node) -> bool:
     return False
 
 
+Unit = tuple[int, list[str], int]
+
+
+@lru_cache(100_000)
+def _path(above: int, key: str) -> int:
+    return _hash(f"{above}/{key}")
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def blocks(top: Node) -> list[str]:
     """The text blocks below a node, in order, without what isn't article."""
-    out: list[str] = []
+    return [text for _, texts, _ in units(top) for text in texts]
+
+
+def units(top: Node) -> list[Unit]:
+    """The text blocks below a node by unit: its path, its blocks, and the path of the box around it.
+
+    A paragraph, list, table and the like is one unit, unless it holds boxes; so is a run of text beside them.
+    """
+    out: list[Unit] = []
     held: list[str] = []
+    paths = [_path(0, top.key)]
+    whole = 0  # the depth at which a unit of several blocks is open
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(text)
+                if whole:
+                    out[-1][1].append(text)
+                else:
+                    out.append((paths[-1], [text], paths[-1]))
             held.clear()
 
     todo: list[tuple[Node, Iterator]] = [(top, iter(top.kids))]
@@ -207,16 +245,22 @@ def blocks(top: Node) -> list[str]:
                 held.append("" if x.tag == "wbr" else " ")
             if block:
                 flush()
+            paths.append(_path(paths[-1], x.key) if block and not whole else paths[-1])
             todo.append((x, iter(x.kids)))
+            if block and not whole and x.tag in PROSE and not x.boxes:
+                whole = len(todo)
+                out.append((paths[-1], [], paths[-2]))
             break
         else:
-            todo.pop()
-            if node.tag in BLOCKS:
+            if node.tag in BLOCKS or len(todo) == 1:
                 flush()
             elif node.tag in ("td", "th"):
                 held.append(" ")
-    flush()
-    return out
+            if len(todo) == whole:
+                whole = 0
+            todo.pop()
+            paths.pop()
+    return [x for x in out if x[1]]
 
 
 def _within(todo: list[tuple[Node, Iterator]]) -> bool:
@@ -321,41 +365,86 @@ def slot_text(root: Node, path: list[str]) -> str | None:
     return "\n\n".join(t for node in level for t in blocks(node)) if level else None
 
 
-def extract(page: str | None, path: list[str] | None) -> str:
-    """A page's main text by its host's path, or by its own where that isn't on it."""
+def extract(page: str | None, path: list[str] | None = None, sure: Collection[int] = (), weak: Collection[int] = ()) -> str:
+    """A page's text: that of a slot if it has one at ``path``, and else all but the template units of its host."""
     if not page:
         return ""
     root = judge(parse(page))
     text = slot_text(root, path) if path else None
-    return text if text else slot_text(root, induce([page])) or ""
+    if text:
+        return text
+    found = units(root)
+    marks = _marks(found)
+    for template in ({*sure, *weak}, set(sure)):
+        left = [x for x, m in zip(found, marks, strict=True) if template.isdisjoint(m[1::2])]
+        kept, most = (sum(len(t) for _, texts, _ in u for t in texts) for u in (left, found))
+        if 2 * kept > most or (kept and template.isdisjoint(weak)):
+            return _joined(left)
+    return _joined(found)
+
+
+def _joined(found: list[Unit]) -> str:
+    return "\n\n".join(t for _, texts, _ in found for t in texts)
+
+
+def _marks(found: list[Unit]) -> list[tuple[int, int, int, int]]:
+    """For each unit its path and the hash of what it says there, over all pages and over those of the page's layout.
+
+    The layout is the set of boxes that hold text.
+    """
+    layout = _hash(",".join(map(str, sorted({box for _, _, box in found}))))
+    out = []
+    for path, texts, _ in found:
+        mark = _hash(f"{path}\n" + "\n".join(texts))
+        out.append((path, mark, _path(layout, str(path)), _hash(f"{layout}:{mark}")))
+    return out
+
 
+def templates(pages: DataFrame) -> DataFrame:
+    """(_host, sure, weak): hashes of the template units of each host of pages (host, html)."""
 
-def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
+    def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for host, html in zip(pdf["host"], pdf["html"], strict=True):
+                found = {pair for m in _marks(units(judge(parse(html)))) for pair in (m[:2], m[2:])}
+                page = _hash(",".join(map(str, sorted(m for _, m in found))))
+                rows.append((host, 0, None, page))
+                rows += [(host, path, None, page) for path in {p for p, _ in found}]
+                rows += [(host, path, mark, page) for path, mark in found]
+            hosts, paths, marks, of = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pd.DataFrame({"host": list(hosts), "path": pd.array(paths, "int64"), "mark": pd.array(marks, "Int64"), "page": pd.array(of, "int64")})
+
+    tables = Tables(pages.sparkSession)
+    said = pages.where("html <> ''").select("host", "html").mapInPandas(count, "host string, path long, mark long, page long")
+    counts = said.groupBy("host", "path", "mark").agg(F.count("*").alias("n"), (F.min("page") < F.max("page")).alias("differ"))
+    counts = tables.save(counts.where("differ"))
+    total = counts.where("mark IS NULL AND path = 0").select(F.col("host").alias("_host"), F.col("n").alias("of"))
+    paths = counts.where("mark IS NULL AND path <> 0").select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("n").alias("have"))
+    paths = paths.join(total, F.col("_h") == F.col("_host")).where(F.col("have") * LEAST_SHARE >= F.col("of"))
+    same = counts.where("mark IS NOT NULL").join(paths, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")) & (F.col("n") == F.col("have")))
+    sure = F.col("have") >= SURE_PAGES
+    return tables.save(same.groupBy("_host").agg(F.collect_list(F.when(sure, F.col("mark"))).alias("sure"), F.collect_list(F.when(~sure, F.col("mark"))).alias("weak")))
+
+
+def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row: id, url, text (blocks joined by two newlines) and n_chars (code points)."""
-    tables = Tables(df.sparkSession)
     url = F.col(f"`{url_col}`").cast("string")
     pages = df.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    pages = pages.withColumn("host", parts(F.col("url"))[0]).withColumn("_hash", F.xxhash64("id", "url"))
-    first = Window.partitionBy("host").orderBy("_hash")
-    chosen = pages.select("host", "_hash").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= sample)
-    limits = tables.save(chosen.groupBy(F.col("host").alias("_host")).agg(F.max("_hash").alias("_last")))
-    few = limits.count() <= MOST_BROADCAST
-    small = F.broadcast if few else (lambda x: x)
-    samples = pages.join(small(limits), F.col("host") == F.col("_host")).where(F.col("_hash") <= F.col("_last"))
-
-    def wrap(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [x for x in pdf.sort_values("_hash")["html"] if x][:sample]
-        return pd.DataFrame({"_host": [pdf["host"].iloc[0]], "path": [json.dumps(induce(own)) if own else None]})
-
-    paths = tables.save(samples.select("host", "_hash", "html").groupBy("host").applyInPandas(wrap, "_host string, path string"))
-    joined = pages.drop("_hash").join(small(paths), F.col("host") == F.col("_host"), "left")
+    pages = pages.withColumn("host", parts(F.col("url"))[0])
+    found = templates(pages)
+    small = F.broadcast if found.count() <= MOST_BROADCAST else (lambda x: x)
+    joined = pages.join(small(found), F.col("host") == F.col("_host"), "left")
 
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            known = {p: json.loads(p) for p in pdf["path"].dropna().unique()}
-            texts = [extract(h if isinstance(h, str) else None, known.get(p)) for h, p in zip(pdf["html"], pdf["path"], strict=True)]
+            sets = {}
+            for host, sure, weak in zip(pdf["host"], pdf["sure"], pdf["weak"], strict=True):
+                if host not in sets:
+                    sets[host] = tuple(frozenset() if x is None else frozenset(x.tolist()) for x in (sure, weak))
+            texts = [extract(h if isinstance(h, str) else None, None, *sets[host]) for h, host in zip(pdf["html"], pdf["host"], strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = dict(df.dtypes)[id_col]
-    out = joined.select("id", "url", "html", "path").mapInPandas(work, f"id {kind}, url string, text string, n_chars long")
+    out = joined.select("id", "url", "host", "html", "sure", "weak").mapInPandas(work, f"id {kind}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -151,6 +151,26 @@ def test_names_alone_drop_no_article():
     assert wrapper.extract(page(f"<article>{body}{boxes}</article><div class='sidebar'><p>{'else ' * 20}</p></div>"), None) == f"Title\n\n{('long ' * 60).strip()}"
 
 
+def test_templates_of_all_pages(spark):
+    shared = "<p>Read more of us each week.</p><ul><li>Rate<li>Print</ul>"
+    a = lambda k: page(f"<div class='main'><p>{f'a{k} ' * 20}</p>{shared}</div>")
+    b = lambda k: page(f"<div class='main'><p>teaser {k}</p></div><div class='story'><p>{f'b{k} ' * 20}</p>{shared}</div>")
+    c = page(f"<article><h1>Alone</h1><p>{'c ' * 9}</p></article>")
+    html = [*map(a, range(12)), *map(b, range(5)), c]
+    rows = [(k, "http://h.example/", h) for k, h in enumerate(html)] + [(99, "http://one.example/", a(0)), (100, "http://h.example/", c)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == (f"a{k} " * 20).strip() for k in range(12))
+    assert all(got[12 + k] == f"teaser {k}\n\n{(f'b{k} ' * 20).strip()}" for k in range(5))
+    assert got[17] == got[100] == f"Alone\n\n{('c ' * 9).strip()}"
+    assert got[99].endswith("Read more of us each week.\n\nRate\n\nPrint")
+
+
+def test_near_copies_keep_their_text(spark):
+    rows = [(k, "http://h/", page(f"<p>{'the same ' * 30}</p><div>seen {k}</div>")) for k in range(2)]
+    got = wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"].startswith("the same the same") and r["text"].endswith(f"seen {r['page_id']}") for r in got)
+
+
 def test_pages(spark):
     rows = spark.read.parquet(f"{DIR}/pages.parquet").collect()
     got = {r["page_id"]: r for r in queries.op9_html_extraction(spark, DIR).collect()}
