@@ -252,7 +252,7 @@ def bm25_rrf(spark: SparkSession, d: str) -> DataFrame:
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("terms"))
     docs = table(spark, d, "documents").select("doc_id", words("text").alias("terms"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = lambda s: s.withColumn("rank", F.row_number().over(best)).where("rank <= 100")
+    ranked = lambda s: s.withColumn("rank", F.row_number().over(best))
     first = ranked(retrieval.bm25(queries, docs))
     shared = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(docs.select("doc_id", F.explode(F.array_distinct("terms")).alias("term")), "term")
     second = ranked(shared.groupBy("query_id", "doc_id").agg(F.count("*").alias("score")))

@@ -44,3 +44,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_bm25_rrf_fuses_whole_rankings(spark, tmp_path):
+    n = 150  # all share one term; the later, the shorter and so the better by BM25
+    spark.createDataFrame([(1, "alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, "alpha" + " x" * (n - k)) for k in range(n)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in catalogue.queries()["bm25_rrf"](spark, str(tmp_path)).collect()}
+    want = {k: 1 / (60 + n - k) + 1 / (61 + k) for k in range(n)}
+    assert got == pytest.approx({k: want[k] for k in [*range(5), *range(n - 5, n)]})
