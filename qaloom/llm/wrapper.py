@@ -1,24 +1,28 @@
-"""HTML extraction by template induction over all of a host's pages.
+"""HTML extraction by wrapper induction.
 
-A page is a sequence of units: a paragraph, a list, a table or a run of text, each at a path of
-keys in the DOM tree.  Over all pages of a host, and over those of one layout (the same boxes that hold
-text), it is counted how many have a path, and how many of these have the same text there.  What
-all of them say is template; each page gives the rest of its own units, so a host may have any
-number of layouts, and a page that no other resembles loses nothing.  Menus, adverts, notices, forms, comments and the like are left out before that.
+A page's text comes in units, a paragraph, a list, a table or a run of text each, that lie in boxes
+of its DOM tree.  The box trees of a host's pages are aligned by simple tree matching: boxes of one
+key match, in the order of siblings, so that as many boxes as possible and as many equal units as
+possible do.  All pages of a host are merged into one tree so, and those of one layout (the same
+boxes) into one of their own.  Units that all pages with a box have in it are template; what varies
+is content, of which each page gives its own.  A page that no other resembles loses nothing.
 
-A path counts if it is on two different pages at least and on one in 200 of its host's.  On two
-or three pages that says little: such text is dropped only from a page of which
-more is left than dropped.  A page of nothing but template keeps it.
+Never article, by tag: menus, footers, asides, forms, scripts and the like.  Of the content, boxes
+whose whole name says advert, notice, comments and the like go if they are small against the page or
+stand beside its article.
 
-``induce`` aligns a few pages of one host by simple tree matching and gives the path of the slot
-that holds all their varying text, for callers that have these pages at hand.
+A tree counts if two different pages made it at least, and one in 200 of its host's.  On two or
+three pages that says little: such text is dropped only from a page of which more is left than
+dropped.  A page of nothing but template keeps it.
 
-What moves: one hash of each distinct unit of a host from each task, and a host's template units,
-which are broadcast while there are few hosts and joined by a shuffle otherwise.  Pages stay where
-they are.
+What moves: one tree, of keys and hashes, for each host and layout of a task's pages.  Trees of a
+kind stream by and are merged one by one.  What is template is broadcast while it is small and
+joined by a shuffle otherwise.  Pages stay where they are.
 
 Defined results: a null or empty html gives an empty text; a null URL counts as a host of its own
-name; repeated rows are extracted one by one; extra columns don't matter; html is read whole.
+name; repeated rows are extracted one by one, and copies of one page alone make no template; extra columns don't matter; html is
+read whole.  Boxes more than 40 deep count as their ancestor's part, and beyond 64 runs of siblings
+order doesn't count: neither drops text.
 """
 
 from __future__ import annotations
@@ -27,20 +31,22 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Collection, Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.sources.durable import Tables
 from qaloom.llm.url_filter import parts
 
-LEAST_SHARE = 200  # a path on fewer than one in so many of a host's pages has no template
+LEAST_SHARE = 200  # a layout of fewer than one in so many of a host's pages has no template
 SURE_PAGES = 4  # so many pages that agree are enough to drop what is most of a page
-MOST_BROADCAST = 50_000  # hosts whose templates are broadcast
-ALIGNED_DEPTH = 40  # deeper nodes count as their ancestors' text in an alignment
+MOST_BROADCAST = 8 << 20  # characters of templates that are broadcast
+HELD_TREES = 20_000  # that a task merges pages into before it sends them on
+ALIGNED_DEPTH = 40  # deeper boxes count as their ancestor's part
+ORDERED_KIDS = 64  # runs of siblings that are aligned in order
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -72,7 +78,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("boxes", "key", "kids", "listed", "prose", "size", "skip", "tag")
+    __slots__ = ("boxes", "gone", "key", "kids", "listed", "prose", "size", "skip", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.kids = tag, []
@@ -82,7 +88,7 @@ class Node:
         hidden = "display:none" in said.get("style", "").replace(" ", "").lower() or said.get("aria-hidden") == "true" or re.search(r"\shidden(?:\s|=|/|$)", attrs) is not None
         self.skip = tag in DROPPED or hidden
         self.listed = bool(said) and tag not in NEVER_LISTED and any(map(_names_a_box, f"{named} {said.get('role', '')}".lower().split()))
-        self.size, self.prose, self.boxes = 0, False, False
+        self.size, self.prose, self.boxes, self.gone = 0, False, False, False
 
 
 def _names_a_box(token: str) -> bool:
@@ -92,7 +98,7 @@ def _names_a_box(token: str) -> bool:
 
 
 def judge(root: Node) -> Node:
-    """Skip listed nodes that are small against the page, and those beside its article that have no paragraphs or aren't most of it."""
+    """Mark listed nodes that are small against the page, and those beside its article that have no paragraphs or aren't most of it."""
     order: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
     for node, _, inside in order:  # grows as it is walked; parents come first
         order.extend((x, node, inside or node.tag in ("article", "main")) for x in node.kids if not isinstance(x, str) and not x.skip)
@@ -111,7 +117,7 @@ def judge(root: Node) -> Node:
     for node, _, inside in order:
         if node.listed and id(node) not in holds:
             small = node.size * SMALL <= total or (not node.prose and node.size * SMALL_BOX <= total)
-            node.skip = small or (declared and not inside and (not node.prose or node.size * 2 <= total))
+            node.gone = small or (declared and not inside and (not node.prose or node.size * 2 <= total))
     return root
 
 
@@ -192,41 +198,56 @@ def _has_heading(node: Node) -> bool:
     return False
 
 
-Unit = tuple[int, list[str], int]
+class Box:
+    """A box of a page or, merged, of many: ``n`` pages have it, and all of these the units of ``same`` in it.
 
+    ``lo`` and ``hi`` are the least and greatest hash of such a page: equal if it is one page again and again.
+    """
 
-@lru_cache(100_000)
-def _path(above: int, key: str) -> int:
-    return _hash(f"{above}/{key}")
+    __slots__ = ("hi", "key", "kids", "lo", "n", "same")
 
+    def __init__(self, key: str, n: int = 1, lo: int = 0, hi: int = 0, same: Sequence[int] = (), kids: Sequence[list] = ()):
+        self.key, self.n, self.lo, self.hi, self.same = key, n, lo, hi, set(same)
+        self.kids = [Box(*x) for x in kids]
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+    def packed(self) -> list:
+        return [self.key, self.n, self.lo, self.hi, sorted(self.same), [x.packed() for x in self.kids]]
+
+
+class Unit:
+    """Text blocks that belong together, the box around them, and whether a name tells that they are no article."""
+
+    __slots__ = ("box", "gone", "mark", "texts")
+
+    def __init__(self, box: Box, key: str, gone: bool):
+        self.box, self.mark, self.gone, self.texts = box, key, gone, []
 
 
-def blocks(top: Node) -> list[str]:
-    """The text blocks below a node, in order, without what isn't article."""
-    return [text for _, texts, _ in units(top) for text in texts]
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def units(top: Node) -> list[Unit]:
-    """The text blocks below a node by unit: its path, its blocks, and the path of the box around it.
+def units(top: Node) -> tuple[Box, list[Unit]]:
+    """The boxes below a node that hold text, and its text by units, in order.
 
     A paragraph, list, table and the like is one unit, unless it holds boxes; so is a run of text beside them.
+    Neighbours of one key are one box: a list of cards is a box of all their units.
     """
     out: list[Unit] = []
     held: list[str] = []
-    paths = [_path(0, top.key)]
+    root = Box(top.key)
+    boxes = [root]
+    gone = 0  # open nodes that a name tells to be no article
     whole = 0  # the depth at which a unit of several blocks is open
+    last: dict[int, str] = {}  # by box, the key of the child seen last
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                if whole:
-                    out[-1][1].append(text)
-                else:
-                    out.append((paths[-1], [text], paths[-1]))
+                if not whole:
+                    out.append(Unit(boxes[-1], "", gone > 0))
+                out[-1].texts.append(text)
             held.clear()
 
     todo: list[tuple[Node, Iterator]] = [(top, iter(top.kids))]
@@ -243,188 +264,236 @@ def units(top: Node) -> list[Unit]:
                 continue
             if x.tag in ("br", "td", "th", "img", "wbr"):
                 held.append("" if x.tag == "wbr" else " ")
-            if block:
+            if block or x.gone:
                 flush()
-            paths.append(_path(paths[-1], x.key) if block and not whole else paths[-1])
             todo.append((x, iter(x.kids)))
-            if block and not whole and x.tag in PROSE and not x.boxes:
+            gone += x.gone
+            one = block and not whole and x.tag in PROSE and not x.boxes
+            here = boxes[-1]
+            if block and not whole and not one and len(boxes) < ALIGNED_DEPTH:
+                if last.get(id(here)) != x.key:
+                    here.kids.append(Box(x.key))
+                    last[id(here)] = x.key
+                here = here.kids[-1]
+            boxes.append(here)
+            if one:
                 whole = len(todo)
-                out.append((paths[-1], [], paths[-2]))
+                out.append(Unit(here, x.key, gone > 0))
             break
         else:
-            if node.tag in BLOCKS or len(todo) == 1:
+            if node.tag in BLOCKS or node.gone or len(todo) == 1:
                 flush()
             elif node.tag in ("td", "th"):
                 held.append(" ")
             if len(todo) == whole:
                 whole = 0
+            gone -= node.gone
             todo.pop()
-            paths.pop()
-    return [x for x in out if x[1]]
+            boxes.pop()
+    out = [x for x in out if x.texts]
+    for x in out:
+        x.mark = _hash(x.mark + "\n" + "\n".join(x.texts))
+        x.box.same.add(x.mark)
+    into: dict[int, Box] = {}
+    _prune(root, into)
+    for x in out:
+        x.box = into.get(id(x.box), x.box)
+    return root, out
+
+
+def _prune(box: Box, into: dict[int, Box]) -> bool:
+    """Take boxes without text away; whether one is left.  ``into``: boxes that became part of another one."""
+    if len(box.kids) > ORDERED_KIDS:  # order no longer counts: one key, one box
+        first: dict[str, Box] = {}
+        for x in box.kids:
+            y = first.setdefault(x.key, x)
+            if x is not y:
+                y.same |= x.same
+                y.kids += x.kids
+                into[id(x)] = y
+        box.kids = list(first.values())
+    box.kids = [x for x in box.kids if _prune(x, into)]
+    return bool(box.same or box.kids)
 
 
 def _within(todo: list[tuple[Node, Iterator]]) -> bool:
     return any(node.tag in ("article", "main") for node, _ in todo)
 
 
-class Shape:
-    """A node of an alignment: siblings of one key are one shape; ``texts`` by page."""
-
-    __slots__ = ("key", "kids", "texts")
-
-    def __init__(self, key: str):
-        self.key, self.kids, self.texts = key, [], {}
-
-    @property
-    def tag(self) -> str:
-        return self.key.partition(".")[0]
+def read(page: str) -> tuple[Box, list[Unit]]:
+    """A page's boxes, each with the hash of the page, and its units."""
+    root, found = units(judge(parse(page)))
+    own = _hash(",".join(str(u.mark) for u in found))
+    todo = [root]
+    while todo:
+        box = todo.pop()
+        box.lo = box.hi = own
+        todo += box.kids
+    return root, found
 
 
-def shape_of(nodes: list[Node], page: int, depth: int = 0) -> Shape:
-    """The shape of siblings of one key, without what is never article."""
-    out = Shape(nodes[0].key)
-    groups: dict[str, list[Node]] = {}
-    own: list[str] = []
-    for node in nodes:
-        for x in node.kids:
-            if isinstance(x, str):
-                own.append(x)
-            elif not x.skip:
-                if depth >= ALIGNED_DEPTH or x.tag in PROSE:
-                    own.append(" ".join(blocks(x)))
-                else:
-                    groups.setdefault(x.key, []).append(x)
-    out.texts[page] = " ".join(" ".join(own).split())
-    out.kids = [shape_of(g, page, depth + 1) for g in groups.values()]
-    return out
-
-
-def match(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes that two trees share in order, and the children paired for it."""
+def match(a: Box, b: Box, known: dict) -> int:
+    """Simple tree matching: how many boxes and equal units two trees share in order; ``known`` gets the pairs of children."""
     if a.key != b.key:
-        return 0, []
-    m, n = len(a.kids), len(b.kids)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    each = [[match(x, y)[0] for y in b.kids] for x in a.kids]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + each[i - 1][j - 1])
-    pairs, i, j = [], m, n
+        return 0
+    score = 1 + len(a.same & b.same)
+    if not a.kids or not b.kids:
+        known[id(a), id(b)] = []
+        return score
+    if max(len(a.kids), len(b.kids)) > ORDERED_KIDS:
+        of = {}
+        for x in b.kids:
+            of.setdefault(x.key, x)
+        pairs, met = [], set()
+        for x in a.kids:
+            if x.key in of and x.key not in met:
+                met.add(x.key)
+                pairs.append((x, of[x.key]))
+                score += match(x, of[x.key], known)
+        known[id(a), id(b)] = pairs
+        return score
+    each = [[match(x, y, known) for y in b.kids] for x in a.kids]
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, row in enumerate(each):
+        for j, w in enumerate(row):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
+    pairs, i, j = [], len(a.kids), len(b.kids)
     while i and j:
-        if each[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + each[i - 1][j - 1]:
+        w = each[i - 1][j - 1]
+        if w and best[i][j] == best[i - 1][j - 1] + w:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
+            pairs.append((a.kids[i], b.kids[j]))
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[m][n], pairs[::-1]
-
-
-def align(template: Shape, page: Shape) -> None:
-    """Merge a page's shape into the template: matched nodes gather its texts, others are added."""
-    template.texts |= page.texts
-    paired = match(template, page)[1]
-    for i, j in paired:
-        align(template.kids[i], page.kids[j])
-    met = {j for _, j in paired}
-    template.kids += [x for j, x in enumerate(page.kids) if j not in met]
-
-
-def induce(pages: list[str]) -> list[str]:
-    """The path of keys from the root to the slot of pages of one host."""
-    shapes = [shape_of([judge(parse(p))], k) for k, p in enumerate(pages)]
-    template = shapes[0]
-    for s in shapes[1:]:
-        align(template, s)
-    many = len({json.dumps(sorted(_texts(s, k))) for k, s in enumerate(shapes)}) > 1 if len(shapes) > 1 else False
-
-    def weight(s: Shape) -> int:
-        varies = not many or len(s.texts) < 2 or len(set(s.texts.values())) > 1
-        return varies * sum(map(len, s.texts.values())) + sum(map(weight, s.kids))
-
-    path, node, total = [template.key], template, weight(template)
-    while total and node.tag not in ("article", "main"):
-        heavy = [x for x in node.kids if weight(x) == total]
-        if not heavy:
-            break
-        node = heavy[0]
-        path.append(node.key)
-    return path
+    known[id(a), id(b)] = pairs[::-1]
+    return score + best[-1][-1]
+
+
+def align(template: Box, other: Box, known: dict | None = None) -> None:
+    """Merge a tree into a template: of matched boxes the units that both have stay, other boxes are added."""
+    if known is None:
+        known = {}
+        match(template, other, known)
+    template.n += other.n
+    template.lo, template.hi = min(template.lo, other.lo), max(template.hi, other.hi)
+    template.same &= other.same
+    twin = {id(y): x for x, y in known.get((id(template), id(other)), [])}
+    at = 0
+    for y in other.kids:
+        if x := twin.get(id(y)):
+            align(x, y, known)
+            at = next(k for k, z in enumerate(template.kids) if z is x) + 1
+        else:
+            template.kids.insert(at, y)
+            at += 1
+
+
+def layout(box: Box) -> int:
+    """The hash of a tree's boxes."""
 
+    def paths(x: Box) -> str:
+        return f"{x.key}({','.join(map(paths, x.kids))})"
 
-def _texts(s: Shape, page: int) -> list[str]:
-    return [s.texts.get(page, ""), *[t for x in s.kids for t in _texts(x, page)]]
+    return _hash(paths(box)) or 1
 
 
-def slot_text(root: Node, path: list[str]) -> str | None:
-    """The text of the nodes at the path; None where a page has none."""
-    level = [root] if root.key == path[0] else []
-    for key in path[1:]:
-        level = [x for node in level for x in node.kids if not isinstance(x, str) and x.key == key and not x.skip]
-    return "\n\n".join(t for node in level for t in blocks(node)) if level else None
+def induce(pages: Sequence[str]) -> list[tuple[int, Box]]:
+    """(layout, tree) of pages of one host; layout 0 is that of all of them."""
+    trees: dict[int, Box] = {}
+    for page in pages:
+        _merge_page(trees, read(page)[0])
+    return list(trees.items())
+
+
+def _merge_page(trees: dict, root: Box, *host: str | None) -> None:
+    for kind in (0, layout(root)):
+        key = (*host, kind) if host else kind
+        copy = Box(*root.packed())
+        if key in trees:
+            align(trees[key], copy)
+        else:
+            trees[key] = copy
 
 
-def extract(page: str | None, path: list[str] | None = None, sure: Collection[int] = (), weak: Collection[int] = ()) -> str:
-    """A page's text: that of a slot if it has one at ``path``, and else all but the template units of its host."""
+def extract(page: str | None, wrapper: Sequence[tuple[int, Box]] = ()) -> str:
+    """A page's text: its units but for its host's template and for what a name tells to be no article."""
     if not page:
         return ""
-    root = judge(parse(page))
-    text = slot_text(root, path) if path else None
-    if text:
-        return text
-    found = units(root)
-    marks = _marks(found)
-    for template in ({*sure, *weak}, set(sure)):
-        left = [x for x, m in zip(found, marks, strict=True) if template.isdisjoint(m[1::2])]
-        kept, most = (sum(len(t) for _, texts, _ in u for t in texts) for u in (left, found))
+    root, found = read(page)
+    own = layout(root)
+    sure: set[tuple[int, int]] = set()
+    weak: set[tuple[int, int]] = set()
+    for kind, template in wrapper:
+        if kind in (0, own):
+            known: dict = {}
+            match(template, root, known)
+            todo = [(template, root)] if template.key == root.key else []
+            while todo:
+                x, y = todo.pop()
+                if x.lo < x.hi:
+                    (sure if x.n >= SURE_PAGES else weak).update((id(y), mark) for mark in x.same)
+                todo += known.get((id(x), id(y)), [])
+    said = [u for u in found if not u.gone]
+    for template in (sure | weak, sure):
+        left = [u for u in said if (id(u.box), u.mark) not in template]
+        kept, most = (sum(len(t) for u in us for t in u.texts) for us in (left, said))
         if 2 * kept > most or (kept and template.isdisjoint(weak)):
             return _joined(left)
-    return _joined(found)
+    return _joined(said)
 
 
 def _joined(found: list[Unit]) -> str:
-    return "\n\n".join(t for _, texts, _ in found for t in texts)
+    return "\n\n".join(t for u in found for t in u.texts)
 
 
-def _marks(found: list[Unit]) -> list[tuple[int, int, int, int]]:
-    """For each unit its path and the hash of what it says there, over all pages and over those of the page's layout.
+TREE = "host string, layout long, n long, tree string"
 
-    The layout is the set of boxes that hold text.
-    """
-    layout = _hash(",".join(map(str, sorted({box for _, _, box in found}))))
-    out = []
-    for path, texts, _ in found:
-        mark = _hash(f"{path}\n" + "\n".join(texts))
-        out.append((path, mark, _path(layout, str(path)), _hash(f"{layout}:{mark}")))
-    return out
 
+def _tree_rows(trees: dict) -> pa.RecordBatch:
+    rows = [(host, kind, x.n, json.dumps(x.packed(), separators=(",", ":"))) for (host, kind), x in trees.items()]
+    cols = zip(*rows, strict=True) if rows else ((),) * 4
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "layout", "n", "tree"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trees of (host, html) rows."""
+    trees: dict = {}
+    for batch in batches:
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            _merge_page(trees, read(html.as_py())[0], host)
+            if len(trees) >= HELD_TREES:
+                yield _tree_rows(trees)
+                trees.clear()
+    yield _tree_rows(trees)
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(_host, sure, weak): hashes of the template units of each host of pages (host, html)."""
-
-    def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for host, html in zip(pdf["host"], pdf["html"], strict=True):
-                found = {pair for m in _marks(units(judge(parse(html)))) for pair in (m[:2], m[2:])}
-                page = _hash(",".join(map(str, sorted(m for _, m in found))))
-                rows.append((host, 0, None, page))
-                rows += [(host, path, None, page) for path in {p for p, _ in found}]
-                rows += [(host, path, mark, page) for path, mark in found]
-            hosts, paths, marks, of = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pd.DataFrame({"host": list(hosts), "path": pd.array(paths, "int64"), "mark": pd.array(marks, "Int64"), "page": pd.array(of, "int64")})
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One tree of each kind, from rows of which those of a kind follow one another."""
+    trees: dict = {}
+    for batch in batches:
+        for host, kind, _, tree in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            box = Box(*json.loads(tree))
+            if (host, kind) in trees:
+                align(trees[host, kind], box)
+            else:
+                if len(trees) >= 64:
+                    yield _tree_rows(trees)
+                    trees.clear()
+                trees[host, kind] = box
+    yield _tree_rows(trees)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(_host, wrapper): the trees that tell something, as JSON by layout, of each host of pages (host, html)."""
     tables = Tables(pages.sparkSession)
-    said = pages.where("html <> ''").select("host", "html").mapInPandas(count, "host string, path long, mark long, page long")
-    counts = said.groupBy("host", "path", "mark").agg(F.count("*").alias("n"), (F.min("page") < F.max("page")).alias("differ"))
-    counts = tables.save(counts.where("differ"))
-    total = counts.where("mark IS NULL AND path = 0").select(F.col("host").alias("_host"), F.col("n").alias("of"))
-    paths = counts.where("mark IS NULL AND path <> 0").select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("n").alias("have"))
-    paths = paths.join(total, F.col("_h") == F.col("_host")).where(F.col("have") * LEAST_SHARE >= F.col("of"))
-    same = counts.where("mark IS NOT NULL").join(paths, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")) & (F.col("n") == F.col("have")))
-    sure = F.col("have") >= SURE_PAGES
-    return tables.save(same.groupBy("_host").agg(F.collect_list(F.when(sure, F.col("mark"))).alias("sure"), F.collect_list(F.when(~sure, F.col("mark"))).alias("weak")))
+    each = pages.where("html <> ''").select("host", "html").mapInArrow(_trees, TREE)
+    merged = tables.save(each.repartition("host", "layout").sortWithinPartitions("host", "layout").mapInArrow(_merged, TREE))
+    total = merged.where("layout = 0").select(F.col("host").alias("_h"), F.col("n").alias("of"))
+    common = merged.where("n > 1").join(total, F.col("host") == F.col("_h")).where(F.col("n") * LEAST_SHARE >= F.col("of"))
+    return tables.save(common.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("layout", "tree")).alias("wrapper")))  # 201 at most
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -433,18 +502,23 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     pages = df.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     pages = pages.withColumn("host", parts(F.col("url"))[0])
     found = templates(pages)
-    small = F.broadcast if found.count() <= MOST_BROADCAST else (lambda x: x)
+    size = found.agg(F.sum(F.aggregate("wrapper", F.lit(0).cast("long"), lambda a, x: a + F.length(x["tree"])))).first()[0] or 0
+    small = F.broadcast if size <= MOST_BROADCAST else (lambda x: x)
     joined = pages.join(small(found), F.col("host") == F.col("_host"), "left")
 
-    def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            sets = {}
-            for host, sure, weak in zip(pdf["host"], pdf["sure"], pdf["weak"], strict=True):
-                if host not in sets:
-                    sets[host] = tuple(frozenset() if x is None else frozenset(x.tolist()) for x in (sure, weak))
-            texts = [extract(h if isinstance(h, str) else None, None, *sets[host]) for h, host in zip(pdf["html"], pdf["host"], strict=True)]
-            yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[tuple[int, Box]]] = {}
+        for batch in batches:
+            texts = []
+            for html, host, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if host not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    known[host] = [(x["layout"], Box(*json.loads(x["tree"]))) for x in wrapper.as_py() or ()]
+                texts.append(extract(html.as_py(), known[host]))
+            counts = pa.array(np.array([len(t) for t in texts], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), counts], names=["id", "url", "text", "n_chars"])
 
     kind = dict(df.dtypes)[id_col]
-    out = joined.select("id", "url", "host", "html", "sure", "weak").mapInPandas(work, f"id {kind}, url string, text string, n_chars long")
+    out = joined.select("id", "url", "html", "host", "wrapper").mapInArrow(work, f"id {kind}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
