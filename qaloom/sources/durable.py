@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FILE_ROWS = 1_000_000  # of a table whose rows are counted beforehand
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The session's checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="qaloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="qaloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -22,7 +28,10 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df`` written and read again.  ``rows``, about how many there are, keeps small tables from being many tiny files."""
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
         path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -35,3 +44,13 @@ class Tables:
                 jvm = self.spark.sparkContext._jvm
                 path = jvm.org.apache.hadoop.fs.Path(found[1])
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let the executors' JVMs return heap that earlier stages made them grow to.
+
+    An executor's Python workers live beside its JVM in one container, and a heap shrinks in a full
+    collection only.  One short task for each core; results never depend on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done").where("done is not null").count()
