@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from qaloom.llm import textblocks as tb
 from qaloom.llm.components import components
-from qaloom.sources.durable import Tables
+from qaloom.sources.durable import Tables, give_back
 
 WORDS = 5
 SIMILARITY = (75, 100)  # a ratio of integers, so that no rounding decides
@@ -38,10 +38,12 @@ BLOCK_BYTES = 4 << 20  # text bytes gathered into one set of blocks
 GROUP_TOKENS = 1_000_000  # tokens that one group of blocks is sized for
 HOT_LEAST, HOT_SHARE = 16, 128  # a token is hot if so many sets of a block, and one in so many, hold it
 MOST_HOT = 500_000  # hot tokens that every task knows: 8 MB
+TOKENS_PER_ROW = 20  # as many tokens make a file as large as one row of ids
 SHARED = "part long, cls binary, n binary, tokens binary, freq binary"
 RUN = 0xFFFF  # tokens of a set in one run of a block
 CHUNK_SETS = 128  # open sets that meet others together
-MEETING_TOKENS = 1_000_000  # tokens that one meeting's other side is sized for
+MEETING_TOKENS = 1_000_000  # tokens that each side of a meeting is sized for
+TILE_SETS = 2048  # of the other side that are compared with CHUNK_SETS at once
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +309,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFrame, similarity: tuple[int, int], tables: Tables) -> DataFrame:
+def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFrame, similarity: tuple[int, int], tables: Tables, rows: int) -> DataFrame:
     """All similar pairs (a, b) of classes that the leaders have left in different components.
 
     A class is open if a posting list holds it and mostly another component.  Open classes form
@@ -317,19 +319,21 @@ def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: Da
     num, den = similarity
     known = entries.join(label, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "l", F.coalesce("component", "cls").alias("comp"))
     main = known.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"))
-    lists = tables.save(known.join(main.where("comps > 1").drop("comps"), "token"))
-    opened = lists.where("comp <> main").select("cls", "comp").distinct().join(leads, F.col("cls") == F.col("a"), "left")
-    opened = opened.select("cls", "comp", F.coalesce("b", "cls").alias("lead"))
-    of_lead = opened.groupBy("lead").agg(F.ceil(F.count("*") / CHUNK_SETS).alias("parts"))
-    opened = tables.save(opened.join(of_lead, "lead"))
-    chunks = max(1, -(-opened.count() // CHUNK_SETS))
-    chunk = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("cls"), "parts")), F.lit(2 * chunks))
-    opened = tables.save(opened.select("cls", "comp", chunk.alias("chunk")))
+    lists = tables.save(known.join(main.where("comps > 1").drop("comps"), "token"), rows)
+    opened = lists.where("comp <> main").select("cls", "comp", "n").distinct().join(leads, F.col("cls") == F.col("a"), "left")
+    opened = opened.select("cls", "comp", "n", F.coalesce("b", "cls").alias("lead"))
+    pieces = lambda sets, tokens: F.greatest(F.ceil(sets / CHUNK_SETS), F.ceil(tokens / MEETING_TOKENS))
+    of_lead = opened.groupBy("lead").agg(pieces(F.count("*"), F.sum("n")).alias("parts"))
+    opened_ = opened = tables.save(opened.join(of_lead, "lead"), rows)
+    chunks = opened.agg(F.coalesce(pieces(F.count("*"), F.sum("n")), F.lit(0))).first()[0]
+    chunk = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("cls"), "parts")), F.lit(max(1, 2 * chunks)))
+    opened = opened.select("cls", "comp", chunk.alias("chunk"))
     asked = lists.join(opened.select("cls", "chunk"), "cls").groupBy("chunk", "token").agg(F.min("l").alias("least"))
     met = asked.join(lists.select("token", "cls", "l"), "token").groupBy("chunk", "cls").agg(F.count("*").alias("shared"), F.min(F.least("least", "l")).alias("need"))
-    met = tables.save(met.where("shared >= need").select("chunk", "cls"))
+    met = tables.save(met.where("shared >= need").select("chunk", "cls"), rows)
     size = met.join(sets.select("cls", "n"), "cls").groupBy("chunk").agg(F.ceil(F.sum("n") / MEETING_TOKENS).alias("parts"))
-    size = tables.save(size)
+    size = tables.save(size, rows)
+    give_back(sets.sparkSession)
     full = sets.join(label, F.col("cls") == F.col("node"), "left").select("cls", "n", "l", F.coalesce("component", "cls").alias("comp"), "prefix", "tokens")
     own = opened.select("cls", "chunk").join(size, "chunk").select("cls", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(full, "cls")
     other = met.join(size, "chunk").select("cls", "chunk", F.pmod(F.xxhash64("cls"), "parts").alias("part")).join(full, "cls")
@@ -337,35 +341,48 @@ def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: Da
     own, other = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (own, other))  # columns of their own
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(x) and len(y):
-            col = lambda f, c: f[c].to_numpy()
-            arrays = lambda f, c: [np.asarray(v, np.int64) for v in f[c]]
-            may = overlaps(arrays(x, "prefix"), arrays(y, "prefix")) >= np.minimum(col(x, "l")[:, None], col(y, "l")[None, :])
-            may &= col(x, "comp")[:, None] != col(y, "comp")[None, :]
-            rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
-            tx, ty, nx, ny = arrays(x, "tokens"), arrays(y, "tokens"), col(x, "n"), col(y, "n")
-            both = overlaps([tx[i] for i in rows], [ty[j] for j in cols])
-            alike = den * both >= num * (nx[rows][:, None] + ny[cols][None, :] - both)
-            i, j = np.nonzero(alike & may[np.ix_(rows, cols)])
-            found = [col(x, "cls")[rows[i]], col(y, "cls")[cols[j]]]
-        return pd.DataFrame({"a": found[0], "b": found[1]} if len(found) else {"a": [], "b": []}).astype("int64")
-
-    return tables.save(own.groupBy("chunk", "part").cogroup(other.groupBy("chunk", "part")).applyInPandas(meet, "a long, b long"))
+        col = lambda f, c: f[c].to_numpy()
+        arrays = lambda f, c: [np.asarray(v, np.int64) for v in f[c]]
+        found = [np.zeros((2, 0), np.int64)]
+        for i in range(0, len(x), CHUNK_SETS):
+            for j in range(0, len(y), TILE_SETS):
+                u, v = x.iloc[i : i + CHUNK_SETS], y.iloc[j : j + TILE_SETS]
+                may = overlaps(arrays(u, "prefix"), arrays(v, "prefix")) >= np.minimum(col(u, "l")[:, None], col(v, "l")[None, :])
+                may &= col(u, "comp")[:, None] != col(v, "comp")[None, :]
+                p, q = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+                u, v, may = u.iloc[p], v.iloc[q], may[np.ix_(p, q)]
+                both = overlaps(arrays(u, "tokens"), arrays(v, "tokens"))
+                p, q = np.nonzero(may & (den * both >= num * (col(u, "n")[:, None] + col(v, "n")[None, :] - both)))
+                found.append(np.stack([col(u, "cls")[p], col(v, "cls")[q]]))
+        a, b = np.concatenate(found, 1)
+        return pd.DataFrame({"a": a, "b": b})
+
+    pairs = own.groupBy("chunk", "part").cogroup(other.groupBy("chunk", "part")).applyInPandas(meet, "a long, b long")
+    out = tables.save(pairs, rows)
+    tables.drop(lists, opened_, met, size)
+    return out
 
 
 def _class_components(sets: DataFrame, similarity: tuple[int, int], tables: Tables) -> DataFrame:
     """(node, component) of the classes that have a similar class."""
+    give_back(sets.sparkSession)
+    rows = sets.count()
     entries = sets.select("cls", "n", "l", "weight", F.explode("prefix").alias("token"))
     # First, each class and the most typical class of its posting lists that it meets most often.
     lead = entries.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1")
     meets = entries.join(lead, "token").where((F.col("cls") != F.col("lead.cls")) & _fits(F.col("n"), F.col("lead.n"), similarity))
     votes = meets.groupBy("cls", F.col("lead.cls").alias("b")).count().groupBy(F.col("cls").alias("a"))
-    leads = tables.save(votes.agg(F.max_by("b", F.struct("count", "b")).alias("b")))
-    links = tables.save(_similar(leads, sets, similarity))
-    label = tables.save(components(links, tables))
-    links = links.unionByName(_open_pairs(entries, leads, label, sets, similarity, tables))
-    return tables.save(components(links, tables))
+    leads = tables.save(votes.agg(F.max_by("b", F.struct("count", "b")).alias("b")), rows)
+    led = tables.save(_similar(leads, sets, similarity), rows)
+    give_back(sets.sparkSession)
+    label = tables.save(components(led, tables, rows), rows)
+    give_back(sets.sparkSession)
+    met = _open_pairs(entries, leads, label, sets, similarity, tables, rows)
+    give_back(sets.sparkSession)
+    out = tables.save(components(led.unionByName(met), tables, rows), rows)
+    give_back(sets.sparkSession)
+    tables.drop(leads, led, label, met)
+    return out
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -387,8 +404,9 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _shared_tokens(_blocks(rows, words, parts, hot), parts)
     if len(hot):
         shared = shared.unionByName(_hot_entries(rows, words, parts, hot, freq))
-    sets = tables.save(_prefixes(shared, similarity))
+    sets = tables.save(_prefixes(shared, similarity), total // TOKENS_PER_ROW)
     label = _class_components(sets, similarity, tables)
+    tables.drop(sets)
     of_class = signs.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
     named = of_class.join(label, of_class.cls == label.node, "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
     joined = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
