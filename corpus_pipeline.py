@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qaloom.sources.durable import Tables
+from qaloom.sources.durable import Tables, give_back
 from qaloom.llm.mixing import mix_sources
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
@@ -22,26 +22,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
+    give_back(spark)
     return quality_rules(docs, carry=COLUMNS).where(F.col("kept")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near duplicates; of equal rows, one."""
+    """One document, that of the least doc_id, of each group of near duplicates; of equal rows, one.
+
+    Rows without an id are kept, of those with equal texts one; a null text links with nothing.
+    All texts of an id stay if one of them leads its group.
+    """
     ship(spark)
-    kept = ngram_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    once = Window.partitionBy("doc_id", "_same").orderBy("lang", "source")
-    return (
-        docs.select(*COLUMNS)
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-        .withColumn("_same", F.xxhash64("text"))
-        .withColumn("_nth", F.row_number().over(once))
-        .where("_nth = 1")
-        .select(*COLUMNS)
-    )
+    give_back(spark)
+    kept = ngram_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"), F.lit(True).alias("_is")).distinct()
+    same = docs.select(*COLUMNS).withColumn("_same", F.xxhash64("text"))
+    same = same.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none "), F.col("_same").cast("string"))))
+    found = same.join(kept.select(F.col("kept_id").cast("string").alias("_key"), "_is"), "_key", "left").where("_is or doc_id is null")
+    once = Window.partitionBy("_key", "_same").orderBy("lang", "source")  # dealt by _key already: texts move once
+    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
+    give_back(spark)
     found = scan_secrets(docs.select(*COLUMNS))
     some = F.size("secret_spans") > 0
     text = masked(F.col("text"), F.col("secret_spans"))
@@ -51,6 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one that ends a source's quota is cut to its first words."""
+    give_back(spark)
     mixed = mix_sources(docs, carry=COLUMNS)
     words = F.col("segments")
     epochs = F.array_distinct(F.transform(words, lambda s: s["epoch"]))
@@ -65,6 +69,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document's ids goes."""
     ship(spark)
+    give_back(spark)
     return pack(docs)
 
 
