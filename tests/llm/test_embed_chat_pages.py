@@ -52,7 +52,7 @@ def test_embeddings_against_all_pairs(spark):
             k += 1
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = brute([(i, [float(x) for x in v]) for i, v in rows])
-    assert run(df) == want and run(df, slice_rows=16) == want
+    assert run(df) == want and run(df, group_bytes=4 * 24 * 16) == want and run(df, group_bytes=4 * 24 * 60) == want
 
 
 def test_odd_vectors(spark):
@@ -66,13 +66,32 @@ def test_each_pair_is_found_by_one_block():
     rnd = np.random.default_rng(0)
     x = rnd.standard_normal((60, 32))
     x[30:] = x[:30] + 0.05 * rnd.standard_normal((30, 32))
-    ids = np.arange(60)
-    found = [p for b in range(4) for p in zip(*map(np.ndarray.tolist, embed_join._meet(x, x, ids, ids, b, 32, 0.9, True)), strict=True)]
     u = x / np.linalg.norm(x, axis=1)[:, None]
+    found = [(p, q) for b in range(4) for ps, qs in embed_join._meet(u, u, b, 32, 0.9, True) for p, q in zip(ps.tolist(), qs.tolist(), strict=True)]
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.9}
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_leaves_within_reach():
+    rnd = np.random.default_rng(1)
+    for leaves in (1, 2, 7, 32):
+        x = rnd.standard_normal((400, 5))
+        tree = embed_join.kd_tree(x[::3], leaves)
+        row, leaf, own = embed_join.visits(x, tree, 0.5)
+        home = dict(zip(row[own].tolist(), leaf[own].tolist(), strict=True))
+        assert sorted(home) == list(range(400)) and len(set(zip(row.tolist(), leaf.tolist(), strict=True))) == len(row) and max(home.values()) < max(1, 2 * leaves)
+        reached = set(zip(row.tolist(), leaf.tolist(), strict=True))
+        near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.5
+        assert all((int(i), home[int(j)]) in reached for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_a_large_group_lists_no_pairs():
+    x = np.ones((300, 8)) + 1e-3 * np.random.default_rng(2).standard_normal((300, 8))
+    who, more, a, b = embed_join.linked(x, np.arange(300) + 7, np.ones(300, np.int64), np.arange(300) >= 200, 0, 8, 0.9, True)
+    assert len(a) == len(b) == 299 and sorted(who.tolist()) == list(range(7, 307))
+    assert more[who < 207].tolist() == [299] * 200 and more[who >= 207].tolist() == [200] * 100
+
+
 @given(st.text(alphabet="<|\\a\n>"), st.text(alphabet="<|\\a\nim_end>"))
 def test_turns_come_back(role, text):
     piece, loss, _, _ = chat.format_turn(role, text)
