@@ -1,20 +1,24 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-One model is of random strings, one of ordinary identifiers; both are counted from labelled
-samples.  A run of key-like characters is a secret if the first explains it better by a margin.
+One model is of random strings, one of ordinary identifiers, paths, numbers and words; both are
+counted from labelled samples.  What fixed patterns leave of a run of key-like characters is read
+transition by transition: the ratio adds up, starts anew when ordinary text has used it up, and
+where it rose above a margin the string is a secret, out to the next joiners.  So a key is found
+beside an ordinary prefix too, and no rule on digits or letters comes before the models.
 Everything runs on built-in functions, in the scan's own tasks: no shuffle, no Python.
 
 Positions come from a split and an extraction of the same pattern, which alternate: gap, match,
-gap, ...  ``length`` counts code points, so spans do too.
+gap, ...  ``length`` counts code points, so spans do too.  Sums over matches run in pieces of
+PIECE, so that the time grows with their number, not with its square.
 
 Defined results: a null text counts as an empty one (no spans); repeated rows are scanned one by
-one; extra columns pass through; texts are scanned whole.
+one; no rows give none; extra columns pass through; texts are scanned whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +28,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-#: What the models judge: whole runs of key-like characters that hold a digit and a letter.
+#: Runs that the models read.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = 66  # characters that a candidate can hold
 SAMPLES = 4_000  # labelled samples of each kind at most
-MARGIN = 6.0  # nats by which the random model must win
+MARGIN = 18.0  # nats by which the random model must win
+FALL = 12.0  # nats below its highest that end a string
+LEAST = 16  # characters of a secret
+PIECE = 256  # matches summed up together
 _CODES = 128
 
 #: Words of ordinary identifiers, from which labelled samples are put together.
@@ -46,31 +53,53 @@ WORDS = (
 ).split()
 
 
+#: Syllables of which words outside that list are coined.
+SYLLABLES = (
+    "ba be bra che cor da den der dis ein en er est fer ga ger gen hin ing ion is ka ker la lich lin ma men ment mor na ner nom on or pa per pre pro ra re ri "
+    "sa schen ser sion sta ta ten ter the tion to tra tri tur un ung va ver vo wa wer with"
+).split()
+
+
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(sample, random): n random strings and n ordinary identifiers, the same ones each time."""
-    words = F.split(F.lit(" ".join(WORDS)), " ")
-    word = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(WORDS))) + 1).cast("int"))
+    """(sample, random): n random strings and n ordinary ones, the same ones each time."""
     pick = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k))
+    of = lambda salt, words: F.element_at(F.split(F.lit(" ".join(words)), " "), (pick(salt, len(words)) + 1).cast("int"))
+    coined = lambda salt: F.concat(*[of(f"{salt}{k}", SYLLABLES) for k in range(3)])
+    word = lambda salt: F.when(pick(f"{salt}?", 2) == 0, of(salt, WORDS)).otherwise(coined(salt))
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     plain = F.base64(F.unhex(digest))
-    rand = F.when(pick("kind", 4) == 0, digest).when(pick("kind", 4) == 1, F.upper(F.substring(digest, 1, 40))).when(pick("kind", 4) == 2, plain).otherwise(F.translate(plain, "+/=", ""))
-    join = F.when(pick("style", 3) == 0, F.concat_ws("_", word("a"), word("b"), word("c"), pick("num", 1000)))
-    join = join.when(pick("style", 3) == 1, F.concat(word("a"), F.initcap(word("b")), F.initcap(word("c")), pick("num", 100)))
-    join = join.otherwise(F.concat_ws("-", word("a"), word("b"), F.concat(F.lit("v"), pick("num", 10)), word("c")))
+    letters = F.translate(plain, "+/=0123456789", "")
+    kinds = [digest, F.upper(F.substring(digest, 1, 40)), plain, F.translate(plain, "+/=", ""), F.translate(plain, "+/=", "-_"), F.lower(letters), letters, F.upper(F.translate(plain, "+/=", ""))]
+    rand = F.element_at(F.array(*kinds), (pick("kind", len(kinds)) + 1).cast("int"))
+    a, b, c = word("a"), word("b"), word("c")
+    number = F.rpad(F.regexp_replace(F.conv(F.substring(digest, 1, 15), 16, 10), "^", ""), 16, "7")
+    styles = [
+        F.concat_ws("_", a, b, c, pick("num", 1000)), F.concat(a, F.initcap(b), F.initcap(c), pick("num", 100)), F.concat_ws("-", a, b, F.concat(F.lit("v"), pick("num", 10)), c),
+        F.concat_ws("/", a, b, c, F.concat(F.initcap(word("d")), pick("num", 100), F.initcap(word("e")))), F.concat_ws("/", F.initcap(a), pick("num", 30), F.concat(F.initcap(b), F.initcap(c)), pick("more", 900)),
+        F.upper(F.concat_ws("_", a, b, c)), F.concat(a, b, c), F.concat(F.initcap(a), b, c), F.upper(F.concat(a, b, c)), number,
+        F.concat_ws("-", F.lit(1990) + pick("year", 40), F.lpad((pick("month", 12) + 1).cast("string"), 2, "0"), F.lpad((pick("day", 28) + 1).cast("string"), 2, "0"), a, pick("num", 1000)),
+        F.repeat(F.substring(F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_=+/"), (pick("at", 67) + 1).cast("int"), 1), 24),
+    ]
+    plain_ones = F.element_at(F.array(*[x.cast("string") for x in styles]), (pick("style", len(styles)) + 1).cast("int"))
     ids = spark.range(n)
-    return ids.select(rand.alias("sample"), F.lit(True).alias("random")).unionByName(ids.select(join.alias("sample"), F.lit(False).alias("random")))
+    return ids.select(rand.alias("sample"), F.lit(True).alias("random")).unionByName(ids.select(plain_ones.alias("sample"), F.lit(False).alias("random")))
 
 
-def _step(text: Column, i: Column) -> Column:
-    """Which transition the characters i and i + 1 make."""
-    code = lambda at: F.ascii(F.substring(text, at, 1))
-    return code(i) * _CODES + code(i + 1)
+def codes(text: Column) -> Column:
+    """The character codes of an ASCII text, in one pass."""
+    return F.transform(F.split(text, "", -1), lambda c: F.ascii(c))
+
+
+def steps(code: Column) -> Column:
+    """Which transitions the neighbours of an array of codes make."""
+    n = F.greatest(F.size(code) - 1, F.lit(0))
+    return F.zip_with(F.slice(code, 1, n), F.slice(code, 2, n), lambda a, b: a * _CODES + b)
 
 
 def train(samples: DataFrame, margin_prior: float = 0.5) -> list[float]:
     """The log-likelihood ratio of each transition; at most 128 * 128 cells come to the driver."""
-    steps = samples.where(F.length("sample") > 1).select("random", "sample", F.explode(F.sequence(F.lit(1), F.length("sample") - 1)).alias("i"))
-    counts = steps.groupBy(_step(F.col("sample"), F.col("i")).alias("step"), "random").count().where(f"step < {_CODES * _CODES}").collect()
+    each = samples.where(F.length("sample") > 1).select("random", F.explode(steps(codes(F.col("sample")))).alias("step"))
+    counts = each.groupBy("step", "random").count().where(f"step < {_CODES * _CODES}").collect()
     seen = {True: [0.0] * _CODES * _CODES, False: [0.0] * _CODES * _CODES}
     first = {True: [0.0] * _CODES, False: [0.0] * _CODES}
     for row in counts:
@@ -80,27 +109,124 @@ def train(samples: DataFrame, margin_prior: float = 0.5) -> list[float]:
     return [round(log(True, s) - log(False, s), 4) for s in range(_CODES * _CODES)]
 
 
+def _gains(text: Column, model: list[float]) -> Column:
+    """The log-likelihood ratio of each transition of an ASCII text."""
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded into one literal
+    return F.transform(steps(codes(text)), lambda s: F.element_at(table, s + 1))
+
+
 def ratio(text: Column, model: list[float]) -> Column:
     """The log-likelihood ratio of a text of ASCII characters."""
-    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded into one literal
-    return F.aggregate(F.sequence(F.lit(1), F.length(text) - 1), F.lit(0.0), lambda a, i: a + F.element_at(table, _step(text, i) + 1))
+    return F.aggregate(_gains(text, model), F.lit(0.0), lambda a, x: a + x)
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def _running(items: Column, zero: Column, step: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit(state, item)`` of all items, the state being that of ``step`` over the earlier ones.
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """array<struct<start, kind, end, text>> of all matches, in order; empty where none is."""
+    ``join`` adds the state of a whole piece to that of what comes before it.
+    """
+    count = F.ceil(F.size(items) / PIECE).cast("int")
+    pieces = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(items, c * PIECE + 1, PIECE))).otherwise(F.array(items))
+    none = F.array().cast(kind)
+    begin = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def one(piece: Column, at: Column) -> Column:
+        add = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(emit(s["at"], x))).alias("out"))
+        return F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), add, lambda s: s["out"])
+
+    def whole(found: Column) -> Column:
+        before = F.aggregate(found, begin, lambda s, x: F.struct(join(s["at"], F.aggregate(x, zero, step)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(found, before, one))
+
+    return F.when(F.size(items) > 0, _bind(pieces, whole)).otherwise(none)
+
+
+SPAN = "struct<start:int,kind:int,end:int,match:string>"
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct<match, gap>>: all matches in order, and how many code points come before each since the last."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    nothing = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    state = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
+    both = _bind(found, lambda m: F.zip_with(m, F.slice(gaps, 1, F.size(m)), lambda x, g: F.struct(x.alias("match"), g.alias("gap"))))
+    return F.when(text.rlike(pattern), both).otherwise(F.array().cast("array<struct<match:string,gap:int>>"))
+
+
+def _spans(matches: Column, kind: int) -> Column:
+    """array<struct<start, kind, end, match>> of matches."""
+    start = lambda a, x: a + x["gap"]
+    end = lambda a, x: a + x["gap"] + F.length(x["match"])
+    one = lambda a, x: F.struct(start(a, x).alias("start"), F.lit(kind).alias("kind"), end(a, x).alias("end"), x["match"].alias("match"))
+    return _running(matches, F.lit(0), end, lambda a, b: a + b, one, f"array<{SPAN}>")
+
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+def _rebuilt(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with ``mark`` of each span in its place; spans, by start, know the greatest end before them."""
+    part = lambda of, at, s: F.concat(F.substring(of, s["before"] - at + 1, F.greatest(s["start"] - s["before"], F.lit(0))), mark(s))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, state, add, lambda s: s["out"])).otherwise(nothing)
+    def piece(found: Column) -> Column:
+        at = F.element_at(found, 1)["before"]
+        inside = F.substring(text, at + 1, F.greatest(F.element_at(found, -1)["start"] - at, F.lit(0)))
+        return _bind(F.struct(inside.alias("of"), at.alias("at")), lambda x: F.array_join(F.transform(found, lambda s: part(x["of"], x["at"], s)), ""))
+
+    count = F.ceil(F.size(spans) / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda c: piece(F.slice(spans, c * PIECE + 1, PIECE)))
+    last = F.element_at(spans, -1)
+    upto = F.greatest(last["before"], last["end"])
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), F.substring(text, upto + 1, F.length(text)))).otherwise(text)
+
+
+def _with_before(spans: Column) -> Column:
+    """array<struct<start, end, before>> of spans by start."""
+    most = lambda a, x: F.greatest(a, x["end"])
+    one = lambda a, x: F.struct(x["start"].alias("start"), x["end"].alias("end"), a.alias("before"))
+    return _running(spans, F.lit(0), most, lambda a, b: F.greatest(a, b), one, "array<struct<start:int,end:int,before:int>>")
+
+
+def _blank(s: Column) -> Column:
+    return F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(s["start"], s["before"]), F.lit(0)))
+
+
+STRETCH = "struct<from:int,to:int>"
+
+
+def stretches(gains: Column, margin: float) -> Column:
+    """array<struct<from, to>>: where the sum of gains rises above the margin, from its last zero to its highest.
+
+    Transition k joins the characters k and k + 1; ``to`` is exclusive.
+    """
+    none = F.array().cast(f"array<{STRETCH}>")
+    state = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(0).alias("to"), none.alias("out"))
+    closed = lambda s: F.when(s["best"] > margin, F.concat(s["out"], F.array(F.struct(s["from"].alias("from"), s["to"].alias("to"))))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        total = s["sum"] + x
+        over = (total <= 0) | (total < s["best"] - FALL)
+        higher = ~over & (total > s["best"])
+        return F.struct(
+            (s["k"] + 1).alias("k"), F.when(over, 0.0).otherwise(total).alias("sum"), F.when(over, s["k"] + 1).otherwise(s["from"]).alias("from"),
+            F.when(over, 0.0).when(higher, total).otherwise(s["best"]).alias("best"), F.when(higher, s["k"] + 2).otherwise(s["to"]).alias("to"), F.when(over, closed(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(gains, state, step, closed)
+
+
+def _secrets_of(run: Column, model: list[float], margin: float) -> Column:
+    """array<struct<start, kind, end>> of a candidate's secrets."""
+    text = run["match"]
+
+    def grown(s: Column) -> Column:
+        lead = F.length(F.regexp_replace(F.substring(text, 1, s["from"]), "[A-Za-z0-9]+$", ""))
+        tail = F.length(F.regexp_extract(F.substring(text, s["to"] + 1, F.length(text)), "^[A-Za-z0-9]+", 0))
+        return F.struct((run["start"] + lead).alias("start"), F.lit(3).alias("kind"), (run["start"] + s["to"] + tail).alias("end"))
+
+    found = F.transform(stretches(_gains(text, model), margin), grown)
+    return F.array_distinct(F.filter(found, lambda s: s["end"] - s["start"] >= LEAST))
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text", model: list[float] | None = None, margin: float = MARGIN, to: str = "secret_spans", base_to: str = "base_spans") -> DataFrame:
@@ -112,16 +238,30 @@ def scan_secrets(df: DataFrame, text_col: str = "text", model: list[float] | Non
     if model is None:
         model = train(labelled_samples(df.sparkSession))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    bare = lambda spans: F.transform(spans, lambda s: s.dropFields("match"))
-    out = df.withColumns({"_qaloom_assign": _spans(text, ASSIGN, 0), "_qaloom_access": _spans(text, ACCESS, 1), "_qaloom_hex": _spans(text, HEX, 2), "_qaloom_random": _spans(text, CANDIDATE, 3)})
-    strong = F.filter("_qaloom_assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
-    keys = F.filter("_qaloom_access", lambda s: F.length(s["match"]) >= 16)
-    out = out.withColumn("_qaloom_base", F.array_sort(F.concat(bare(strong), bare(keys), bare(F.col("_qaloom_hex")))))
-    beside = lambda s: ~F.exists("_qaloom_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    mixed = lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]")
-    more = F.filter("_qaloom_random", lambda s: F.when(mixed(s) & beside(s), ratio(s["match"], model) > margin).otherwise(False))
-    out = out.withColumn("_qaloom_all", F.when(F.size("_qaloom_random") > 0, F.array_sort(F.concat(F.col("_qaloom_base"), bare(more)))).otherwise(F.col("_qaloom_base")))
-    return out.withColumns({base_to: F.col("_qaloom_base"), to: F.col("_qaloom_all")}).drop("_qaloom_assign", "_qaloom_access", "_qaloom_hex", "_qaloom_random", "_qaloom_base", "_qaloom_all")
+    both = _bind(_base_spans(text), lambda base: F.struct(base.alias(base_to), _all_spans(text, base, model, margin).alias(to)))
+    # A generator of one row: no filter on the spans is pushed below it, so they are worked out once.
+    return df.drop(base_to, to).select("*", F.inline(F.array(both)))
+
+
+def _base_spans(text: Column) -> Column:
+    """array<struct<start, kind, end>> of the fixed patterns' matches, by start, then kind."""
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    strong = lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8
+    found = [
+        _bind(_matches(text, ASSIGN), lambda m: bare(F.filter(_spans(m, 0), strong))),
+        _bind(_matches(text, ACCESS), lambda m: bare(F.filter(_spans(m, 1), lambda s: F.length(s["match"]) >= 16))),
+        _bind(_matches(text, HEX), lambda m: bare(_spans(m, 2))),
+    ]
+    return F.array_sort(F.concat(*found))
+
+
+def _all_spans(text: Column, base: Column, model: list[float], margin: float) -> Column:
+    """``base`` and what the models find beside it."""
+    blank = _bind(_with_before(base), lambda b: _rebuilt(text, b, _blank))  # base spans are blank lines in it
+    rest = F.when(F.size(base) > 0, blank).otherwise(text)
+    runs = _bind(_bind(rest, lambda t: _matches(t, CANDIDATE)), lambda m: _spans(m, 3))
+    more = F.flatten(F.transform(runs, lambda s: _secrets_of(s, model, margin)))
+    return _bind(more, lambda x: F.when(F.size(x) > 0, F.array_sort(F.concat(base, x))).otherwise(base))
 
 
 def listed(spans: Column) -> Column:
@@ -135,12 +275,6 @@ def count_kind(spans: Column, kind: int) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by the mark."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
-
-    end = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, cut, end)).otherwise(text)
+    """The text with each span, or run of overlapping spans, replaced by the mark; ``spans``, by start, should be a column."""
+    fresh = lambda s: F.when(s["start"] >= s["before"], F.lit(mark)).otherwise(F.lit(""))
+    return F.when(F.size(spans) > 0, _bind(_with_before(spans), lambda s: _rebuilt(text, s, fresh))).otherwise(text)
