@@ -7,13 +7,15 @@ each source go left is a multivariate-hypergeometric draw.  A shard then takes i
 source's blocks, disjoint from all others' under a permutation of the block numbers, and orders
 what it got by a hash.
 
-The plan has one row per source and needs one word count per document; texts don't move.  All of
-it is deterministic: a rerun, or a retried task, gives the same mix.
+The plan has one row per source, which the driver holds, and needs one word count per document; these
+move once, and so do columns that are to be carried along.  All of it is deterministic: a rerun, or
+a retried task, gives the same mix.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import math
 from collections.abc import Sequence
@@ -27,7 +29,7 @@ from qaloom.llm.ranks import running
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 1024
-MOST_BLOCKS = 1 << 20  # beyond that many, blocks get larger instead
+MOST_DRAWN = 10**9  # blocks of which numpy can draw; with more, a draw follows the normal law, cut to what is possible
 SHARDS = 8
 MOST_TIMES = 3
 MOST_BROADCAST = 10_000  # sources whose plan rows are broadcast; more are joined by a shuffle
@@ -54,26 +56,36 @@ def targets(sizes: Sequence[int], weights: Sequence[int], most_times: int = MOST
     return out
 
 
+def draw(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many good ones a sample holds."""
+    if good < MOST_DRAWN and bad < MOST_DRAWN:
+        return int(rng.hypergeometric(good, bad, sample))
+    n = good + bad
+    mean = sample * good / n
+    spread = math.sqrt(mean * (bad / n) * ((n - sample) / max(1, n - 1)))
+    return min(max(round(rng.normal(mean, spread)), sample - bad, 0), sample, good)
+
+
 def split_tree(quotas: Sequence[int], shards: int, seed: int) -> list[list[int]]:
     """For each shard, blocks of each source: exact in the sums of sources, even within one over shards."""
     out: list[list[int]] = [[] for _ in range(shards)]
     total = sum(quotas)
     room = [total * (k + 1) // shards - total * k // shards for k in range(shards)]
 
-    def split(lo: int, hi: int, have: np.ndarray) -> None:
+    def split(lo: int, hi: int, have: list[int]) -> None:
         if hi - lo == 1:
-            out[lo] = have.tolist()
+            out[lo] = have
             return
         mid = (lo + hi) // 2
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{lo}:{hi}".encode()).digest()[:8], "little"))
-        left, pool, go = sum(room[lo:mid]), int(have.sum()), np.zeros_like(have)
-        for s, n in enumerate(have):  # source by source, each draw given those before
-            go[s] = rng.hypergeometric(int(n), pool - int(n), left) if left else 0
-            left, pool = left - int(go[s]), pool - int(n)
+        left, pool, go = sum(room[lo:mid]), sum(have), []
+        for n in have:  # source by source, each draw given those before
+            go.append(draw(rng, n, pool - n, left) if left and n else 0)
+            left, pool = left - go[-1], pool - n
         split(lo, mid, go)
-        split(mid, hi, have - go)
+        split(mid, hi, [n - g for n, g in zip(have, go, strict=True)])
 
-    split(0, shards, np.array(quotas, np.int64))
+    split(0, shards, list(map(int, quotas)))
     return out
 
 
@@ -119,13 +131,14 @@ def mix_sources(
     sizes = [r["size"] for r in sums]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))])
     want = [math.floor(t + Fraction(1, 2)) for t in goal]
-    block = max(BLOCK_WORDS, -(-sum(want) // MOST_BLOCKS))
+    block = BLOCK_WORDS
     quotas = [-(-w // block) for w in want]
+    exact = "decimal(38,0)" if max(quotas, default=0) >= 3 * 10**9 else "long"  # products of two block numbers fit into it
     got = split_tree(quotas, shards, seed)
     plan = [
         {
             "p_source": r["_source"], "rows": r["rows"], "source_size": r["size"], "target": float(goal[i]), "want": want[i], "blocks": max(1, quotas[i]),
-            "stride": _stride(max(1, quotas[i])), "ends": np.cumsum([g[i] for g in got]).tolist(),
+            "stride": _stride(max(1, quotas[i])), "ends": list(itertools.accumulate(g[i] for g in got)),
         }
         for i, r in enumerate(sums)
     ]
@@ -147,7 +160,7 @@ def mix_sources(
 
     def piece(epoch: Column, at: Column, to: Column, b: Column) -> Column:
         lo, hi = F.greatest(at, b * block), F.least(to, (b + 1) * block)
-        turn = F.pmod(b * F.col("stride"), F.col("blocks"))
+        turn = F.pmod(b.cast(exact) * F.col("stride").cast(exact), F.col("blocks").cast(exact)).cast("long")
         shard = F.size(F.filter("ends", lambda e: e <= turn))
         place = F.xxhash64(F.lit(seed), b, epoch, F.col("_hash"))
         return F.struct(epoch.alias("epoch"), (lo - at).alias("first"), (hi - lo).alias("words"), b.alias("block"), shard.alias("shard"), place.alias("place"))
@@ -160,3 +173,9 @@ def mix_sources(
         F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["words"]).alias("taken"),
         "segments",
     )
+
+
+def listed(segments: Column) -> Column:
+    """epoch:first:words:block:shard:place of each piece, by epoch and first, comma-joined."""
+    parts = ("epoch", "first", "words", "block", "shard", "place")
+    return F.array_join(F.transform(F.array_sort(segments), lambda s: F.concat_ws(":", *[s[p].cast("string") for p in parts])), ",")

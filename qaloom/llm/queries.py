@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import oracles
+from qaloom.llm import mixing, oracles
 from qaloom.llm.chat import format_chat, read_back
 from qaloom.llm.embed_join import embedding_components
-from qaloom.llm.mixing import mix_sources
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
 from qaloom.llm.quality import COVERAGE, quality_rules
@@ -56,7 +55,13 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).drop("segments")
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("segments", mixing.listed(F.col("segments")))
+
+
+def mixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 takes of each document, without the shards that the splitting tree draws: SQL can say that much."""
+    return op7_source_mixing(spark, sf_dir).drop("segments")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +85,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"mixed_words": mixed_words}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "op7_source_mixing": oracles.OP7, "op8_chat_formatting": oracles.OP8}
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8}

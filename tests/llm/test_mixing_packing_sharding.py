@@ -1,16 +1,19 @@
 from __future__ import annotations
 
+import math
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from qaloom.llm import mixing, packing, sharding
+from qaloom.llm import mixing, packing, queries, sharding
 from qaloom.llm.ranks import running
-from tests.llm.conftest import WORD
+from tests.llm.conftest import DIR, WORD
 
 
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=30))
@@ -73,6 +76,40 @@ def test_blocks_belong_to_one_shard_each(documents):
     assert max(Counter(shard.values()).values()) - min(Counter(shard.values()).values()) <= 1
 
 
+def test_query_holds_the_trees_result(spark, documents):
+    """From the query's rows alone: exact quotas of blocks, each in the one shard that a plain tree and permutation give it."""
+    rows = queries.op7_source_mixing(spark, DIR).collect()
+    source = {r["doc_id"]: r["source"] for r in documents.collect()}
+    blocks, words, want, places = {}, Counter(), {}, defaultdict(list)
+    for r in rows:
+        pieces = [list(map(int, x.split(":"))) for x in r["segments"].split(",") if x]
+        assert sum(p[2] for p in pieces) == r["taken"]
+        want[source[r["doc_id"]]] = math.floor(Fraction(r["target"]) + Fraction(1, 2))
+        for _, _, n, block, shard, place in pieces:
+            assert blocks.setdefault((source[r["doc_id"]], block), shard) == shard
+            words[source[r["doc_id"]], block] += n
+            places[shard].append(place)
+    order = sorted(want, key=lambda s: (s is None, s or ""))
+    quotas = [-(-want[s] // mixing.BLOCK_WORDS) for s in order]
+    got = [[sum(1 for (s, _), at in blocks.items() if s == src and at == k) for src in order] for k in range(8)]
+    assert got == mixing.split_tree(quotas, 8, 7)
+    for s, q in zip(order, quotas, strict=True):
+        ends = np.cumsum([g[order.index(s)] for g in got])
+        assert all(words[s, b] == min(mixing.BLOCK_WORDS, want[s] - b * mixing.BLOCK_WORDS) for b in range(q))
+        assert all(blocks[s, b] == int(np.searchsorted(ends, b * mixing._stride(q) % q, "right")) for b in range(q))
+    assert all(len(set(p)) > 0.9 * len(p) for p in places.values())
+
+
+def test_draws_beyond_numpys_limit():
+    rng = np.random.default_rng(1)
+    for good, bad, sample in ((10**10, 3 * 10**10, 2 * 10**10), (5, 4 * 10**9, 10**9), (2 * 10**9, 0, 7), (10**10, 1, 10**10)):
+        got = [mixing.draw(rng, good, bad, sample) for _ in range(50)]
+        assert all(max(0, sample - bad) <= g <= min(good, sample) for g in got) and abs(sum(got) / 50 - sample * good / (good + bad)) <= 1 + 1e-4 * sample
+    quotas = [3 * 10**9, 10**10, 7]
+    tree = mixing.split_tree(quotas, 8, 1)
+    assert [sum(g[s] for g in tree) for s in range(3)] == quotas and max(map(sum, tree)) - min(map(sum, tree)) <= 1
+
+
 def test_running_sums(spark):
     rnd = random.Random(2)
     rows = [(rnd.choice("abc") if rnd.random() < 0.9 else None, i, rnd.randrange(9)) for i in range(400)]

@@ -25,6 +25,6 @@ def test_mix_sql_where_sources_reach_their_limit(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    df = queries.op7_source_mixing(spark, str(tmp_path))
-    said = c.execute(queries.oracle_sql()["op7_source_mixing"])
+    df = queries.mixed_words(spark, str(tmp_path))
+    said = c.execute(queries.oracle_sql()["mixed_words"])
     assert canonical(df.collect(), df.columns) == canonical(said.fetchall(), [x[0] for x in said.description])
