@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qaloom.sources.durable import Tables, give_back
-from qaloom.llm.mixing import mix_sources
+from qaloom.llm.mixing import SHARDS, mix_sources
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
 from qaloom.llm.quality import quality_rules
@@ -20,7 +20,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    A null or empty text has no words and goes; repeated rows are judged one by one; no rows give
+    none; texts are read whole; other columns go.
+    """
     ship(spark)
     give_back(spark)
     return quality_rules(docs, carry=COLUMNS).where(F.col("kept")).select(*COLUMNS)
@@ -43,7 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked.
+
+    A null text stays null and a text without secrets stays as it is; repeated rows are scanned one
+    by one; overlapping secrets get one mark; no rows give none; other columns go.
+    """
     give_back(spark)
     found = scan_secrets(docs.select(*COLUMNS))
     some = F.size("secret_spans") > 0
@@ -53,21 +61,37 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the one that ends a source's quota is cut to its first words."""
+    """Documents as often as the mix takes them, by shard and in the order that the mix gives them there.
+
+    The document that ends a source's quota is cut to its first words.  A null or wordless text is
+    never taken; equal rows are taken like different ones; no rows give none; other columns go.
+    """
     give_back(spark)
     mixed = mix_sources(docs, carry=COLUMNS)
-    words = F.col("segments")
-    epochs = F.array_distinct(F.transform(words, lambda s: s["epoch"]))
-    taken = F.transform(epochs, lambda e: F.aggregate(F.filter(words, lambda s: s["epoch"] == e), F.lit(0).cast("long"), lambda a, s: a + s["words"]))
-    rows = mixed.select(*COLUMNS, "size", F.explode(taken).alias("_words"))
+    pieces = F.array_sort("segments")
+    epochs = F.array_distinct(F.transform(pieces, lambda s: s["epoch"]))
+    words = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda a, s: a + s["words"])
+    taken = F.transform(
+        F.transform(epochs, lambda e: F.filter(pieces, lambda s: s["epoch"] == e)),
+        lambda of: F.struct(words(of).alias("_words"), of[0]["shard"].alias("_shard"), of[0]["place"].alias("_place")),
+    )
+    rows = mixed.select(*COLUMNS, "size", F.inline(taken))
     first = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), 1, F.col("_words").cast("int"))
     cut = F.col("_words") < F.col("size")
     rows = rows.withColumn("text", F.when(cut, F.array_join(first, " ")).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    # A shard's rows go to several tasks, as a shard of any size must not be one.
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    dealt = rows.repartition("_shard", F.pmod("_place", F.lit(parts)))
+    return dealt.sortWithinPartitions("_shard", "_place").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document's ids goes."""
+    """Where each piece of each document's ids goes.
+
+    A null text is an empty one, which is the closing id alone; repeated rows get places of their
+    own; no rows give none; other columns go.
+    """
     ship(spark)
     give_back(spark)
     return pack(docs)
