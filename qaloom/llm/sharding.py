@@ -1,6 +1,7 @@
 """Sharding by balanced label propagation, under the law of rows: counts at most one apart.
 
-Documents of equal text are linked, and links between documents may be given besides.  Documents
+Documents of equal text are linked, and so are texts with the same longest sentence, through the
+least of them as a hub; links between documents may be given besides.  Documents
 that no link tells apart, those of one text in one shard, are one vertex with a count.  Round by
 round, joins bring each vertex the votes of its neighbours' shards; vertices that want to move ask
 for it, and quotas of shard to shard, made from swaps and from the room that unlinked documents
@@ -10,13 +11,15 @@ A text with more copies than a shard has room fills whole shards.  The tables of
 linked texts only, with at most as many rows each as there are shards; the driver sees shards by
 shards numbers.
 
+Texts of one sentence that many share are as many links, not pairs.
+
 Defined results: a null text has size 1, checksum 0 and is linked like an empty one; repeated rows
 each get a slot; no rows give none; extra columns don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.sources.durable import Tables
@@ -24,6 +27,7 @@ from qaloom.llm.ranks import running
 
 SHARDS = 8
 ROUNDS = 6
+SENTENCE_CHARS = 60  # a longest sentence of fewer characters links nothing
 
 
 def capacities(rows: int, shards: int) -> list[int]:
@@ -105,28 +109,56 @@ def propagate(linked: DataFrame, edges: DataFrame | None, caps: list[int], round
     return labels
 
 
+def _sentence(text: Column) -> Column:
+    """The hash of a text's longest sentence; null if that is short."""
+    sizes = F.transform(F.split(text, r"[.!?\n]+", -1), lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(F.trim(x)).alias("h")))
+    longest = F.array_max(sizes)
+    return F.when(longest["n"] >= SENTENCE_CHARS, longest["h"])
+
+
+def _edges(texts: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(g, h, weight), both ways, of texts (g, sentence) with one sentence, and of pairs (g, h)."""
+    hubs = texts.where("sentence is not null").groupBy("sentence").agg(F.min("g").alias("h"), F.count("*").alias("n")).where("n > 1")
+    found = texts.join(hubs, "sentence").select("g", "h")
+    found = (found if pairs is None else found.unionByName(pairs)).where("g <> h")
+    return found.unionByName(found.select(F.col("h").alias("g"), F.col("g").alias("h"))).groupBy("g", "h").agg(F.count("*").alias("weight"))
+
+
+def cut_edges(sharded: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, int]:
+    """(links, cut ones) of what ``shard_documents`` returned for ``df``, whose ids are unique: links of equal and of like texts."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    docs = df.select(F.col(f"`{id_col}`").alias(id_col), F.xxhash64(text).alias("g"), _sentence(text).alias("sentence"))
+    at = sharded.select(id_col, "shard").join(docs, id_col)
+    texts = at.groupBy("g").agg(F.min_by("shard", id_col).alias("home"), F.any_value("sentence").alias("sentence"))
+    own = at.join(texts.select("g", "home"), "g").agg((F.count("*") - F.count_distinct("g")).alias("n"), F.count_if(F.col("shard") != F.col("home")).alias("cut")).first()
+    hubs = texts.where("sentence is not null").groupBy("sentence").agg(F.min_by("home", "g").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    near = texts.join(hubs, "sentence").agg((F.count("*") - F.count_distinct("sentence")).alias("n"), F.count_if(F.col("home") != F.col("hub")).alias("cut")).first()
+    return own["n"] + near["n"], own["cut"] + near["cut"]
+
+
 def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, links: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row per row: id, size, text_crc32, law, shard, slot (gapless in the shard) and grown_shard (null).
 
-    ``links``: (src, dst) pairs of ids that should be together, besides equal texts.
+    ``links``: (src, dst) pairs of ids that should be together, besides equal texts and equal sentences.
     """
     tables = Tables(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     docs = tables.save(
-        df.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"))
-    )
+        df.select(
+            F.col(f"`{id_col}`").alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"), _sentence(text).alias("sentence")
+        )
+    )
     total = docs.count()
     caps = capacities(total, shards)
-    texts = docs.groupBy("g").agg(F.count("*").alias("rows"))
-    edges = None
+    texts = docs.groupBy("g").agg(F.count("*").alias("rows"), F.any_value("sentence").alias("sentence"))
+    docs = docs.drop("sentence")
+    pairs = None
     if links is not None:
         of = docs.select("id", "g").distinct()
         pairs = links.select(F.col(links.columns[0]).alias("src"), F.col(links.columns[1]).alias("dst"))
-        pairs = pairs.join(of.select(F.col("id").alias("src"), "g"), "src").join(of.select(F.col("id").alias("dst"), F.col("g").alias("h")), "dst").where("g <> h").select("g", "h")
-        edges = tables.save(pairs.unionByName(pairs.select(F.col("h").alias("g"), F.col("g").alias("h"))).groupBy("g", "h").agg(F.count("*").alias("weight")))
-        texts = texts.join(edges.select("g").distinct().withColumn("near", F.lit(True)), "g", "left").where("rows > 1 or near").drop("near")
-    else:
-        texts = texts.where("rows > 1")
+        pairs = pairs.join(of.select(F.col("id").alias("src"), "g"), "src").join(of.select(F.col("id").alias("dst"), F.col("g").alias("h")), "dst").select("g", "h")
+    edges = tables.save(_edges(texts, pairs))
+    texts = texts.drop("sentence").join(edges.select("g").distinct().withColumn("near", F.lit(True)), "g", "left").where("rows > 1 or near").drop("near")
     linked = tables.save(texts)
     labels = propagate(linked, edges, caps, rounds, tables)
     held = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.sum("cnt").alias("n")).collect()}

@@ -2,17 +2,20 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from qaloom.llm import mixing, packing, queries, sharding
 from qaloom.llm.ranks import running
+from qaloom.sources.durable import Tables
 from tests.llm.conftest import DIR, WORD
 
 
@@ -233,6 +236,101 @@ def test_links_pull_documents_together(spark):
     assert sum(got[i] != got[i + 1] for i in range(0, 16, 2)) <= 1
 
 
+def plain_propagation(rows, edges, caps, rounds):
+    """The rounds of balanced label propagation in plain Python: {(text, shard): count}."""
+    n = len(caps)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    spread = lambda lead, k: sign(xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(struct.pack("<q", lead), 42)))
+    labels, at = Counter(), 0
+    for g in sorted(rows):
+        for p in range(at, at + rows[g]):
+            labels[g, p % n] += 1
+        at += rows[g]
+    near = defaultdict(dict)
+    for (g, h), w in edges.items():
+        near[g][h] = w
+    still = 0
+    for turn in range(rounds):
+        held = Counter()
+        for (_, k), c in labels.items():
+            held[k] += c
+        free = [caps[k] - held[k] for k in range(n)]
+        to = {}
+        for g in rows:
+            votes = Counter({k: labels[g, k] for k in range(n) if labels[g, k]})
+            for h, w in near[g].items():
+                for k in range(n):
+                    if labels[h, k]:
+                        votes[k] += w * labels[h, k]
+            lead = min([g, *near[g]])
+            rank = {k: (v, spread(lead, k), k) for k, v in votes.items()}
+            best = max((r for k, r in rank.items() if free[k] > 0 or turn % 2 == 0), default=None)
+            for k in range(n):
+                if labels[g, k]:
+                    to[g, k] = best[2] if best and best > rank[k] else k
+        demand = [[0] * n for _ in range(n)]
+        for (g, k), j in to.items():
+            demand[k][j] += labels[g, k] if j != k else 0
+        allow = sharding.quotas(demand, free)
+        moved = sum(map(sum, allow))
+        if moved:
+            after = Counter()
+            for g, k in sorted(to):
+                j, c = to[g, k], labels[g, k]
+                go = min(c, allow[k][j]) if j != k else 0
+                if j != k:
+                    allow[k][j] -= go
+                after[g, j] += go
+                after[g, k] += c - go
+            labels = after
+        still = 0 if moved else still + 1
+        if still == 2:
+            break
+    return {x: c for x, c in labels.items() if c}
+
+
+def test_propagation_against_plain_rounds(spark):
+    rnd = random.Random(8)
+    for _ in range(3):
+        rows = {rnd.randrange(-(2**62), 2**62): rnd.randrange(1, 6) for _ in range(40)}
+        ids = list(rows)
+        edges = {}
+        for _ in range(50):
+            g, h = rnd.sample(ids, 2)
+            edges[g, h] = edges[h, g] = rnd.randrange(1, 3)
+        total = sum(rows.values()) + 37  # others, that no link tells apart
+        caps = sharding.capacities(total, 4)
+        linked = spark.createDataFrame(list(rows.items()), "g long, rows long")
+        edge_rows = spark.createDataFrame([(g, h, w) for (g, h), w in edges.items()], "g long, h long, weight long")
+        got = sharding.propagate(linked, edge_rows, caps, 4, Tables(spark)).collect()
+        assert {(r["g"], r["shard"]): r["cnt"] for r in got} == plain_propagation(rows, edges, caps, 4)
+
+
+def test_cut_edges_of_the_query(spark, documents, texts):
+    """Equal texts, and texts of one longest sentence, over the whole table: counted plainly, and few are cut."""
+    got = queries.op2_balanced_sharding(spark, DIR)
+    shard = {r["doc_id"]: r["shard"] for r in got.collect()}
+    links, cut = sharding.cut_edges(got, documents)
+    first, want = {}, [0, 0]
+    for i in sorted(texts):
+        t = texts[i] or ""
+        if t in first:
+            want[0] += 1
+            want[1] += shard[i] != shard[first[t]]
+        first.setdefault(t, i)
+    like = defaultdict(list)
+    for t, i in first.items():
+        parts = [(len(x), x.strip(" ")) for x in re.split(r"[.!?\n]+", t)]
+        size = max(n for n, _ in parts)
+        if size >= sharding.SENTENCE_CHARS and sum(n == size for n, _ in parts) == 1:
+            like[max(parts)[1]].append(i)
+    near = sum(len(x) - 1 for x in like.values())
+    assert links >= want[0] + near * 0.9 and links <= want[0] + near * 1.1 + 3 and cut >= want[1] and cut <= 0.1 * links
+    rnd = random.Random(0)
+    dealt = spark.createDataFrame([(i, rnd.randrange(8)) for i in shard], "doc_id long, shard int")
+    assert sharding.cut_edges(dealt, documents)[1] > 3 * cut
+
+
 def test_quotas_keep_capacities():
     demand = [[0, 5, 3], [2, 0, 0], [9, 1, 0]]
     free = [1, 4, 0]
