@@ -195,8 +195,8 @@ def derive_pairs(sections: DataFrame, stems: DataFrame, site: str, short: str, f
     asked = sections.where(faq & (F.col("level") == 3) & F.rtrim(F.col("heading")).endswith("?")).withColumn("answer", answer).where("answer <> ''")
     base = ["doc_id", "source_doc"]
     first = asked.select(*base, F.lit(0).alias("pass_no"), "section", F.lit(0).alias("at"), F.col("parent").alias("in_section"), F.col("heading").alias("question"), "answer", F.col("answer").alias("evidence"), answer_type(F.col("answer")).alias("answer_type"))
-    own = F.broadcast(stems.where("stem_doc is not null").select("stem_doc", F.col("stem_heading").alias("h1"), F.col("stem").alias("s1")))
-    common = F.broadcast(stems.where("stem_doc is null").select(F.col("stem_heading").alias("h2"), F.col("stem").alias("s2")))
+    own = stems.where("stem_doc is not null").select("stem_doc", F.col("stem_heading").alias("h1"), F.col("stem").alias("s1"))
+    common = stems.where("stem_doc is null").select(F.col("stem_heading").alias("h2"), F.col("stem").alias("s2"))
     prose = sections.where(~faq).withColumn("answer", _prose(F.col("content"), tables=False)).where(F.length("answer") >= least)
     prose = prose.join(own, (F.col("doc_id") == F.col("stem_doc")) & (F.col("heading") == F.col("h1")), "left").join(common, F.col("heading") == F.col("h2"), "left")
     place = F.when(F.col("parent") != "", F.col("parent")).otherwise(F.col("heading"))
@@ -211,10 +211,10 @@ def number_pairs(pairs: DataFrame, topics: DataFrame, authored: DataFrame | None
     cols = ["doc_id", "source_doc", "pass_no", "section", "at", "in_section", "question", "answer", "evidence", "answer_type"]
     rows = pairs.select(*cols)
     if authored is not None:
-        docs = F.broadcast(pairs.select("doc_id", "source_doc").distinct())
+        docs = pairs.select("doc_id", "source_doc").distinct()
         rows = rows.unionByName(authored.join(docs, "doc_id").select("doc_id", "source_doc", F.lit(2).alias("pass_no"), F.lit(0).alias("n"), F.col("ord").alias("at"), F.col("section").alias("in_section"), "question", "answer", "evidence", F.coalesce("answer_type", answer_type(F.col("answer"))).alias("answer_type")).withColumnRenamed("n", "section"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pass_no", "section", "at"))
-    named = rows.withColumn("id", F.format_string("%s-q%03d", F.lower("doc_id"), nth)).join(F.broadcast(topics), "doc_id", "left")
+    named = rows.withColumn("id", F.format_string("%s-q%03d", F.lower("doc_id"), nth)).join(topics, "doc_id", "left")
     return named.select(
         "id", "doc_id", "source_doc", F.col("in_section").alias("section"), "question", "answer", "evidence", F.coalesce("topic", F.lit("general")).alias("topic"), "answer_type",
         ungrounded(F.col("answer"), F.col("evidence")).alias("needs_attention"), F.lit(False).alias("verified"), F.lit("").alias("verify_note"),

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.operators.dedup import same_fact_pairs
+from qaloom.sources.durable import Tables
+
+MOST_BROADCAST = 100_000  # picked keys that are broadcast
 
 
 def largest_remainder(sizes: DataFrame, k: int, stratum: str, size: str, order: str) -> DataFrame:
@@ -31,22 +34,27 @@ def shuffled(key: Column, seed: int = 42) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, kind: str, k: int, seed: int = 42) -> DataFrame:
-    """``df`` and part: k rows are 'test', the rest 'train'.
+    """``df`` and part: k rows are 'test', the rest 'train'; ``key`` is unique.
 
     Each stratum's quota is dealt over its kinds in turn, by hashed order; what quotas leave short
-    is topped up from the rest, over all strata.
+    is topped up from the rest, over all strata.  Only keys are ranked, and of each kind no more
+    than k leave a task; the k keys picked are then looked up.
     """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
     quotas = F.broadcast(largest_remainder(sizes, k, stratum, "_size", stratum).select(F.col(stratum).alias("_stratum"), "quota"))
-    mixed = df.withColumn("_at", shuffled(F.col(key), seed))
-    turn = F.row_number().over(Window.partitionBy(stratum, kind).orderBy("_at", key))
-    placed = mixed.withColumn("_turn", turn).withColumn("_nth", F.row_number().over(Window.partitionBy(stratum).orderBy("_turn", kind, "_at", key)))
-    picked = placed.join(quotas, F.col(stratum) == F.col("_stratum")).withColumn("_in", F.col("_nth") <= F.col("quota"))
-    short = k - picked.where("_in").count()
+    keys = df.select(F.col(key).alias("_key"), F.col(stratum).alias("_of"), F.col(kind).alias("_kind"), shuffled(F.col(key), seed).alias("_at"))
+    turn = F.row_number().over(Window.partitionBy("_of", "_kind").orderBy("_at", "_key"))
+    first = keys.withColumn("_turn", turn).where(F.col("_turn") <= k)
+    placed = first.withColumn("_nth", F.row_number().over(Window.partitionBy("_of").orderBy("_turn", "_kind", "_at", "_key"))).where(F.col("_nth") <= k)
+    tables = Tables(df.sparkSession)
+    picked = tables.save(placed.join(quotas, F.col("_of").eqNullSafe(F.col("_stratum"))).where("_nth <= quota").select("_key"), k)
+    short = k - picked.count()
     if short > 0:
-        extra = picked.where("not _in").orderBy("_at", key).limit(short).select(F.col(key).alias("_more"))
-        picked = picked.join(extra, F.col(key) == F.col("_more"), "left").withColumn("_in", F.col("_in") | F.col("_more").isNotNull()).drop("_more")
-    return picked.withColumn("part", F.when(F.col("_in"), "test").otherwise("train")).drop("_at", "_turn", "_nth", "_stratum", "quota", "_in")
+        extra = keys.join(picked, "_key", "left_anti").orderBy("_at", "_key").limit(short).select("_key")
+        picked = tables.save(picked.unionByName(extra), k)
+    marked = picked.withColumn("_in", F.lit(True))
+    joined = df.join(F.broadcast(marked) if k <= MOST_BROADCAST else marked, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn("part", F.when(F.col("_in"), "test").otherwise("train")).drop("_key", "_in")
 
 
 def leaks(train: DataFrame, test: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -102,7 +102,7 @@ def resolve_models(producers: DataFrame, jobs: DataFrame) -> DataFrame:
 
     A tuned producer without a trained model has null there: see ``untrained``.
     """
-    made = F.broadcast(jobs.select("producer", "trained_model"))
+    made = jobs.select("producer", "trained_model")
     called = F.when(F.col("method") == "finetuned", F.when(F.col("trained_model") != "", F.col("trained_model"))).otherwise(F.col("model"))
     return producers.join(made, "producer", "left").withColumn("called_model", called).drop("trained_model")
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from qaloom.functions import text as t
 from qaloom.operators import cleaning, cost, dedup, derive, retrieval, segment, split  # noqa: F401
 from qaloom.plans.registry import Registry
+from qaloom.sources.durable import Tables
 from qaloom.sources.tables import table
 
 R = Registry()
 TOKENS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> ''))"
+MOST_ITEMS = 100_000  # benchmark items whose hashes are broadcast
 NUMERIC = t.NUMERIC.removeprefix("(?i)")
 PROCEDURAL = t.PROCEDURAL.removeprefix("(?i)")
 
@@ -22,14 +24,14 @@ def answer_type_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '\d[\d,]*'), lambda n: NOT contains(replace(evidence, ',', ''), replace(n, ',', '')))) > 0 AS flagged
-  FROM (SELECT doc_id, text, coalesce(lag(text) OVER (PARTITION BY source ORDER BY doc_id), '') AS evidence FROM documents)"""
+    r"""SELECT d.doc_id, len(list_filter(regexp_extract_all(d.text, '\d[\d,]*'), lambda n: NOT contains(replace(coalesce(e.text, ''), ',', ''), replace(n, ',', '')))) > 0 AS flagged
+  FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id - 1"""
 )
 def number_grounding(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", "text", before.alias("evidence")).select("doc_id", t.ungrounded(F.col("text"), F.col("evidence")).alias("flagged"))
+    """Numbers of a document that the document before it, as evidence, doesn't hold."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    evidence = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("evidence"))
+    return docs.join(evidence, "doc_id", "left").select("doc_id", t.ungrounded(F.col("text"), F.coalesce("evidence", F.lit(""))).alias("flagged"))
 
 
 @R.query(
@@ -164,9 +166,15 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
     grams = F.array_distinct(F.transform(shifted, lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(5)])))
     # An item may begin and end inside words: its second to sixth words are whole in any document that holds it.
     items = table(spark, d, "benchmark").withColumn("w", F.split("text", r"\s+")).select("item_id", F.col("text").alias("item"), F.when(F.size("w") >= 7, F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, 6)])).alias("gram"))
-    listed = docs.withColumn("grams", grams).select("doc_id", F.explode("grams").alias("gram"))
-    docs = docs.drop("w")
-    long_ = listed.join(items.where("gram is not null"), "gram").select("doc_id", "item_id", "item").distinct().join(docs, "doc_id").where(F.contains("text", F.col("item")))
+    docs = docs.withColumn("grams", grams).drop("w")
+    known = items.where("gram is not null")
+    if known.count() <= MOST_ITEMS:  # then every task knows all items' grams, and only documents that hold one go on
+        wanted = known.agg(F.collect_set("gram").alias("wanted"))
+        met = docs.crossJoin(F.broadcast(wanted)).select("doc_id", "text", F.explode(F.array_intersect("grams", "wanted")).alias("gram"))
+        long_ = met.join(known, "gram").where(F.contains("text", F.col("item")))
+    else:
+        met = docs.select("doc_id", F.explode("grams").alias("gram")).join(known, "gram").select("doc_id", "item_id", "item").distinct()
+        long_ = met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item")))
     short = docs.crossJoin(items.where("gram is null")).where(F.contains("text", F.col("item")))  # items of six words or fewer: a query set against all rows
     return long_.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
 
@@ -285,7 +293,13 @@ def nearest_anchor(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.nearest_anchor(points, found, "grp", "id", "x")
 
 
-@R.query()
+@R.query(
+    """WITH RECURSIVE items AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS line FROM lineitem),
+  lines AS (SELECT l_suppkey AS doc, CAST(line // 50 AS INT) AS page, line, l_quantity AS x0, (l_partkey % 700)::DOUBLE AS y, l_returnflag AS text FROM items),
+  heads(doc, page, row, y) AS (SELECT doc, page, 0, min(y) FROM lines GROUP BY ALL UNION ALL SELECT h.doc, h.page, h.row + 1, (SELECT min(l.y) FROM lines l WHERE l.doc = h.doc AND l.page = h.page AND l.y > h.y + 5) AS y FROM heads h WHERE h.y IS NOT NULL),
+  placed AS (SELECT l.*, max(h.row) AS row FROM lines l JOIN heads h ON h.doc = l.doc AND h.page = l.page AND h.y <= l.y GROUP BY ALL)
+  SELECT doc, page, CAST(row AS INT) AS row, min(y) AS y0, max(y) + 10 AS y1, CAST(count(*) AS INT) AS n_cells, string_agg(text, ' ' ORDER BY x0, line) AS text FROM placed GROUP BY doc, page, row"""
+)
 def visual_rows(spark: SparkSession, d: str) -> DataFrame:
     """Line items as text lines on pages: rows by a fold from each row's first line."""
     from pyspark.sql import Window
@@ -298,10 +312,37 @@ def visual_rows(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.roll_up(cleaning.visual_rows(lines)).select("doc", "page", "row", "y0", "y1", "n_cells", "text")
 
 
+@R.query(
+    rf"""WITH {LINES}, numbered AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER w AS s, last_value(CASE WHEN level = 2 THEN trim(x) END IGNORE NULLS) OVER w AS above FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+  heads AS (SELECT doc_id, s, trim(x) AS heading, CASE WHEN level = 3 THEN coalesce(above, '') ELSE '' END AS parent, level FROM numbered WHERE kind = 'heading'),
+  runs AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS b, kind, trim(x) AS x FROM marked),
+  said AS (SELECT doc_id, b, string_agg(x, '; ' ORDER BY i) AS x, min(i) AS i FROM runs WHERE kind IN ('para', 'bullets') GROUP BY ALL),
+  bodies AS (SELECT n.doc_id, n.s, trim(string_agg(t.x, ' ' ORDER BY t.i)) AS answer FROM numbered n JOIN said t ON t.doc_id = n.doc_id AND t.b = n.b WHERE n.s > 0 GROUP BY ALL),
+  found AS (SELECT *, starts_with('D-' || doc_id, 'D-1') AS faq FROM heads JOIN bodies USING (doc_id, s)),
+  pairs AS (
+    SELECT doc_id, s, parent AS section, heading AS question, answer FROM found WHERE faq AND level = 3 AND ends_with(rtrim(heading), '?') AND answer <> ''
+    UNION ALL SELECT doc_id, s, CASE WHEN parent <> '' THEN parent ELSE heading END, 'What is said on ' || heading || '?', answer FROM found WHERE NOT faq AND length(answer) >= 40)
+  SELECT 'd-' || doc_id || '-q' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) AS VARCHAR), 3, '0') AS id, 'D-' || doc_id AS doc_id, '' AS source_doc, section, question, answer, answer AS evidence,
+    CASE WHEN doc_id % 10 = 7 THEN 'sevens' ELSE 'general' END AS topic, CASE WHEN regexp_matches(answer, '{NUMERIC}', 'i') THEN 'numeric' WHEN regexp_matches(answer, '{PROCEDURAL}', 'i') THEN 'procedural' ELSE 'factual' END AS answer_type,
+    false AS needs_attention, false AS verified, '' AS verify_note FROM pairs"""
+)
+def prose_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Question-answer pairs of documents read as markdown, without what their tables say."""
+    made = Tables(spark).save(_parsed(spark, d).withColumn("content", F.filter("content", lambda b: b["kind"] != "table")))
+    return _pairs(made)
+
+
 @R.query()
 def derived_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Question-answer pairs of documents read as markdown."""
-    made = segment.segment(_as_markdown(spark, d).select(F.col("doc_id").alias("no"), "markdown"), "no", "markdown").drop("no")
+    return _pairs(Tables(spark).save(_parsed(spark, d)))  # parsed once, read five times
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return segment.segment(_as_markdown(spark, d).select(F.col("doc_id").alias("no"), "markdown"), "no", "markdown").drop("no")
+
+
+def _pairs(made: DataFrame) -> DataFrame:
     stems = made.groupBy("heading").agg(F.lit(None).cast("string").alias("stem_doc"), F.concat(F.lit("What is said on "), F.col("heading"), F.lit("?")).alias("stem")).withColumnRenamed("heading", "stem_heading")
     pairs = derive.derive_pairs(made, stems, "Example House", "Example", faq_prefix="D-1")
     topics = made.select("doc_id").distinct().where(F.col("doc_id").endswith("7")).withColumn("topic", F.lit("sevens"))
@@ -325,7 +366,12 @@ def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(retrieval.dot(v, v)) * 1000).cast("long").alias("length_1000"), F.size(v).cast("long").alias("dims"))
 
 
-@R.query()
+@R.query(
+    rf"""WITH {LINES},
+  placed AS (SELECT doc_id, i, x, kind, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM kinds WHERE kind <> 'blank'),
+  said AS (SELECT doc_id, s, i, CASE kind WHEN 'bullets' THEN '- ' || trim(x) WHEN 'table' THEN regexp_replace(trim(x), '\s*\|\s*', ' | ', 'g') ELSE trim(x) END AS line FROM placed)
+  SELECT doc_id, CAST(s AS BIGINT) AS section, string_agg(line, chr(10) ORDER BY i) AS body FROM said WHERE s > 0 GROUP BY ALL"""
+)
 def section_texts(spark: SparkSession, d: str) -> DataFrame:
     """Sections of documents read as markdown, each as one text for retrieval."""
     made = segment.sections_of(segment.blocks_of(segment.split_front_matter(_as_markdown(spark, d), "markdown"), "doc_id"), "doc_id")
