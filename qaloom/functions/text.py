@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -70,9 +71,14 @@ def fee(value: Column, unit: str = "LKR") -> Column:
     return F.when(v.rlike("^[0-9]") & ~F.contains(v, F.lit("%")), F.concat(v, F.lit(f" {unit}"))).otherwise(v)
 
 
-def is_footer(line: Column, letterheads: Sequence[str] = (), footers: Sequence[str] = FOOTERS) -> Column:
-    """A running footer, a signature remnant, or one of the letterheads (upper case)."""
+def is_footer(line: Column, letterheads: Sequence[str] = (), footers: Sequence[str] = FOOTERS, banner: str | None = None) -> Column:
+    """A running footer, a signature remnant, or one of the letterheads (upper case).
+
+    ``banner``: the institution's name as running footers write it, before a raised dot, in that case and anywhere in the line.
+    """
     out = F.upper(strip(line)).isin(list(letterheads)) if letterheads else F.lit(False)
+    if banner:
+        out |= line.rlike(re.escape(banner) + r"\s*·")
     for pattern in footers:
         out |= line.rlike(pattern)
     return out

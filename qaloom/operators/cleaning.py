@@ -193,11 +193,11 @@ def section_lines(rows: Sequence[dict]) -> list[str]:
     return out
 
 
-def clean_documents(lines: DataFrame, doc: str = "doc", letterheads: Sequence[str] = ()) -> DataFrame:
+def clean_documents(lines: DataFrame, doc: str = "doc", letterheads: Sequence[str] = (), banner: str | None = None) -> DataFrame:
     """(doc, title and header fields, body) of lines (doc: the file's name)."""
     headed = split_header(lines, doc)
     fields = header_fields(headed, doc)
-    body = headed.where(~F.col("in_header") & ~is_footer(F.col("text"), letterheads))
+    body = headed.where(~F.col("in_header") & ~is_footer(F.col("text"), letterheads, banner=banner))
     rows = roll_up(visual_rows(body, doc), doc)
     order = Window.partitionBy(doc).orderBy("page", "row")
     numbered = rows.withColumn("heading", is_heading()).withColumn("part", F.sum(F.col("heading").cast("int")).over(order))
@@ -240,3 +240,9 @@ def decode_pdfs(files: DataFrame, decoder: Callable[[bytes], list[dict]], slugs:
             yield pd.DataFrame(rows, columns=names)
 
     return named.select("doc", "slug", "content").mapInPandas(work, schema)
+
+
+def whole_texts(pages: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, text) of (doc, page, text): pages in order, joined by line breaks."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    return pages.groupBy(doc).agg(ordered.alias("xs")).select(doc, F.array_join(F.transform("xs", lambda x: x["text"]), "\n").alias("text"))

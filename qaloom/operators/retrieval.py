@@ -55,10 +55,10 @@ def prompt(hits: DataFrame, template: str) -> DataFrame:
     return grouped.select("query_id", F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(filled)]).alias("prompt"))
 
 
-def recall(ranks: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """recall@k and the mean reciprocal rank over (query_id, rank of the gold chunk or null)."""
+def recall(ranks: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10), by: tuple[str, ...] = ()) -> DataFrame:
+    """recall@k, the mean reciprocal rank and the queries over (query_id, rank of the gold chunk or null), for each of ``by``."""
     hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}")
-    return ranks.agg(*[hit(k) for k in at], F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+    return ranks.groupBy(*by).agg(*[hit(k) for k in at], F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count("*").alias("queries"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:

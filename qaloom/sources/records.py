@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HIT = "struct<doc_id:string,section:string,score:double,is_distractor:boolean>"
 SCHEMAS = {
@@ -42,3 +43,12 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(custom_id, question_id, producer) of a batch."""
     return spark.read.schema(SCHEMAS["manifest"]).json(path, multiLine=True).selectExpr("explode(map_entries(manifest)) AS e").selectExpr("e.key AS custom_id", "e.value.*")
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Training jobs from one JSON object, producer -> fields; a missing file is no jobs."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], SCHEMAS["jobs"])
+    fields = ", ".join(f"{f.split()[0]}:{f.split()[1]}" for f in SCHEMAS["jobs"].split(", ")[1:])
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{fields}>>").alias("jobs"))
+    return whole.select(F.explode("jobs").alias("producer", "j")).select("producer", "j.*")
