@@ -8,7 +8,8 @@ verify; a pair then needs min(l, l') shared prefix tokens before its exact overl
 
 What moves: packed blocks of tokens once, to learn which tokens occur in two classes or more.  Tokens
 that crowd a block of texts, such as those of a common passage, are counted while texts are read, and
-don't move for that: no group holds a hot token's sets.  Afterwards only such tokens, and only of sets of which at least ceil(t n) tokens are of that kind.
+don't move for that.  The rest is counted as a stream that lets frequent tokens go: no task holds all
+sets of one token.  Afterwards only such tokens, and only of sets of which at least ceil(t n) tokens are of that kind.
 Components, not pairs, are the result, so a group of near copies isn't expanded: members are first
 linked with its most typical member, and the prefix join then skips pairs that are already in one
 component.  Sets that stay apart meet the others in chunks, not pair by pair.
@@ -40,6 +41,8 @@ HOT_LEAST, HOT_SHARE = 16, 128  # a token is hot if so many sets of a block, and
 MOST_HOT = 500_000  # hot tokens that every task knows: 8 MB
 TOKENS_PER_ROW = 20  # as many tokens make a file as large as one row of ids
 SHARED = "part long, cls binary, n binary, tokens binary, freq binary"
+HELD_TOKENS = 4_000_000  # entries that a group's task holds before it lets frequent tokens go: 80 MB
+MANY = 0xFFFFFFFF  # the frequency of tokens with too many entries to count
 RUN = 0xFFFF  # tokens of a set in one run of a block
 CHUNK_SETS = 128  # open sets that meet others together
 MEETING_TOKENS = 1_000_000  # tokens that each side of a meeting is sized for
@@ -141,7 +144,7 @@ def _hot_tokens(signs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     top = signs.where("n < 0").groupBy("hot").agg(F.sum("many").alias("many")).orderBy(F.desc("many"), "hot").limit(MOST_HOT)
     rows = top.toPandas()
-    token, freq = rows["hot"].to_numpy(np.int64).view(np.uint64), np.minimum(rows["many"].to_numpy(np.int64), 0xFFFFFFFF)
+    token, freq = rows["hot"].to_numpy(np.int64).view(np.uint64), np.minimum(rows["many"].to_numpy(np.int64), MANY)
     order = np.argsort(token)
     return token[order], freq[order]
 
@@ -211,19 +214,53 @@ def _joined(pdf: pd.DataFrame, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(pdf[name]), kind)
 
 
-def _shared_tokens(blocks: DataFrame, parts: int) -> DataFrame:
-    """SHARED of the blocks' tokens that two classes or more hold."""
+class TokenCounts:
+    """Counts one part of the token space as its packed blocks stream by.
+
+    Holds about ``most`` entries.  Beyond that, a token that many classes of these hold gets
+    the frequency MANY for good: its entries, and those still to come, go on at once.  So one
+    token may have any number of sets, and all of its entries have one frequency.
+    """
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        each = _joined(pdf, "count", np.uint16)
-        cls, n = np.repeat(_joined(pdf, "cls", np.int64), each), np.repeat(_joined(pdf, "n", np.uint32), each)
-        tokens = _joined(pdf, "tokens", np.uint64)
+    def __init__(self, most: int):
+        self.most, self.held, self.size = most, [], 0
+        self.many = np.zeros(0, np.uint64)
+
+    def add(self, cls: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(class, set size, token, frequency) of entries that are done."""
+        if len(self.many):
+            known = _is_hot(tokens, self.many)
+            if known.any():
+                yield cls[known], n[known], tokens[known], np.full(int(known.sum()), MANY)
+                cls, n, tokens = cls[~known], n[~known], tokens[~known]
+        self.held.append((cls, n, tokens))
+        self.size += len(tokens)
+        if self.size > self.most:
+            cls, n, tokens, freq = self._distinct()
+            large = freq > max(2, self.most // 64)
+            self.many = np.union1d(self.many, np.unique(tokens[large]))
+            if large.any():
+                yield cls[large], n[large], tokens[large], np.full(int(large.sum()), MANY)
+            self.held, self.size = [(cls[~large], n[~large], tokens[~large])], int((~large).sum())
+            self.most = max(self.most, 2 * self.size)  # many tokens, none of them frequent
+
+    def done(self) -> tuple[np.ndarray, ...]:
+        """What is left of the part: the entries of tokens that two classes or more hold."""
+        cls, n, tokens, freq = self._distinct()
+        self.held, self.size = [], 0
+        some = freq >= 2
+        return cls[some], n[some], tokens[some], freq[some]
+
+    def _distinct(self) -> tuple[np.ndarray, ...]:
+        cls, n, tokens = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+        self.held.clear()
         order = np.argsort(tokens)
         tokens = tokens[order]
         same = np.zeros(len(tokens) + 1, bool)
         same[1:-1] = tokens[1:] == tokens[:-1]
-        some = same[1:] | same[:-1]  # met twice, if maybe in one class
-        order, tokens = order[some], tokens[some]
+        twice = same[1:] | same[:-1]  # met twice, if maybe in one class
+        alone = [x[order[~twice]] for x in (cls, n)] + [tokens[~twice]]
+        order, tokens = order[twice], tokens[twice]
         cls, n = cls[order], n[order]
         order = np.lexsort((cls, tokens))
         cls, n, tokens = cls[order], n[order], tokens[order]
@@ -231,13 +268,33 @@ def _shared_tokens(blocks: DataFrame, parts: int) -> DataFrame:
         new[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])
         cls, n, tokens = cls[new], n[new], tokens[new]
         _, back, freq = np.unique(tokens, return_inverse=True, return_counts=True)
-        freq = freq[back]
-        out = _packed(*(x[freq >= 2] for x in (cls, n, tokens, freq)), parts)
-        del cls, n, tokens, freq, order, back
+        return np.concatenate([cls, alone[0]]), np.concatenate([n, alone[1]]), np.concatenate([tokens, alone[2]]), np.concatenate([freq[back], np.ones(len(alone[0]), np.int64)])
+
+
+def _shared_tokens(blocks: DataFrame, parts: int, most: int = HELD_TOKENS) -> DataFrame:
+    """SHARED of the blocks' tokens that two classes or more hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = None, TokenCounts(most)
+
+        def out(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            made = _packed(*found, parts)
+            if len(made):
+                yield pa.RecordBatch.from_pandas(made, preserve_index=False)
+
+        for batch in batches:
+            for part, cls, n, each, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    yield from out(counts.done())
+                    now, counts = part, TokenCounts(most)
+                size = np.frombuffer(each, np.uint16)
+                rows = np.repeat(np.frombuffer(cls, np.int64), size), np.repeat(np.frombuffer(n, np.uint32), size), np.frombuffer(tokens, np.uint64)
+                for found in counts.add(*rows):
+                    yield from out(found)
+        yield from out(counts.done())
         tb.release()
-        return out
 
-    return blocks.groupBy("part").applyInPandas(count, SHARED)
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(count, SHARED)
 
 
 def choose_matches(freq: np.ndarray, n: int, least: int) -> tuple[int, int]:
@@ -385,7 +442,7 @@ def _class_components(sets: DataFrame, similarity: tuple[int, int], tables: Tabl
     return out
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, held_tokens: int = HELD_TOKENS) -> DataFrame:
     """(id, n_shingles, component_id) per row: component_id is the least id reachable over links.
 
     Two rows link when the Jaccard similarity of their sets of word shingles is at least
@@ -401,7 +458,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     signs = scanned.where("n >= 0").select("id", "n", "cls")
     total = signs.agg(F.sum("n")).first()[0] or 0
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_TOKENS))
-    shared = _shared_tokens(_blocks(rows, words, parts, hot), parts)
+    shared = _shared_tokens(_blocks(rows, words, parts, hot), parts, held_tokens)
     if len(hot):
         shared = shared.unionByName(_hot_entries(rows, words, parts, hot, freq))
     sets = tables.save(_prefixes(shared, similarity), total // TOKENS_PER_ROW)

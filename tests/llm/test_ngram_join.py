@@ -49,6 +49,33 @@ def test_against_all_pairs(documents):
     assert run(documents) == brute(rows)
 
 
+def test_tokens_let_go_change_nothing(documents, odd):
+    for df, most in ((documents, 300), (documents, 3000), (odd, 50)):
+        assert run(df, held_tokens=most) == brute([tuple(r) for r in df.select("doc_id", "text").collect()])
+
+
+def test_counts_of_a_stream():
+    rnd = np.random.default_rng(3)
+    cls, tokens = rnd.integers(0, 400, 6000), np.where(rnd.random(6000) < 0.3, 7, rnd.integers(10, 900, 6000)).astype(np.uint64)
+    pairs = {(int(c), int(t)) for c, t in zip(cls, tokens, strict=True)}
+    classes = {}
+    for c, t in pairs:
+        classes.setdefault(t, set()).add(c)
+    counts, got, most = nj.TokenCounts(1000), [], 0
+    for i in range(0, 6000, 250):
+        part = slice(i, i + 250)
+        got += list(counts.add(cls[part], np.full(250, 9, np.uint32), tokens[part]))
+        most = max(most, counts.size)
+    got.append(counts.done())
+    c, _, t, f = (np.concatenate(x) for x in zip(*got, strict=True))
+    freq = {}
+    for x, y in zip(t.tolist(), f.tolist(), strict=True):
+        assert freq.setdefault(x, y) == y  # one frequency for all entries of a token
+    assert freq[7] == nj.MANY and all(y == nj.MANY or y == len(classes[x]) for x, y in freq.items())
+    assert {(int(a), int(b)) for a, b in zip(c, t, strict=True)} == {(a, b) for a, b in pairs if len(classes[b]) > 1}
+    assert most <= sum(len(x) for k, x in classes.items() if k != 7) + 1250  # the rare tokens' entries, and what came last
+
+
 def test_odd_rows(odd):
     assert run(odd) == brute([tuple(r) for r in odd.select("doc_id", "text").collect()])
 
@@ -108,6 +135,12 @@ def test_words_and_grams_in_pieces(monkeypatch):
 class Plain:
     """Takes the functions that a DataFrame would ship, to run them here."""
 
+    def repartition(self, *cols):
+        return self
+
+    def sortWithinPartitions(self, *cols):
+        return self
+
     def select(self, *_):
         return self
 
@@ -128,8 +161,8 @@ def test_runs_and_hot_tokens_change_nothing(monkeypatch):
     def sets(run, hot):
         monkeypatch.setattr(nj, "RUN", run)
         frames = [b.to_pandas() for b in nj._blocks(Plain(), 5, 3, hot)(iter([batch]))]
-        parts = pd.concat(frames).groupby("part")
-        shared = pd.concat([nj._shared_tokens(Plain(), 2)(g) for _, g in parts])
+        rows = pd.concat(frames).sort_values("part", kind="stable")
+        shared = pd.concat([b.to_pandas() for b in nj._shared_tokens(Plain(), 2)(iter([pa.RecordBatch.from_pandas(rows, preserve_index=False)]))])
         if len(hot):
             more = [b.to_pandas() for b in nj._hot_entries(Plain(), 5, 2, hot, np.full(len(hot), 99))(iter([batch]))]
             shared = pd.concat([shared, *more])
