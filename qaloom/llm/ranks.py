@@ -1,8 +1,9 @@
 """Running sums within a key, however many rows the key has.
 
 Rows of a key are dealt to buckets by a hash; a bucket's rows are ordered in one window partition
-of bounded size, and the buckets' totals, one row each, are summed up before them.  The order is
-by bucket, then by the given columns: deterministic, whatever the partitions.
+of bounded size, and the buckets' totals, one row each, are summed up before them: of one key they
+go through one task, a row for 4,096 of the key's rows.  The order is by bucket, then by the given
+columns: deterministic, whatever the partitions.
 """
 
 from __future__ import annotations

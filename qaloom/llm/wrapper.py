@@ -493,7 +493,9 @@ def templates(pages: DataFrame) -> DataFrame:
     merged = tables.save(each.repartition("host", "layout").sortWithinPartitions("host", "layout").mapInArrow(_merged, TREE))
     total = merged.where("layout = 0").select(F.col("host").alias("_h"), F.col("n").alias("of"))
     common = merged.where("n > 1").join(total, F.col("host") == F.col("_h")).where(F.col("n") * LEAST_SHARE >= F.col("of"))
-    return tables.save(common.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("layout", "tree")).alias("wrapper")))  # 201 at most
+    made = tables.save(common.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("layout", "tree")).alias("wrapper")))  # 201 at most
+    tables.drop(merged)
+    return made
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
