@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaloom.llm import textblocks as tb
-from qaloom.llm.components import components
+from qaloom.llm.components import components, stars
 from qaloom.sources.durable import Tables, give_back
 
 WORDS = 5
@@ -366,8 +366,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFrame, similarity: tuple[int, int], tables: Tables, rows: int) -> DataFrame:
-    """All similar pairs (a, b) of classes that the leaders have left in different components.
+def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: DataFrame, similarity: tuple[int, int], tables: Tables, rows: int, many: int) -> DataFrame:
+    """A forest (a, b) of the similar pairs of classes that the leaders have left in different components.
+
+    ``rows`` and ``many``: how many sets and how many entries there are.
 
     A class is open if a posting list holds it and mostly another component.  Open classes form
     chunks of those with one leader; a chunk meets each class that shares enough prefix tokens with
@@ -376,7 +378,7 @@ def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: Da
     num, den = similarity
     known = entries.join(label, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "l", F.coalesce("component", "cls").alias("comp"))
     main = known.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps"))
-    lists = tables.save(known.join(main.where("comps > 1").drop("comps"), "token"), rows)
+    lists = tables.save(known.join(main.where("comps > 1").drop("comps"), "token"), many)
     opened = lists.where("comp <> main").select("cls", "comp", "n").distinct().join(leads, F.col("cls") == F.col("a"), "left")
     opened = opened.select("cls", "comp", "n", F.coalesce("b", "cls").alias("lead"))
     pieces = lambda sets, tokens: F.greatest(F.ceil(sets / CHUNK_SETS), F.ceil(tokens / MEETING_TOKENS))
@@ -387,7 +389,7 @@ def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: Da
     opened = opened.select("cls", "comp", chunk.alias("chunk"))
     asked = lists.join(opened.select("cls", "chunk"), "cls").groupBy("chunk", "token").agg(F.min("l").alias("least"))
     met = asked.join(lists.select("token", "cls", "l"), "token").groupBy("chunk", "cls").agg(F.count("*").alias("shared"), F.min(F.least("least", "l")).alias("need"))
-    met = tables.save(met.where("shared >= need").select("chunk", "cls"), rows)
+    met = tables.save(met.where("shared >= need").select("chunk", "cls"), many)
     size = met.join(sets.select("cls", "n"), "cls").groupBy("chunk").agg(F.ceil(F.sum("n") / MEETING_TOKENS).alias("parts"))
     size = tables.save(size, rows)
     give_back(sets.sparkSession)
@@ -411,11 +413,13 @@ def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: Da
                 both = overlaps(arrays(u, "tokens"), arrays(v, "tokens"))
                 p, q = np.nonzero(may & (den * both >= num * (col(u, "n")[:, None] + col(v, "n")[None, :] - both)))
                 found.append(np.stack([col(u, "cls")[p], col(v, "cls")[q]]))
-        a, b = np.concatenate(found, 1)
+                if sum(f.shape[1] for f in found) > MEETING_TOKENS:
+                    found = [np.stack(stars(*np.concatenate(found, 1)))]
+        a, b = stars(*np.concatenate(found, 1))  # links of a meeting as a forest, not pair by pair
         return pd.DataFrame({"a": a, "b": b})
 
     pairs = own.groupBy("chunk", "part").cogroup(other.groupBy("chunk", "part")).applyInPandas(meet, "a long, b long")
-    out = tables.save(pairs, rows)
+    out = tables.save(pairs, met.count())
     tables.drop(lists, opened_, met, size)
     return out
 
@@ -423,7 +427,7 @@ def _open_pairs(entries: DataFrame, leads: DataFrame, label: DataFrame, sets: Da
 def _class_components(sets: DataFrame, similarity: tuple[int, int], tables: Tables) -> DataFrame:
     """(node, component) of the classes that have a similar class."""
     give_back(sets.sparkSession)
-    rows = sets.count()
+    rows, many = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()
     entries = sets.select("cls", "n", "l", "weight", F.explode("prefix").alias("token"))
     # First, each class and the most typical class of its posting lists that it meets most often.
     lead = entries.groupBy("token").agg(F.max(F.struct("weight", "cls", "n")).alias("lead"), F.count("*").alias("many")).where("many > 1")
@@ -434,7 +438,7 @@ def _class_components(sets: DataFrame, similarity: tuple[int, int], tables: Tabl
     give_back(sets.sparkSession)
     label = tables.save(components(led, tables, rows), rows)
     give_back(sets.sparkSession)
-    met = _open_pairs(entries, leads, label, sets, similarity, tables, rows)
+    met = _open_pairs(entries, leads, label, sets, similarity, tables, rows, many)
     give_back(sets.sparkSession)
     out = tables.save(components(led.unionByName(met), tables, rows), rows)
     give_back(sets.sparkSession)
