@@ -50,7 +50,8 @@ def give_back(spark: SparkSession) -> None:
     """Let the executors' JVMs return heap that earlier stages made them grow to.
 
     An executor's Python workers live beside its JVM in one container, and a heap shrinks in a full
-    collection only.  One short task for each core; results never depend on it.
+    collection only.  One short task for each executor, which idle ones share out evenly; results
+    never depend on it.
     """
-    cores = spark.sparkContext.defaultParallelism
-    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done").where("done is not null").count()
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is one of them
+    spark.range(0, executors, 1, executors).selectExpr("java_method('java.lang.System', 'gc') AS done").where("done is not null").count()
