@@ -26,13 +26,14 @@ class Template:
 
 @dataclass(frozen=True)
 class Rule:
-    """``header``: names that the header holds; ``like``: parts of which some name has each; ``exact``: the whole header."""
+    """``header``: names that the header holds; ``like``: parts of which some name has each; ``exact``: the whole header, cells joined by ' | '; ``start``: what that begins with."""
 
     templates: tuple[Template, ...]
     header: tuple[str, ...] = ()
     like: tuple[str, ...] = ()
     exact: str | None = None
     first: str | None = None
+    start: str | None = None
     fees: tuple[int, ...] = field(default=())
 
 
@@ -55,6 +56,7 @@ RULES: tuple[Rule, ...] = (
         header=("Specialty",), like=("Wait",),
     ),
     Rule((Template("What is the consultation fee for a {0} at {site}?", "{1}.", "numeric"),), header=("Fee (LKR)",), first="Category", fees=(1,)),
+    Rule((Template("What is the consultation fee for a {0} at {site}?", "{1}.", "numeric"),), start="Category | Fee", fees=(1,)),
     Rule(
         (
             Template("What is the turnaround time for {0} tests at the {short} laboratory?", "{2}.", "numeric"),
@@ -149,6 +151,8 @@ def table_pairs(header: Column, rows: Column, site: str, short: str, rules: Sequ
             fits &= some(part)
         if rule.exact is not None:
             fits &= F.array_join(header, " | ") == rule.exact
+        if rule.start is not None:
+            fits &= F.array_join(header, " | ").startswith(rule.start)
         if rule.first is not None:
             fits &= F.get(header, F.lit(0)) == rule.first
         out = F.when(fits, F.flatten(F.transform(padded, of_row(rule)))).otherwise(out)

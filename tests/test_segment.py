@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from qaloom.operators import derive, segment
@@ -86,6 +87,50 @@ def test_table_templates(spark):
     assert [p["answer"] for p in method] == ["Yes, at all desks.", "Yes, at desk 1. Note: no fee."]
 
 
+TABLES = [
+    (
+        ["Specialty", "Days", "Hours", "Wait Time"], [["Eye", "Mon, Wed", "9-12", "20 min"]],
+        [
+            ("On which days is the Eye clinic held at the Example OPD?", "Mon, Wed.", None), ("What are the OPD consultation hours for Eye at Example?", "9-12.", "numeric"),
+            ("What is the estimated waiting time for a booked Eye appointment at Example?", "20 min.", "numeric"),
+        ],
+    ),
+    (["Category", "Note", "Fee (LKR)"], [["Adult", "1,500", "x"]], [("What is the consultation fee for a Adult at Example House?", "1,500 LKR.", "numeric")]),
+    (["Category", "Fee per visit"], [["Child", "50% off"], ["Senior", "900"]], [("What is the consultation fee for a Child at Example House?", "50% off.", "numeric"), ("What is the consultation fee for a Senior at Example House?", "900 LKR.", "numeric")]),
+    (
+        ["Test", "Examples", "Turnaround"], [["Blood", "FBC, ESR", "2 h"]],
+        [("What is the turnaround time for Blood tests at the Example laboratory?", "2 h.", "numeric"), ("Which tests are included under Blood at Example's laboratory?", "FBC, ESR.", None)],
+    ),
+    (
+        ["Modality", "Preparation", "Report"], [["CT", "fast 4 h", "1 day"]],
+        [("What preparation is required before a CT at Example?", "fast 4 h.", "procedural"), ("How long does the CT report take at Example House?", "1 day.", "numeric")],
+    ),
+    (
+        ["Test", "Fasting Required", "Duration"], [["Sugar", "Yes", "8 hours"], ["Iron", "No", "-"]],
+        [("Is fasting required for a Sugar at Example House?", "Yes — 8 hours.", "numeric"), ("Is fasting required for a Iron at Example House?", "No.", "factual")],
+    ),
+    (["Insurer", "Direct", "Pre"], [["Acme", "Yes", "needed"]], [("Does Example House offer direct billing with Acme?", "Yes. Pre-authorisation: needed.", None)]),
+    (
+        ["Level", "Name", "Meaning", "Target"], [["1", "Red", "Life at risk", "At Once"]],
+        [("At Example's emergency department, what does Triage Level 1 (Red) mean, and how quickly should the patient be seen by a doctor?", "Life at risk. Target: seen at once.", "numeric")],
+    ),
+    (["Item", "Fee (LKR)"], [["Dressing", "300"], ["Stitch", "free"]], [("What is the fee for Dressing at Example's emergency department?", "300 LKR.", "numeric"), ("What is the fee for Stitch at Example's emergency department?", "free.", "numeric")]),
+    (["Pharmacy", "Location", "Hours"], [["Main", "Floor 1", "24 h"]], [("Where is the Main at Example House and what are its hours?", "Floor 1; open 24 h.", None)]),
+    (["Request Type", "Time"], [["refill", "15 min"]], [("How long does a refill take at the Example pharmacy?", "15 min.", "numeric")]),
+    (["Key", "A", "B"], [["k", "", "2"], ["only"]], [("For k at Example House, what is the B?", "2.", None)]),
+    (["Procedure", "Price"], [["Scan", "9"]], [("For Scan at Example House, what is the Price?", "9.", None)]),
+]
+
+
+@pytest.mark.parametrize(("header", "rows", "want"), TABLES)
+def test_every_template(spark, header, rows, want):
+    got = pairs_of(spark, header, rows)
+    assert [(p["question"], p["answer"]) for p in got] == [(q, a) for q, a, _ in want]
+    assert all(kind is None or p["answer_type"] == kind for p, (_, _, kind) in zip(got, want, strict=True))
+    padded = [[*r, *[""] * (len(header) - len(r))] for r in rows]
+    assert all(p["evidence"] in {" | ".join(r) for r in padded} for p in got)
+
+
 def test_pairs_are_numbered_in_order(spark):
     text = DOC.replace("text one", "text one is long enough to be asked about here")
     docs = spark.createDataFrame([(1, text), (2, text.replace("D-1", "SGH-FAQ-9"))], "no int, text string")
