@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local["):
+        if not path and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="qaloom-"))
     return sc.getCheckpointDir().rstrip("/")
