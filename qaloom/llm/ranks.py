@@ -27,19 +27,21 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
     many = max(1, -(-rows // BUCKET_ROWS))
     each: Column = F.col(value) if value else F.lit(1).cast("long")
     deal = F.ceil(F.col(key_rows) / BUCKET_ROWS) if key_rows else F.lit(many)
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order) if place is None else place, deal).cast("int")).withColumn("_each", each)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.pmod(F.xxhash64(*order) if place is None else place, deal).cast("int")
+    dealt = df.withColumns({"_key": _named(keys), "_bucket": bucket, "_each": each})
+    inside = Window.partitionBy("_key", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     dealt_sums = dealt.withColumn("_inside", F.coalesce(F.sum("_each").over(inside), F.lit(0)).cast("long"))
     if many == 1:
-        return dealt_sums.withColumn(to, F.col("_inside")).drop("_bucket", "_each", "_inside")
-    over = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*keys, "_bucket").agg(F.sum("_each").alias("_sum")).withColumn("_earlier", F.coalesce(F.sum("_sum").over(over), F.lit(0)))
-    totals = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), "_earlier")
-    match = F.col("_bucket") == F.col("_b")
-    for k in keys:
-        match &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return (
-        dealt_sums.join(totals, match)
-        .withColumn(to, (F.col("_earlier") + F.col("_inside")).cast("long"))
-        .drop("_bucket", "_each", "_inside", "_b", "_earlier", *[f"_k_{k}" for k in keys])
-    )
+        return dealt_sums.withColumn(to, F.col("_inside")).drop("_key", "_bucket", "_each", "_inside")
+    over = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_key", "_bucket").agg(F.sum("_each").alias("_sum")).withColumn("_earlier", F.coalesce(F.sum("_sum").over(over), F.lit(0)))
+    # The rows are dealt by these two columns already, so the join moves none of them again.
+    joined = dealt_sums.join(totals.select("_key", "_bucket", "_earlier"), ["_key", "_bucket"])
+    return joined.withColumn(to, (F.col("_earlier") + F.col("_inside")).cast("long")).drop("_key", "_bucket", "_each", "_inside", "_earlier")
+
+
+def _named(keys: Sequence[str]) -> Column:
+    """The keys as one string that is never null: different for different keys."""
+    if len(keys) == 1:
+        return F.coalesce(F.concat(F.lit("="), F.col(keys[0]).cast("string")), F.lit(""))
+    return F.to_json(F.struct(*keys))
