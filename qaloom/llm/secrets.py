@@ -72,7 +72,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     kinds = [digest, F.upper(F.substring(digest, 1, 40)), plain, F.translate(plain, "+/=", ""), F.translate(plain, "+/=", "-_"), F.lower(letters), letters, F.upper(F.translate(plain, "+/=", ""))]
     rand = F.element_at(F.array(*kinds), (pick("kind", len(kinds)) + 1).cast("int"))
     a, b, c = word("a"), word("b"), word("c")
-    number = F.rpad(F.regexp_replace(F.conv(F.substring(digest, 1, 15), 16, 10), "^", ""), 16, "7")
+    number = F.rpad(F.conv(F.substring(digest, 1, 15), 16, 10), 16, "7")
     styles = [
         F.concat_ws("_", a, b, c, pick("num", 1000)), F.concat(a, F.initcap(b), F.initcap(c), pick("num", 100)), F.concat_ws("-", a, b, F.concat(F.lit("v"), pick("num", 10)), c),
         F.concat_ws("/", a, b, c, F.concat(F.initcap(word("d")), pick("num", 100), F.initcap(word("e")))), F.concat_ws("/", F.initcap(a), pick("num", 30), F.concat(F.initcap(b), F.initcap(c)), pick("more", 900)),
