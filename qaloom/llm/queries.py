@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from qaloom.llm import mixing, oracles
 from qaloom.llm.chat import format_chat, read_back
 from qaloom.llm.embed_join import embedding_components
+from qaloom.llm.fill_middle import fill_in_middle, restored
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
 from qaloom.llm.quality import COVERAGE, quality_rules
@@ -83,10 +84,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"mixed_words": mixed_words}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8}
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8, "op13_fill_in_middle": oracles.OP13}
