@@ -84,6 +84,28 @@ line AS (
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE (want // source_size) * size + greatest(0, least(size, want % source_size - start)) END AS BIGINT) AS taken FROM line
 """
 
+#: CRC-32, byte by byte, with the table of the polynomial 0xEDB88320.
+_CRC_TABLE = "table_of AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen({x})), lambda k: CAST('0x' || hex(encode({x}))[2 * k + 1:2 * k + 2] AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+OP11 = rf"""
+WITH {_CRC_TABLE},
+lowered AS (SELECT 's' AS corpus, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents UNION ALL SELECT 't', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+texts AS (SELECT corpus, id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+each AS (SELECT corpus, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts),
+feats AS (SELECT f, any_value(t) AS t FROM (SELECT DISTINCT f FROM each) CROSS JOIN table_of GROUP BY f),
+bucketed AS (SELECT f, {_CRC.format(x="f")} % 10000 AS bucket FROM feats),
+posted AS (SELECT corpus, id, bucket, count(*) AS n FROM each JOIN bucketed USING (f) GROUP BY ALL),
+held AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (corpus = 's'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (corpus = 't'), 0) AS DOUBLE) AS t FROM posted GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM held),
+weights AS (SELECT id, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM posted JOIN gains USING (bucket) WHERE corpus = 's' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(w) AS words, CAST(greatest(2 * len(w) - 1, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM texts LEFT JOIN weights USING (id) WHERE corpus = 's'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (words >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 25 * able // 100 THEN r END AS rank FROM ranked
+"""
+
 OP13 = r"""
 WITH units AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),

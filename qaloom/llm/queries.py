@@ -14,6 +14,7 @@ from qaloom.llm.fill_middle import fill_in_middle, restored
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
 from qaloom.llm.quality import COVERAGE, quality_rules
+from qaloom.llm.resample import importance_resample
 from qaloom.llm.secrets import count_kind, listed, scan_secrets
 from qaloom.llm.sharding import shard_documents
 from qaloom.llm.url_filter import filter_urls
@@ -84,6 +85,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     made = fill_in_middle(table(spark, sf_dir, "documents"))
@@ -97,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8, "op13_fill_in_middle": oracles.OP13}
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8, "op11_importance_resampling": oracles.OP11, "op13_fill_in_middle": oracles.OP13}
