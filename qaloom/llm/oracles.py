@@ -106,6 +106,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 25 * able // 100 THEN r END AS rank FROM ranked
 """
 
+OP12 = rf"""
+WITH {_CRC_TABLE},
+lists AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS name, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' end') AS w FROM documents),
+parted AS (SELECT doc_id, w, {_CRC.format(x="name")} % 7 = 2 AS held_out FROM lists CROSS JOIN table_of),
+each AS (SELECT doc_id, held_out, unnest(w) AS x FROM parted),
+counts AS (SELECT x, count(*) AS c FROM each WHERE NOT held_out GROUP BY x),
+sizes AS (SELECT coalesce(CAST(sum(c) AS BIGINT), 0) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, sum(CAST(round(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1)) * 10000000000) AS BIGINT))::DOUBLE / 10000000000 AS base_score
+FROM each LEFT JOIN counts USING (x) CROSS JOIN sizes GROUP BY doc_id, held_out, n
+"""
+
 OP13 = r"""
 WITH units AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),

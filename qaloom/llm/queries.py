@@ -11,6 +11,7 @@ from qaloom.llm import mixing, oracles
 from qaloom.llm.chat import format_chat, read_back
 from qaloom.llm.embed_join import embedding_components
 from qaloom.llm.fill_middle import fill_in_middle, restored
+from qaloom.llm.language_model import score_texts
 from qaloom.llm.ngram_join import ngram_components
 from qaloom.llm.packing import pack
 from qaloom.llm.quality import COVERAGE, quality_rules
@@ -90,6 +91,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return score_texts(table(spark, sf_dir, "documents")).drop("n_bytes")
+
+
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op12 returns but for the tree's scores: SQL can say that much."""
+    return op12_language_model_scores(spark, sf_dir).drop("score", "bits_per_byte")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     made = fill_in_middle(table(spark, sf_dir, "documents"))
@@ -99,8 +110,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"mixed_words": mixed_words}
+    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"mixed_words": mixed_words, "base_scores": base_scores}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8, "op11_importance_resampling": oracles.OP11, "op13_fill_in_middle": oracles.OP13}
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8, "op11_importance_resampling": oracles.OP11, "base_scores": oracles.OP12, "op13_fill_in_middle": oracles.OP13}

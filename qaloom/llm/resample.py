@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.llm import textblocks as tb
+from qaloom.llm.packed import packed, summed, unpacked
 from qaloom.sources.durable import Tables
 
 BUCKETS = 10_000
@@ -156,11 +157,7 @@ class Block:
     def fold(self) -> None:
         if self.pending:
             fresh, n = np.unique(np.concatenate(self.pending), return_counts=True)
-            keys = np.concatenate([self.keys, fresh])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], np.concatenate([self.counts, n])[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+            self.keys, self.counts = summed(np.concatenate([self.keys, fresh]), np.concatenate([self.counts, n]))
             self.pending, self.held = [], 0
 
     def rows(self, name: str, parts: int) -> dict[str, list]:
@@ -178,8 +175,8 @@ class Block:
             out["part"].append(p)
             out["sums"].append(np.bincount(b, c, hi - lo).astype(np.int64))
             out["lengths"].append(np.bincount(b, minlength=hi - lo).astype(np.int32))
-            out["gaps"].append(_packed(gaps))
-            out["counts"].append(_packed(c.astype(np.uint32)))
+            out["gaps"].append(packed(gaps))
+            out["counts"].append(packed(c.astype(np.uint32)))
         return out
 
 
@@ -187,18 +184,6 @@ def _range(part: int, parts: int, buckets: int) -> tuple[int, int]:
     return part * buckets // parts, (part + 1) * buckets // parts
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Compressed, byte by byte of the values' places."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T) if len(values) else np.zeros(0, np.uint8)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def postings(df: DataFrame, id_col: str, text_col: str, buckets: int, parts: int) -> DataFrame:
     """The packed postings of ``df``; a block's name is unique in one run of the scan, so they must be written once."""
     kind = df.select(F.col(f"`{id_col}`")).dtypes[0][1]
@@ -266,8 +251,8 @@ def importance_weights(df: DataFrame, target: DataFrame, tables: Tables, id_col:
             gain[nth.astype(np.int64)] = np.floor(1000 * np.log((t + 1) * (s_all + buckets) / ((s + 1) * (t_all + buckets))))
         for k in range(found.num_rows):
             length = found.column("lengths")[k].values.to_numpy()
-            doc = _unpacked(found.column("gaps")[k].as_py(), np.uint16).astype(np.int64)
-            counts = _unpacked(found.column("counts")[k].as_py(), np.uint32).astype(np.int64)
+            doc = unpacked(found.column("gaps")[k].as_py(), np.uint16).astype(np.int64)
+            counts = unpacked(found.column("counts")[k].as_py(), np.uint32).astype(np.int64)
             sums = np.concatenate([[0], np.cumsum(doc)])
             ends = np.cumsum(length)
             doc = sums[1:] - np.repeat(sums[ends - length], length)
