@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["question_id", "producer"]
@@ -25,14 +25,19 @@ def model_mix(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return answers.join(F.broadcast(expected), "producer").where(F.col("model") != F.col("expected_model")).select("producer", "model").distinct()
 
 
-def drop_rows(answers: DataFrame, producer: str | None = None, errors_only: bool = False) -> DataFrame:
-    """What stays when a producer's rows, or errors only, are deleted; without either all go."""
-    doomed = F.lit(True)
+def doomed(producer: str | None = None, errors_only: bool = False) -> Column:
+    """Whether a row is a producer's, or an error; without either all are."""
+    which = F.lit(True)
     if producer is not None:
-        doomed &= F.col("producer") == producer
+        which &= F.col("producer") == producer
     if errors_only:
-        doomed &= F.coalesce("error", F.lit("")) != ""
-    return answers.where(~F.coalesce(doomed, F.lit(False)))
+        which &= F.coalesce("error", F.lit("")) != ""
+    return F.coalesce(which, F.lit(False))
+
+
+def drop_rows(answers: DataFrame, producer: str | None = None, errors_only: bool = False) -> DataFrame:
+    """What stays when a producer's rows, or errors only, are deleted; without either all go."""
+    return answers.where(~doomed(producer, errors_only))
 
 
 def latest(answers: DataFrame, order: str = "ts") -> DataFrame:

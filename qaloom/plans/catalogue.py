@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from qaloom.plans import evaluation, lifecycle, texts
+from qaloom.plans import evaluation, lifecycle, streams, texts
 from qaloom.plans.registry import Query
 from qaloom.shipping import ship
 
-_ALL = (evaluation.R, texts.R, lifecycle.R)
+_ALL = (evaluation.R, texts.R, lifecycle.R, streams.R)
 
 
 def _shipped(query: Query) -> Query:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.operators import aggregate, checks, cost, verdict, worklist
 from qaloom.plans import views
 from qaloom.plans.registry import Registry
-from qaloom.sources import sinks
+from qaloom.sources.durable import shared_dir
+from qaloom.sources.snapshots import SnapshotTable
 from qaloom.sources.tables import table
 
 R = Registry()
@@ -27,6 +30,13 @@ master AS (
 )
 
 
+def _table_of(spark: SparkSession, rows: DataFrame) -> SnapshotTable:
+    held = SnapshotTable(spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
+    held.create(rows.schema)
+    held.append(rows)
+    return held
+
+
 def _joined(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.frames(views.scores(spark, d), views.answers(spark, d))
 
@@ -116,7 +126,10 @@ def model_mix_guard(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(WITH + " SELECT * EXCLUDE (ts) FROM answers WHERE NOT (producer = 'p3' AND coalesce(error, '') <> '')")
 def clear_errors(spark: SparkSession, d: str) -> DataFrame:
-    return worklist.drop_rows(views.answers(spark, d), "p3", errors_only=True).drop("ts")
+    """The log is a table with a commit log: the delete is one commit, which rewrites only what holds such rows."""
+    held = _table_of(spark, views.answers(spark, d))
+    held.delete(worklist.doomed("p3", errors_only=True))
+    return held.read().drop("ts")
 
 
 @R.query(
@@ -230,7 +243,9 @@ def judge_estimate(spark: SparkSession, d: str) -> DataFrame:
 def job_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("producer"), F.col("c_acctbal").alias("paid"), F.col("c_mktsegment").alias("segment"))
     new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("producer")).agg(F.max("o_totalprice").alias("paid"))
-    return sinks.upsert(old, new, "producer")
+    held = _table_of(spark, old)
+    held.upsert(new, "producer")
+    return held.read()
 
 
 @R.query(

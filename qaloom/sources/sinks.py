@@ -18,16 +18,20 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a table that ``df`` itself may read: write beside it, then rename."""
+    """Replace a table that ``df`` itself may read: write beside it, then rename both; the old one goes last.
+
+    Between the two renames nothing is at ``path``; where readers mustn't see that, use a ``SnapshotTable``.
+    """
     spark = df.sparkSession
     aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(aside)
     jvm = spark.sparkContext._jvm
     new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not rename {aside}")
+    gone = jvm.org.apache.hadoop.fs.Path(f"{aside}.old")
+    if not fs.rename(old, gone) or not fs.rename(new, old):
+        raise OSError(f"could not swap {path}: its rows are at {aside}, and at {aside}.old before")
+    fs.delete(gone, True)
 
 
 def delete_rows(spark: SparkSession, path: str, schema: str, doomed: str) -> int:
