@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Iterable
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,19 @@ class Tables:
         self.paths[id(out)] = (out, path)
         return out
 
+    def of_rows(self, rows: Iterable[dict], schema: str) -> DataFrame:
+        """Rows that the driver made, as a table of JSON lines: the plan of a query holds its path, not the rows."""
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}.json"
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+        for part in batched(rows, 10_000):
+            out.write(bytearray("".join(json.dumps(r) + "\n" for r in part).encode()))
+        out.close()
+        made = self.spark.read.schema(schema).json(path)
+        self.paths[id(made)] = (made, path)
+        return made
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             if found := self.paths.pop(id(df), None):
