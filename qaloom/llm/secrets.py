@@ -192,41 +192,76 @@ def _blank(s: Column) -> Column:
     return F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(s["start"], s["before"]), F.lit(0)))
 
 
-STRETCH = "struct<from:int,to:int>"
-
-
-def stretches(gains: Column, margin: float) -> Column:
-    """array<struct<from, to>>: where the sum of gains rises above the margin, from its last zero to its highest.
-
-    Transition k joins the characters k and k + 1; ``to`` is exclusive.
-    """
-    none = F.array().cast(f"array<{STRETCH}>")
-    state = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(0).alias("to"), none.alias("out"))
-    closed = lambda s: F.when(s["best"] > margin, F.concat(s["out"], F.array(F.struct(s["from"].alias("from"), s["to"].alias("to"))))).otherwise(s["out"])
-
-    def step(s: Column, x: Column) -> Column:
-        total = s["sum"] + x
-        over = (total <= 0) | (total < s["best"] - FALL)
-        higher = ~over & (total > s["best"])
-        return F.struct(
-            (s["k"] + 1).alias("k"), F.when(over, 0.0).otherwise(total).alias("sum"), F.when(over, s["k"] + 1).otherwise(s["from"]).alias("from"),
-            F.when(over, 0.0).when(higher, total).otherwise(s["best"]).alias("best"), F.when(higher, s["k"] + 2).otherwise(s["to"]).alias("to"), F.when(over, closed(s)).otherwise(s["out"]).alias("out"),
-        )
-
-    return F.aggregate(gains, state, step, closed)
+JOINERS = "+-/=_"  # characters of a candidate that aren't letters or digits
 
 
 def _secrets_of(run: Column, model: list[float], margin: float) -> Column:
-    """array<struct<start, kind, end>> of a candidate's secrets."""
-    text = run["match"]
-
-    def grown(s: Column) -> Column:
-        lead = F.length(F.regexp_replace(F.substring(text, 1, s["from"]), "[A-Za-z0-9]+$", ""))
-        tail = F.length(F.regexp_extract(F.substring(text, s["to"] + 1, F.length(text)), "^[A-Za-z0-9]+", 0))
-        return F.struct((run["start"] + lead).alias("start"), F.lit(3).alias("kind"), (run["start"] + s["to"] + tail).alias("end"))
+    """array<struct<start, kind, end>> of a candidate's secrets.
 
-    found = F.transform(stretches(_gains(text, model), margin), grown)
-    return F.array_distinct(F.filter(found, lambda s: s["end"] - s["start"] >= LEAST))
+    Where the sum of gains, from its last zero to its highest, rises above the margin, out to the next joiners.
+    The run is read in pieces of bytes, so neither time nor memory grows faster than its length; transition k
+    joins the characters k and k + 1.
+    """
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded into one literal
+    codes_ = [ord(c) for c in JOINERS]
+    n = F.length(run["match"])
+    count = F.ceil(n / PIECE).cast("int")
+
+    def within(raw: Column) -> Column:
+        own = lambda p: F.translate(F.substring(raw, p * PIECE + 1, F.lit(PIECE)).cast("string"), JOINERS, "_" * len(JOINERS))
+        first = lambda p: _bind(F.instr(own(p), "_"), lambda at: F.when(at > 0, p * PIECE + at - 1))
+        backwards = F.transform(F.reverse(F.sequence(F.lit(0), count - 1)), first)
+        nearest = _running(backwards, F.lit(None).cast("int"), lambda a, x: F.coalesce(x, a), lambda a, b: F.coalesce(b, a), lambda a, x: a, "array<int>")
+        pieces = F.zip_with(F.sequence(F.lit(0), count - 1), F.reverse(nearest), lambda p, at: F.struct(p.alias("p"), F.coalesce(at, n).alias("next")))
+        return F.aggregate(pieces, state, lambda s, x: read(raw, own, s, x), lambda s: last(raw, s))
+
+    number = lambda x: F.lit(x).cast("int")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    begin = {"k": number(0), "sum": F.lit(0.0), "lead": number(0), "best": F.lit(0.0), "to": number(0), "after": number(-1), "joint": number(0), "last": F.struct(number(-1).alias("lead"), number(-1).alias("end")), "out": none}
+    state = F.struct(*[v.alias(c) for c, v in begin.items()])
+
+    def emitted(s: Column, out: Column, end: Column) -> Column:
+        """``out`` and the string that ends now, unless it is short, or the one before over again."""
+        fresh = (end - s["lead"] >= LEAST) & ((s["last"]["lead"] != s["lead"]) | (s["last"]["end"] != end))
+        found = F.struct((run["start"] + s["lead"]).alias("start"), F.lit(3).alias("kind"), (run["start"] + end).alias("end"))
+        return F.when(fresh, F.concat(out, F.array(found))).otherwise(out)
+
+    def read(raw: Column, own: Callable[[Column], Column], s: Column, x: Column) -> Column:
+        """The state after one more piece."""
+        at = x["p"] * PIECE
+
+        def items(code: Column) -> Column:
+            many = F.greatest(F.size(code) - 1, F.lit(0))
+            return F.zip_with(F.slice(code, 1, many), F.slice(code, 2, many), lambda a, b: F.struct(F.element_at(table, a * _CODES + b + 1).alias("gain"), a.isin(codes_).alias("joiner")))
+
+        def step(t: Column, y: Column) -> Column:
+            k, total = t["k"], t["sum"] + y["gain"]
+            over = (total <= 0) | (total < t["best"] - FALL)
+            higher = ~over & (total > t["best"])
+            joint = F.when(y["joiner"], k + 1).otherwise(t["joint"])
+            after = F.when((t["after"] < 0) & (t["to"] <= k) & y["joiner"], k).otherwise(t["after"])
+            inside = _bind(F.call_function("locate", F.lit("_"), own(x["p"]), k - at + 2), lambda i: F.when(i > 0, at + i - 1).otherwise(x["next"]))
+            end = F.when(after >= 0, after).otherwise(inside)
+            done = over & (t["best"] > margin)
+            moved = {
+                "k": k + 1, "sum": F.when(over, 0.0).otherwise(total), "lead": F.when(over, joint).otherwise(t["lead"]), "best": F.when(over, 0.0).when(higher, total).otherwise(t["best"]),
+                "to": F.when(higher, k + 2).otherwise(t["to"]), "after": F.when(over | higher, -1).otherwise(after), "joint": joint,
+                "last": F.when(done, F.struct(t["lead"].alias("lead"), end.alias("end"))).otherwise(t["last"]), "out": F.when(done, emitted(t, t["out"], end)).otherwise(t["out"]),
+            }
+            return F.struct(*[v.alias(c) for c, v in moved.items()])
+
+        piece = F.substring(raw, at + 1, F.lit(PIECE + 1)).cast("string")
+        empty = F.struct(*[(none if c == "out" else s[c]).alias(c) for c in begin])
+        after_it = _bind(items(codes(piece)), lambda found: F.aggregate(found, empty, step))
+        return _bind(after_it, lambda t: F.struct(*[(F.concat(s["out"], t["out"]) if c == "out" else t[c]).alias(c) for c in begin]))
+
+    def last(raw: Column, s: Column) -> Column:
+        """All of the run's strings, with one that its end closes."""
+        joins = (s["to"] < n) & F.substring(raw, n, F.lit(1)).cast("string").isin(list(JOINERS))
+        end = F.when(s["after"] >= 0, s["after"]).when(joins, n - 1).otherwise(n)
+        return F.when(s["best"] > margin, emitted(s, s["out"], end)).otherwise(s["out"])
+
+    return _bind(F.encode(run["match"], "utf-8"), within)
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text", model: list[float] | None = None, margin: float = MARGIN, to: str = "secret_spans", base_to: str = "base_spans") -> DataFrame:

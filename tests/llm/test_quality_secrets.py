@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import time
 from collections import Counter
@@ -91,11 +92,26 @@ def model(spark):
 
 def test_models_tell_random_strings_from_identifiers(spark):
     own = secrets.train(secrets.labelled_samples(spark, 1000))
-    held = secrets.labelled_samples(spark, 1400).withColumn("runs", secrets.stretches(secrets._gains(F.col("sample"), own), secrets.MARGIN)).where(F.length("sample") >= 16).collect()[700:]
+    held = secrets.labelled_samples(spark, 1400).withColumn("runs", secrets._secrets_of(F.struct(F.col("sample").alias("match"), F.lit(0).alias("start")), own, secrets.MARGIN)).where(F.length("sample") >= 16).collect()[700:]
     right = sum((len(r["runs"]) > 0) == r["random"] for r in held)
     assert right / len(held) > 0.97
 
 
+def test_one_long_run_takes_linear_time(spark, model):
+    """Secrets throughout one run: the spans of the plain model, from ten times the text in hardly more than ten times the time."""
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    run = "_".join(f"{key()}_{rng.choice(secrets.WORDS)}" for _ in range(700))
+    took = []
+    for text in (run, run, "_".join([run] * 10)):
+        began = time.perf_counter()
+        got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id int, text string"), model=model).select("secret_spans").first()[0]
+        took.append(time.perf_counter() - began)
+        if text is run:
+            assert [(s["start"], s["kind"], s["end"]) for s in got] == added(text, model)
+    assert len(got) > 3000 and took[2] < 10 * took[1] + 20
+
+
 def added(text, table):
     """What the models add, in plain Python."""
     text, base_ = text or "", [tuple(map(int, x.split(":")[1:])) for x in spans(text).split(",") if x]
