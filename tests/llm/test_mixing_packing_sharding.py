@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from qaloom.llm import mixing, packing, queries, sharding
 from qaloom.llm.ranks import running
@@ -79,6 +81,65 @@ def test_blocks_belong_to_one_shard_each(documents):
     assert max(Counter(shard.values()).values()) - min(Counter(shard.values()).values()) <= 1
 
 
+def plain_permutation(at, n, *key):
+    """The keyed permutation in plain Python; its hash is Spark's, value upon value."""
+    side = math.isqrt(n)
+    width = n // side
+
+    def number(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    def grid(x, salt):
+        r, c = divmod(x, width)
+        for k in range(4):
+            r, c = ((r + number(*key, 4 * salt + k, c) % side) % side, c) if k % 2 == 0 else (r, (c + number(*key, 4 * salt + k, r) % width) % width)
+        return r * width + c
+
+    held = side * width
+    for salt, lo in ((0, 0), (1, n - held), (2, 0)):
+        at = lo + grid(at - lo, salt) if lo <= at < lo + held else at
+    return at
+
+
+def test_permutations_are_keyed_bijections(spark):
+    sizes = [1, 2, 3, 5, 7, 12, 48, 99, 1000]
+    df = spark.createDataFrame([(n, j) for n in sizes for j in range(n)], "n long, j long")
+    keyed = lambda seed: mixing.permuted(F.col("j"), F.col("n"), F.lit(seed).cast("long"), F.lit(3).cast("long"))
+    got = defaultdict(lambda: ([], []))
+    for r in df.select("n", "j", keyed(7).alias("a"), keyed(8).alias("b")).orderBy("n", "j").collect():
+        assert r["a"] == plain_permutation(r["j"], r["n"], 7, 3)
+        got[r["n"]][0].append(r["a"])
+        got[r["n"]][1].append(r["b"])
+    assert all(sorted(a) == sorted(b) == list(range(n)) for n, (a, b) in got.items())
+    a, b = got[1000]
+    assert sum(x == y for x, y in zip(a, b, strict=True)) < 20  # another seed, another order
+    assert len({(y - x) % 1000 for x, y in zip(a, a[1:], strict=False)}) > 300  # neighbours don't stay at one distance
+
+
+@pytest.mark.parametrize(("good", "bad", "sample"), [(40, 60, 30), (60, 40, 80), (12, 400, 200), (300, 500, 100), (7, 30, 9)])
+def test_wide_draws_follow_the_law(good, bad, sample):
+    """Chi-square against the exact probabilities."""
+    rng, n = np.random.default_rng(5), 3000
+    got = Counter(mixing.draw_wide(rng, good, bad, sample) for _ in range(n))
+    law = {k: math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample) for k in range(max(0, sample - bad), min(good, sample) + 1)}
+    cells = [(got[k], n * p) for k, p in law.items() if n * p >= 5]
+    rest = (n - sum(o for o, _ in cells), n - sum(e for _, e in cells))
+    chi = sum((o - e) ** 2 / e for o, e in [*cells, *([rest] if rest[1] > 1 else [])])
+    assert sum(got.values()) == n and chi < len(cells) + 4 * math.sqrt(2 * len(cells)) + 4
+
+
+def test_trees_of_wide_draws_follow_the_law(monkeypatch):
+    """Small quotas through the wide draws: each shard's mean and spread are those of numpy's draws."""
+    quotas, n = [30, 50, 20], 400
+    exact = np.array([mixing.split_tree(quotas, 4, s) for s in range(n)])
+    monkeypatch.setattr(mixing, "MOST_DRAWN", 5)
+    wide = np.array([mixing.split_tree(quotas, 4, s) for s in range(n)])
+    assert np.abs(exact.mean(0) - wide.mean(0)).max() < 0.7 and np.abs(exact.std(0) - wide.std(0)).max() < 0.4
+
+
 def test_query_holds_the_trees_result(spark, documents):
     """From the query's rows alone: exact quotas of blocks, each in the one shard that a plain tree and permutation give it."""
     rows = queries.op7_source_mixing(spark, DIR).collect()
@@ -99,7 +160,8 @@ def test_query_holds_the_trees_result(spark, documents):
     for s, q in zip(order, quotas, strict=True):
         ends = np.cumsum([g[order.index(s)] for g in got])
         assert all(words[s, b] == min(mixing.BLOCK_WORDS, want[s] - b * mixing.BLOCK_WORDS) for b in range(q))
-        assert all(blocks[s, b] == int(np.searchsorted(ends, b * mixing._stride(q) % q, "right")) for b in range(q))
+        nth = order.index(s)
+        assert all(blocks[s, b] == int(np.searchsorted(ends, plain_permutation(b, q, 7, nth), "right")) for b in range(q))
     assert all(len(set(p)) > 0.9 * len(p) for p in places.values())
 
 
