@@ -1,23 +1,31 @@
 """HTML extraction by wrapper induction.
 
 A page's text comes in units, a paragraph, a list, a table or a run of text each, that lie in boxes
-of its DOM tree.  The box trees of a host's pages are aligned by simple tree matching: boxes of one
-key match, in the order of siblings, so that as many boxes as possible and as many equal units as
-possible do.  All pages of a host are merged into one tree so, and those of one layout (the same
-boxes) into one of their own.  Units that all pages with a box have in it are template; what varies
-is content, of which each page gives its own.  A page that no other resembles loses nothing.
+of its DOM tree.  Box trees are aligned by simple tree matching: boxes of one key match, in the order
+of siblings, so that as many boxes as possible and as many equal units as possible do.
 
-Never article, by tag: menus, footers, asides, forms, scripts and the like.  Of the content, boxes
+Of each host up to REFERENCES pages of different layout, those of the least hashes, are references.
+All pages of the host are aligned with each reference, and it is counted how many have a box of it,
+and how many of these have each unit of it: among all pages, and among those of the reference's own
+layout (the same boxes).  Units that all such pages have in a box are template; what varies is
+content, of which each page gives its own.  A page that no other resembles loses nothing.
+
+Which pages are references depends on the pages' hashes alone, and counts are sums, so the order and
+the partitions of the pages make no difference; and what is held of a host is its references'
+size, however many pages it has.
+
+Never article, by tag: menus, footers, asides, scripts, forms and the like; a form that holds the page's
+article, or most of its text, loses its controls only.  Of the content, boxes
 whose whole name says advert, notice, comments and the like go if they are small against the page or
-stand beside its article.
+stand beside its article.  A constant heading between two parts of the content stays.
 
-A tree counts if two different pages made it at least, and one in 200 of its host's.  On two or
+A box counts if two different pages have it at least.  On two or
 three pages that says little: such text is dropped only from a page of which more is left than
 dropped.  A page of nothing but template keeps it.
 
-What moves: one tree, of keys and hashes, for each host and layout of a task's pages.  Trees of a
-kind stream by and are merged one by one.  What is template is broadcast while it is small and
-joined by a shuffle otherwise.  Pages stay where they are.
+What moves: hashes, 16 for each host and task; references; and counts, one for each box and unit of
+a task's references.  References are broadcast while they are small and joined by a shuffle
+otherwise.  Pages stay where they are.
 
 Defined results: a null or empty html gives an empty text; a null URL counts as a host of its own
 name; repeated rows are extracted one by one, and copies of one page alone make no template; extra columns don't matter; html is
@@ -35,16 +43,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaloom.sources.durable import Tables
 from qaloom.llm.url_filter import parts
 
-LEAST_SHARE = 200  # a layout of fewer than one in so many of a host's pages has no template
+REFERENCES = 16  # pages of a host that its others are compared with, of different layout each
 SURE_PAGES = 4  # so many pages that agree are enough to drop what is most of a page
 MOST_BROADCAST = 8 << 20  # characters of templates that are broadcast
-HELD_TREES = 20_000  # that a task merges pages into before it sends them on
+HELD = 2_000_000  # counts that a task holds before it sends them on
 ALIGNED_DEPTH = 40  # deeper boxes count as their ancestor's part
 ORDERED_KIDS = 64  # runs of siblings that are aligned in order
 
@@ -56,7 +64,7 @@ BLOCKS = frozenset(
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure b i em strong a span br".split())
 BOXES = frozenset("div section article main table".split())
-DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input iframe svg canvas object menu dialog head title noembed noframes".split())
+DROPPED = frozenset("script style noscript template nav footer aside button select textarea input label legend datalist option iframe svg canvas object menu dialog head title noembed noframes".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert banner popup modal "
     "sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead toolbar pagination pager search comment comments disqus respond replies "
@@ -74,6 +82,8 @@ _P_BOUNDARY = ("td", "th", "table", "button", "object", "caption")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_QUOTED = re.compile(r"""\"[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"""(?:^|[\s/"'])hidden(?=[\s=/]|$)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -85,7 +95,7 @@ class Node:
         said = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if "=" in attrs else {}
         named = f"{said.get('class', '')} {said.get('id', '')}".lower()
         self.key = f"{tag}.{' '.join(sorted(set(_WORD.findall(named))))}"
-        hidden = "display:none" in said.get("style", "").replace(" ", "").lower() or said.get("aria-hidden") == "true" or re.search(r"\shidden(?:\s|=|/|$)", attrs) is not None
+        hidden = "display:none" in said.get("style", "").replace(" ", "").lower() or said.get("aria-hidden") == "true" or ("hidden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub('""', attrs)) is not None)
         self.skip = tag in DROPPED or hidden
         self.listed = bool(said) and tag not in NEVER_LISTED and any(map(_names_a_box, f"{named} {said.get('role', '')}".lower().split()))
         self.size, self.prose, self.boxes, self.gone = 0, False, False, False
@@ -115,6 +125,7 @@ def judge(root: Node) -> Node:
     total = root.size
     declared = id(root) in holds
     for node, _, inside in order:
+        node.skip |= node.tag == "form" and id(node) not in holds and node.size * 2 <= total
         if node.listed and id(node) not in holds:
             small = node.size * SMALL <= total or (not node.prose and node.size * SMALL_BOX <= total)
             node.gone = small or (declared and not inside and (not node.prose or node.size * 2 <= total))
@@ -217,10 +228,11 @@ class Box:
 class Unit:
     """Text blocks that belong together, the box around them, and whether a name tells that they are no article."""
 
-    __slots__ = ("box", "gone", "mark", "texts")
+    __slots__ = ("box", "gone", "heading", "mark", "texts")
 
     def __init__(self, box: Box, key: str, gone: bool):
         self.box, self.mark, self.gone, self.texts = box, key, gone, []
+        self.heading = key[:1] == "h" and key[1:2].isdigit()
 
 
 def _hash(text: str) -> int:
@@ -371,25 +383,6 @@ def match(a: Box, b: Box, known: dict) -> int:
     return score + best[-1][-1]
 
 
-def align(template: Box, other: Box, known: dict | None = None) -> None:
-    """Merge a tree into a template: of matched boxes the units that both have stay, other boxes are added."""
-    if known is None:
-        known = {}
-        match(template, other, known)
-    template.n += other.n
-    template.lo, template.hi = min(template.lo, other.lo), max(template.hi, other.hi)
-    template.same &= other.same
-    twin = {id(y): x for x, y in known.get((id(template), id(other)), [])}
-    at = 0
-    for y in other.kids:
-        if x := twin.get(id(y)):
-            align(x, y, known)
-            at = next(k for k, z in enumerate(template.kids) if z is x) + 1
-        else:
-            template.kids.insert(at, y)
-            at += 1
-
-
 def layout(box: Box) -> int:
     """The hash of a tree's boxes."""
 
@@ -399,22 +392,66 @@ def layout(box: Box) -> int:
     return _hash(paths(box)) or 1
 
 
+class Tally:
+    """A reference's boxes and units, and how many of the pages that it is compared with have each.
+
+    A slot for each box, with the least and greatest hash of such a page, and for each of its units;
+    all of it twice: for all pages, and for those of the reference's layout.
+    """
+
+    def __init__(self, tree: Box, kind: int):
+        self.tree, self.kind, self.slots = tree, kind, {}
+        todo, n = [tree], 0
+        while todo:
+            box = todo.pop()
+            self.slots[id(box)] = n, {mark: n + 2 + 2 * k for k, mark in enumerate(sorted(box.same))}
+            n += 2 + 2 * len(box.same)
+            todo += box.kids
+        self.n = np.zeros(n, np.int64)
+        self.lo, self.hi = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+
+    def add(self, page: Box, kind: int) -> None:
+        known: dict = {}
+        match(self.tree, page, known)
+        todo = [(self.tree, page)] if self.tree.key == page.key else []
+        own = page.lo
+        while todo:
+            x, y = todo.pop()
+            box, marks = self.slots[id(x)]
+            for slot in (box, box + 1)[: 1 + (kind == self.kind)]:
+                self.lo[slot], self.hi[slot] = min(self.lo[slot], own), max(self.hi[slot], own)
+            for at in (box, *[marks[m] for m in x.same & y.same]):
+                self.n[at] += 1
+                self.n[at + 1] += kind == self.kind
+            todo += known.get((id(x), id(y)), [])
+
+    def template(self, own: int) -> Box:
+        """The reference with the units that all pages have which have the box, of all pages (0) or of its layout (1)."""
+
+        def one(box: Box) -> Box:
+            at, marks = self.slots[id(box)]
+            n = int(self.n[at + own])
+            out = Box(box.key, n, int(self.lo[at + own]), int(self.hi[at + own]), [m for m, k in marks.items() if n and self.n[k + own] == n])
+            out.kids = [one(x) for x in box.kids]
+            return out
+
+        return one(self.tree)
+
+    def templates(self) -> list[tuple[int, Box]]:
+        return [(0, self.template(0)), (self.kind, self.template(1))]
+
+
 def induce(pages: Sequence[str]) -> list[tuple[int, Box]]:
-    """(layout, tree) of pages of one host; layout 0 is that of all of them."""
-    trees: dict[int, Box] = {}
-    for page in pages:
-        _merge_page(trees, read(page)[0])
-    return list(trees.items())
-
-
-def _merge_page(trees: dict, root: Box, *host: str | None) -> None:
-    for kind in (0, layout(root)):
-        key = (*host, kind) if host else kind
-        copy = Box(*root.packed())
-        if key in trees:
-            align(trees[key], copy)
-        else:
-            trees[key] = copy
+    """(layout, tree) of pages of one host; layout 0 is for all of them."""
+    trees = [read(p)[0] for p in pages]
+    first: dict[int, Box] = {}
+    for _, tree in sorted({_hash(p): t for p, t in zip(pages, trees, strict=True)}.items())[:REFERENCES]:
+        first.setdefault(layout(tree), Box(*tree.packed()))
+    tallies = [Tally(tree, kind) for kind, tree in first.items()]
+    for tree in trees:
+        for t in tallies:
+            t.add(tree, layout(tree))
+    return [x for t in tallies for x in t.templates()]
 
 
 def extract(page: str | None, wrapper: Sequence[tuple[int, Box]] = ()) -> str:
@@ -437,64 +474,120 @@ def extract(page: str | None, wrapper: Sequence[tuple[int, Box]] = ()) -> str:
                 todo += known.get((id(x), id(y)), [])
     said = [u for u in found if not u.gone]
     for template in (sure | weak, sure):
-        left = [u for u in said if (id(u.box), u.mark) not in template]
+        left = _varying(said, template)
         kept, most = (sum(len(t) for u in us for t in u.texts) for us in (left, said))
         if 2 * kept > most or (kept and template.isdisjoint(weak)):
             return _joined(left)
     return _joined(said)
 
 
+def _varying(said: list[Unit], template: set[tuple[int, int]]) -> list[Unit]:
+    """Units that aren't template, and headings between two of them in one box."""
+    fresh = [(id(u.box), u.mark) not in template for u in said]
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for k, u in enumerate(said):
+        if fresh[k]:
+            first.setdefault(id(u.box), k)
+            last[id(u.box)] = k
+    return [u for k, u in enumerate(said) if fresh[k] or (u.heading and first.get(id(u.box), k) < k < last.get(id(u.box), k))]
+
+
 def _joined(found: list[Unit]) -> str:
     return "\n\n".join(t for u in found for t in u.texts)
 
 
-TREE = "host string, layout long, n long, tree string"
+COUNTS = "host string, layout long, slot int, n long, lo long, hi long"
+
 
+def _tree(text: str) -> Box:
+    return Box(*json.loads(text))
 
-def _tree_rows(trees: dict) -> pa.RecordBatch:
-    rows = [(host, kind, x.n, json.dumps(x.packed(), separators=(",", ":"))) for (host, kind), x in trees.items()]
-    cols = zip(*rows, strict=True) if rows else ((),) * 4
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "layout", "n", "tree"])
 
+def _known(held: dict, host: str | None, rows: pa.ListScalar) -> list[Tally]:
+    if host not in held:
+        held[host] = [Tally(_tree(x["tree"]), x["layout"]) for x in rows.as_py() or ()]
+    return held[host]
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The trees of (host, html) rows."""
-    trees: dict = {}
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, layout, tree) of pages (host, hash, html)."""
     for batch in batches:
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            _merge_page(trees, read(html.as_py())[0], host)
-            if len(trees) >= HELD_TREES:
-                yield _tree_rows(trees)
-                trees.clear()
-    yield _tree_rows(trees)
+        trees = [read(x.as_py())[0] for x in batch.column(2)]
+        cols = [batch.column(0), batch.column(1), pa.array(map(layout, trees), pa.int64()), pa.array([json.dumps(t.packed(), separators=(",", ":")) for t in trees], pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "hash", "layout", "tree"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What pages (host, html, references) have of their host's references, summed up over the task."""
+    held: dict[str | None, list[Tally]] = {}
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        for host, tallies in held.items():
+            for t in tallies:
+                at = np.flatnonzero(t.n)
+                cols = [pa.array([host] * len(at), pa.string()), pa.array(np.full(len(at), t.kind)), pa.array(at.astype(np.int32)), pa.array(t.n[at]), pa.array(t.lo[at]), pa.array(t.hi[at])]
+                yield pa.RecordBatch.from_arrays(cols, names=["host", "layout", "slot", "n", "lo", "hi"])
+        held.clear()
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One tree of each kind, from rows of which those of a kind follow one another."""
-    trees: dict = {}
+    size = 0
     for batch in batches:
-        for host, kind, _, tree in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            box = Box(*json.loads(tree))
-            if (host, kind) in trees:
-                align(trees[host, kind], box)
-            else:
-                if len(trees) >= 64:
-                    yield _tree_rows(trees)
-                    trees.clear()
-                trees[host, kind] = box
-    yield _tree_rows(trees)
+        for host, html, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if host not in held:
+                size += sum(len(t.n) for t in _known(held, host, found))
+            page = read(html.as_py())[0]
+            kind = layout(page)
+            for t in _known(held, host, found):
+                t.add(page, kind)
+            if size >= HELD:
+                yield from rows()
+                size = 0
+    yield from rows()
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, layout, tree) of templates, from references (host, layout, tree) with their counts."""
+    for batch in batches:
+        out = []
+        for host, kind, tree, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            t = Tally(_tree(tree), kind)
+            for x in counts.as_py():
+                t.n[x["slot"]], t.lo[x["slot"]], t.hi[x["slot"]] = x["n"], x["lo"], x["hi"]
+            out += [(host, k, json.dumps(box.packed(), separators=(",", ":"))) for k, box in t.templates()]
+        cols = list(zip(*out, strict=True)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["host", "layout", "tree"])
+
+
+def _small(df: DataFrame, size: str) -> DataFrame:
+    """Broadcast, if its characters together are few."""
+    held = df.agg(F.sum(F.expr(size))).first()[0] or 0
+    return F.broadcast(df) if held <= MOST_BROADCAST else df
+
+
+def _trees_of(rows: DataFrame, name: str) -> DataFrame:
+    """(_host, name): all trees of a host, 2 * REFERENCES at most."""
+    return rows.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("layout", "tree")).alias(name))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(_host, wrapper): the trees that tell something, as JSON by layout, of each host of pages (host, html)."""
+    """(_host, wrapper): templates by layout of each host of pages (host, html)."""
     tables = Tables(pages.sparkSession)
-    each = pages.where("html <> ''").select("host", "html").mapInArrow(_trees, TREE)
-    merged = tables.save(each.repartition("host", "layout").sortWithinPartitions("host", "layout").mapInArrow(_merged, TREE))
-    total = merged.where("layout = 0").select(F.col("host").alias("_h"), F.col("n").alias("of"))
-    common = merged.where("n > 1").join(total, F.col("host") == F.col("_h")).where(F.col("n") * LEAST_SHARE >= F.col("of"))
-    made = tables.save(common.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("layout", "tree")).alias("wrapper")))  # 201 at most
-    tables.drop(merged)
+    each = pages.where("html <> ''").select("host", "html", F.xxhash64("html").alias("hash"))
+    least = Window.partitionBy("host").orderBy("hash")  # of many pages a task sends the least hashes only
+    chosen = each.select("host", "hash").withColumn("_nth", F.dense_rank().over(least)).where(F.col("_nth") <= REFERENCES).select("host", "hash").distinct()
+    chosen = tables.save(chosen)
+    wanted = _small(chosen.select(F.col("host").alias("_h"), F.col("hash").alias("_x")), "length(_h) + 8")
+    found = each.join(wanted, F.col("host").eqNullSafe(F.col("_h")) & (F.col("hash") == F.col("_x"))).select("host", "hash", "html").dropDuplicates(["host", "hash"])
+    one = Window.partitionBy("host", "layout").orderBy("hash")  # REFERENCES rows of a host at most
+    parsed = found.mapInArrow(_parsed, "host string, hash long, layout long, tree string")
+    references = tables.save(parsed.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("host", "layout", "tree"))
+    given = _small(_trees_of(references, "references"), "aggregate(references, 0L, (a, x) -> a + length(x.tree))")
+    counted = each.join(given, F.col("host") == F.col("_host")).select("host", "html", "references").mapInArrow(_counted, COUNTS)
+    sums = counted.groupBy("host", "layout", "slot").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_reference = sums.groupBy(F.col("host").alias("_h"), F.col("layout").alias("_l")).agg(F.collect_list(F.struct("slot", "n", "lo", "hi")).alias("counts"))  # as many as the reference has boxes and units, twice
+    both = references.join(by_reference, (F.col("host") == F.col("_h")) & (F.col("layout") == F.col("_l"))).select("host", "layout", "tree", "counts")
+    made = tables.save(_trees_of(both.mapInArrow(_made, "host string, layout long, tree string"), "wrapper"))
+    tables.drop(chosen, references)
     return made
 
 
@@ -503,10 +596,8 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     url = F.col(f"`{url_col}`").cast("string")
     pages = df.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     pages = pages.withColumn("host", parts(F.col("url"))[0])
-    found = templates(pages)
-    size = found.agg(F.sum(F.aggregate("wrapper", F.lit(0).cast("long"), lambda a, x: a + F.length(x["tree"])))).first()[0] or 0
-    small = F.broadcast if size <= MOST_BROADCAST else (lambda x: x)
-    joined = pages.join(small(found), F.col("host") == F.col("_host"), "left")
+    found = _small(templates(pages), "aggregate(wrapper, 0L, (a, x) -> a + length(x.tree))")
+    joined = pages.join(found, F.col("host") == F.col("_host"), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[tuple[int, Box]]] = {}
@@ -516,7 +607,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 if host not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[host] = [(x["layout"], Box(*json.loads(x["tree"]))) for x in wrapper.as_py() or ()]
+                    known[host] = [(x["layout"], _tree(x["tree"])) for x in wrapper.as_py() or ()]
                 texts.append(extract(html.as_py(), known[host]))
             counts = pa.array(np.array([len(t) for t in texts], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), counts], names=["id", "url", "text", "n_chars"])

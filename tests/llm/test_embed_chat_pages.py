@@ -299,6 +299,67 @@ def test_wide_and_deep_pages_lose_nothing():
             assert text.split("\n\n") == [f"{k} first", *[f"card {i} of {k}" for i in range(count)], f"low {k}"]
 
 
+def test_attributes_that_only_mention_hidden():
+    text = f"<h1>Title</h1><p>{'long ' * 60}</p>"
+    want = f"Title\n\n{('long ' * 60).strip()}"
+    for attrs in ('aria-label="A hidden gem"', "title='not hidden = here'", 'class="js hidden until-ready"', "class=hidden", "data-hidden", 'data-x="a" data-y=" hidden "'):
+        assert wrapper.extract(page(f"<article {attrs}>{text}</article>")) == want, attrs
+    for attrs in ("hidden", 'class="x" hidden', "HIDDEN=''", 'hidden="until-found" id=y', 'id="z"hidden'):
+        assert wrapper.extract(page(f"<article>{text}<div {attrs}><p>secret {'text ' * 40}</p></div></article>")) == want, attrs
+
+
+def test_a_form_around_the_page_is_no_form():
+    body = f"<h1>Title</h1><p>{'long ' * 60}</p>"
+    controls = "<label>Your name<input name=n></label><select><option>a</select><textarea>t</textarea><button>Go</button>"
+    want = f"Title\n\n{('long ' * 60).strip()}"
+    assert wrapper.extract(page(f"<form id=aspnetForm>{body}{controls}</form>")) == want
+    assert wrapper.extract(page(f"<form><article>{body}</article>{controls}<div>{'x ' * 400}</div></form>")).startswith(want)
+    assert wrapper.extract(page(f"<article>{body}<form><p>Subscribe to all of it</p>{controls}</form></article>")) == want
+
+
+def test_constant_headings_inside_content_stay(spark):
+    rnd = random.Random(8)
+    said = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(6):
+        title, items, steps = said(4), [said(3) for _ in range(4)], said(20)
+        listed = "".join(f"<li>{x}" for x in items)
+        html = page(f"<article><h3>Our kitchen</h3><h1>{title}</h1><h2>Ingredients</h2><ul>{listed}</ul><h2>Method</h2><p>{steps}</p><h2>Share it</h2></article><div class='more'><h2>More</h2><p>from us</p></div>")
+        rows.append((k, "http://cook.example/", html))
+        want[k] = "\n\n".join([title, "Ingredients", *items, "Method", steps])
+    got = wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def varied(rnd, k):
+    """Pages of several layouts, with boxes that come and go."""
+    said = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    parts = [f"<div class='a{chr(97 + j)}'><p>constant {j} of all</p></div>" for j in range(6) if rnd.random() < 0.6]
+    parts.insert(rnd.randrange(len(parts) + 1), f"<div class='story'><h1>{said(5)}</h1><p>{said(30)}</p></div>")
+    return page("".join(parts) + f"<section class='k{chr(97 + k % 3)}'>{said(3)}</section>")
+
+
+def test_order_and_partitions_make_no_difference(spark):
+    rnd = random.Random(2)
+    pages = [varied(rnd, k) for k in range(40)]
+    packed = lambda made: sorted((kind, str(tree.packed())) for kind, tree in made)
+    first = packed(wrapper.induce(pages))
+    for _ in range(50):
+        rnd.shuffle(pages)
+        assert packed(wrapper.induce(pages)) == first
+    df = spark.createDataFrame([(k, f"http://h{k % 3}.example/", varied(rnd, k)) for k in range(120)], "page_id long, url string, html string")
+    got = [sorted((r["page_id"], r["text"]) for r in wrapper.extract_pages(df.repartition(n)).collect()) for n in (1, 7, 64)]
+    assert got[0] == got[1] == got[2] and sum("constant" in t for _, t in got[0]) < 12
+
+
+def test_state_is_that_of_the_references():
+    """Class names that differ from page to page: what is held doesn't grow with the pages."""
+    made = lambda n: wrapper.induce([page(f"<div class='c{''.join(chr(97 + int(c)) for c in str(k))}'><p>own {k}</p></div><div class='box'><p>on every page</p></div>") for k in range(n)])
+    nodes = lambda trees: sum(str(t.packed()).count("[") for _, t in trees)
+    sizes = [nodes(made(n)) for n in (50, 400, 1600)]
+    assert len(set(sizes)) == 1
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://a.b/", ""), (2, "http://a.b/", ""), (None, "x", "<p>hi"), (3, "http://a.b/", "<p>" + "long " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS id", "'h' AS host", "2 AS path", "3 AS text")
