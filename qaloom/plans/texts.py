@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.functions import text as t
-from qaloom.operators import cleaning, cost, dedup, derive, retrieval, segment, split  # noqa: F401
+from qaloom.operators import cleaning, cost, dedup, derive, ranking, retrieval, segment, split  # noqa: F401
 from qaloom.plans.registry import Registry
 from qaloom.sources.durable import Tables
 from qaloom.sources.tables import table
@@ -251,20 +251,22 @@ def rag_prompt(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.prompt(hits, "<documents>\n{context}\n</documents>\nQuestion: {question}")
 
 
-@R.query()
-def bm25_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items against documents: BM25 ranks fused with ranks by shared distinct terms."""
-    from pyspark.sql import Window
+_TERMS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '')"
+
 
-    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), " +"), lambda x: x != "")
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("terms"))
-    docs = table(spark, d, "documents").select("doc_id", words("text").alias("terms"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = lambda s: s.withColumn("rank", F.row_number().over(best))
-    first = ranked(retrieval.bm25(queries, docs))
-    shared = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(docs.select("doc_id", F.explode(F.array_distinct("terms")).alias("term")), "term")
-    second = ranked(shared.groupBy("query_id", "doc_id").agg(F.count("*").alias("score")))
-    return ranked(retrieval.fuse(first, second)).where("rank <= 10")
+@R.query(
+    rf"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark), docs AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+  stats AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM docs), words AS (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM docs), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM words GROUP BY ALL),
+  idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf CROSS JOIN stats GROUP BY term, n),
+  hits AS (SELECT query_id, doc_id, CAST(sum(CAST(round(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) * 1000000000) AS BIGINT)) AS BIGINT) AS s0, count(*) AS s1 FROM q JOIN tf USING (term) JOIN idf USING (term) CROSS JOIN stats GROUP BY ALL),
+  ranks AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s0 DESC, doc_id) AS r0, row_number() OVER (PARTITION BY query_id ORDER BY s1 DESC, doc_id) AS r1 FROM hits),
+  fused AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + r0) + 1.0::DOUBLE / (60 + r1) AS score FROM ranks)
+  SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10"""
+)
+def bm25_rrf(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items against documents: BM25 ranks fused with ranks by shared distinct terms, of whole rankings."""
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return ranking.fused_top(queries, table(spark, d, "documents").select("doc_id", "text"))
 
 
 @R.query(
