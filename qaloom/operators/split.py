@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qaloom.operators.dedup import same_fact_pairs
+from qaloom.operators.dedup import pairs_between, similar_classes, token_classes
 from qaloom.sources.durable import Tables
 
 MOST_BROADCAST = 100_000  # picked keys that are broadcast
@@ -61,10 +61,12 @@ def leaks(train: DataFrame, test: DataFrame, key: str, columns: list[str]) -> Da
     """(reason, a, b): ids in both parts, and facts of one part that the other repeats."""
     both = train.select(key).join(test.select(key), key, "left_semi").select(F.lit("same id").alias("reason"), F.col(key).alias("a"), F.col(key).alias("b"))
     rows = train.select(key, *columns).withColumn("part", F.lit(0)).unionByName(test.select(key, *columns).withColumn("part", F.lit(1)))
-    part = rows.select(F.col(key).alias("_id"), "part").distinct()
-    pairs = same_fact_pairs(rows.drop("part"), key, columns)
-    pairs = pairs.join(part.select(F.col("_id").alias("a"), F.col("part").alias("pa")), "a").join(part.select(F.col("_id").alias("b"), F.col("part").alias("pb")), "b")
-    return both.unionByName(pairs.where("pa <> pb").select(F.lit("same fact").alias("reason"), "a", "b"))
+    classes = Tables(train.sparkSession).save(token_classes(rows.drop("part").distinct(), key, columns))
+    member = classes.select("id", "class").join(rows.select(F.col(key).alias("id"), "part").distinct(), "id")
+    of = lambda part: member.where(F.col("part") == part).select("id", "class")
+    linked = similar_classes(classes)
+    pairs = pairs_between(of(0), of(1), linked).union(pairs_between(of(1), of(0), linked)).distinct()
+    return both.unionByName(pairs.select(F.lit("same fact").alias("reason"), "a", "b"))
 
 
 def working_set(pool: DataFrame, least: int, preview: bool) -> DataFrame:

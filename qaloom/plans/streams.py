@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from qaloom.operators import temporal
+from qaloom.operators import sketches, temporal
 from qaloom.plans import views
 from qaloom.plans.registry import Registry
 from qaloom.sources.durable import shared_dir
-from qaloom.sources.snapshots import SnapshotTable
+from qaloom.sources.snapshots import Gate, SnapshotTable
 from qaloom.sources.tables import table
 from qaloom.streaming import resume, windows
 
@@ -146,3 +146,23 @@ def overlapping_outages(spark: SparkSession, d: str) -> DataFrame:
     met = temporal.overlap_join(of("view"), of("error"), ["producer"], ("a", "b"), ("a", "b"), 60_000_000)
     shared = F.least("l.b", "r.b") - F.greatest("l.a", "r.a")
     return met.groupBy(F.col("l.event_id").alias("run_id")).agg(F.count("*").alias("n"), F.min("r.event_id").alias("first_id"), F.sum(shared).alias("shared_us"))
+
+
+@R.query(
+    f"""WITH {ANSWERS}, days AS (SELECT producer, count(DISTINCT ts::DATE) AS days, count(*) AS n FROM answers GROUP BY 1), m AS (SELECT producer, model, count(*) AS c FROM answers GROUP BY ALL)
+  SELECT producer, days, n, true AS distinct_within, true AS median_within, arg_max(model, c) AS most_model FROM days JOIN m USING (producer) GROUP BY ALL"""
+)
+def sketch_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches by producer and day, stored, then merged over days; held against exact numbers of the same answers."""
+    rows = _answers(spark, d)
+    by_day = sketches.sketched(rows.withColumn("day", F.to_date(F.date_trunc("day", "ts"))), ["producer", "day"], "question_id", "latency_s", "model")
+    held = SnapshotTable(spark, f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}")
+    held.create(by_day.schema)
+    held.append(by_day, gate=Gate({"no rows": F.col("n") <= 0}))
+    made = sketches.merged(held.read(), ["producer"]).join(held.read().groupBy("producer").agg(F.count_distinct("day").alias("days")), "producer")
+    told = made.select("producer", "days", "n", sketches.distinct_of(F.col("distinct_sketch")).alias("_d"), sketches.quantile_of(F.col("quantile_sketch"), 0.5).alias("_q"), sketches.frequent(F.col("item_sketch"), 1)[0]["item"].alias("most_model"))
+    exact = rows.select("producer", "question_id", "latency_s").join(F.broadcast(told.select("producer", "_q")), "producer").groupBy("producer")
+    exact = exact.agg(F.count_distinct("question_id").alias("_exact"), F.avg((F.col("latency_s") <= F.col("_q")).cast("double")).alias("_rank"), F.avg((F.col("latency_s") < F.col("_q")).cast("double")).alias("_below"))
+    both = told.join(exact, "producer")
+    near = (F.col("_rank") >= 0.5 - 2 * sketches.RANK_ERROR) & (F.col("_below") <= 0.5 + 2 * sketches.RANK_ERROR)
+    return both.select("producer", "days", "n", (F.abs(F.col("_d") - F.col("_exact")) <= sketches.DISTINCT_ERROR * F.col("_exact") + 1).alias("distinct_within"), near.alias("median_within"), "most_model")

@@ -60,3 +60,34 @@ def test_working_set(spark):
     assert split.working_set(pool.where("not verified"), 9, True).count() == 1
     with pytest.raises(ValueError, match="only 1"):
         split.working_set(pool, 2, False)
+
+
+def test_classes_of_copies(spark):
+    """Ten thousand equal rows are one class, and all but the first go."""
+    copies = spark.range(100, 10_100).selectExpr("id", "'what does a visit cost' AS q", "'five coins each' AS a")
+    others = spark.createDataFrame([(1, "what does a visit cost today", "five coins each"), (2, "when is it open", "at nine"), (3, "", "x"), (4, "what does a visit cost today", "five coins each")], "id long, q string, a string")
+    df = copies.unionByName(others)
+    classes = dedup.token_classes(df, "id", ["q", "a"])
+    assert classes.select("class").distinct().count() == 3 and classes.where("id = 3").count() == 0
+    got = dedup.greedy_dedup(df, "id", ["q", "a"])
+    assert sorted(r["id"] for r in got.where("kept").collect()) == [1, 2, 3] and got.count() == 10_004
+
+
+def test_pairs_and_fates_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.sample("one two three four five six seven".split(), rng.randrange(0, 7))), " ".join(rng.sample("a b c d".split(), rng.randrange(1, 5)))) for i in range(120)]
+    like = lambda x, y: 5 * len(x & y) >= 4 * len(x | y) > 0
+    sets = [(i, set(q.split()), set(a.split())) for i, q, a in rows]
+    pairs = [(i, j) for i, q, a in sets for j, r, b in sets if i < j and like(q, r) and like(a, b)]
+    df = spark.createDataFrame(rows, "id long, q string, a string")
+    assert sorted(map(tuple, dedup.same_fact_pairs(df, "id", ["q", "a"]).collect())) == pairs and len(pairs) > 10
+    kept = []
+    for i, q, a in sets:
+        if not any(like(q, r) and like(a, b) for _, r, b in kept):
+            kept.append((i, q, a))
+    assert sorted(r["id"] for r in dedup.greedy_dedup(df, "id", ["q", "a"]).where("kept").collect()) == [i for i, *_ in kept]
+    leaks = split.leaks(df.where("id % 2 = 0"), df.where("id % 2 = 1 OR id = 4"), "id", ["q", "a"]).collect()
+    side = lambda i: {0, 1} if i == 4 else {i % 2}
+    assert sorted(tuple(r) for r in leaks) == sorted([("same id", 4, 4)] + [("same fact", i, j) for i, j in pairs if side(i) != side(j) or len(side(i)) == 2])
