@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaloom.functions import table_functions
 from qaloom.functions import text as t
 from qaloom.operators import cleaning, cost, dedup, derive, ranking, retrieval, segment, split  # noqa: F401
 from qaloom.plans.registry import Registry
@@ -378,3 +381,13 @@ def section_texts(spark: SparkSession, d: str) -> DataFrame:
     """Sections of documents read as markdown, each as one text for retrieval."""
     made = segment.sections_of(segment.blocks_of(segment.split_front_matter(_as_markdown(spark, d), "markdown"), "doc_id"), "doc_id")
     return made.select("doc_id", "section", segment.section_text(F.col("heading"), F.col("content")).alias("body"))
+
+
+@R.query(f"WITH {LINES} SELECT doc_id, kind, count(*) AS n, CAST(sum(n) AS BIGINT) AS lines FROM blocks GROUP BY ALL")
+def sql_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of ``block_kinds`` from a SQL text, through the table function."""
+    table_functions.register(spark)
+    view = f"documents_{uuid.uuid4().hex}"
+    segment.split_front_matter(_as_markdown(spark, d), "markdown").createOrReplaceTempView(view)
+    size = "CASE kind WHEN 'bullets' THEN size(items) WHEN 'table' THEN size(rows) + 1 ELSE 1 END"
+    return spark.sql(f"SELECT doc_id, kind, count(*) AS n, sum({size}) AS lines FROM {view}, LATERAL markdown_blocks(body) GROUP BY doc_id, kind")
