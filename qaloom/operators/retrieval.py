@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +30,65 @@ def normalised(v: Column) -> Column:
     return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length)).otherwise(v.cast("array<double>"))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
+TILE = 8_192  # vectors of one side that meet as a matrix
+
+
+def _tiles(rows: DataFrame, many: int) -> DataFrame:
+    """``rows`` (id, v) and a tile number, by a hash of the id."""
+    return rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
+
+
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows hold a vector of the commonest length, and these as a matrix of doubles."""
+    vectors = rows.column("v").combine_chunks()
+    length = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
+    holes = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+    width = int(length.max(initial=0))
+    sound = (length == width) & (width > 0)
+    flat = np.asarray(vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), float)
+    starts = np.cumsum(holes) - holes
+    at = np.flatnonzero(sound)
+    matrix = flat[starts[at][:, None] + np.arange(width)] if len(at) else np.zeros((0, width))
+    sound[at] = ~np.isnan(matrix).any(1)
+    return np.flatnonzero(sound), matrix[sound[at]]
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 3, tile: int = TILE) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k best chunks of each query (query_id, query), (chunk_id, vector).
 
-    An exact scan of all chunks: the smaller side is broadcast by Spark's own threshold, and only
-    k rows of each query leave a partition.  Equal scores go by chunk_id.
+    An exact scan of all chunks.  Both sides are cut into tiles of about ``tile`` vectors; a tile of queries
+    and one of chunks meet as matrices in one task, whose product says which chunks can be among the k best:
+    those are scored again in order, in double precision, and only k of each query and tile leave the task.
+    Equal scores go by chunk_id.  Vectors that are null or hold a null match nothing, like those of another length than
+    the longest of their tile.
     """
-    scored = queries.crossJoin(corpus).select("query_id", "chunk_id", dot(F.col("query"), F.col("vector")).alias("score"))
+    q = queries.select(F.col("query_id").alias("id"), F.col("query").alias("v"))
+    c = corpus.select(F.col("chunk_id").alias("id"), F.col("vector").alias("v"))
+    many_q, many_c = (max(1, -(-df.count() // tile)) for df in (q, c))
+    kinds = [dict(df.dtypes)["id"] for df in (q, c)]
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _tiles(q, many_q).withColumnRenamed("tile", "a").withColumn("b", numbers(many_c))
+    right = _tiles(c, many_c).withColumnRenamed("tile", "b").withColumn("a", numbers(many_q))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        at, qs = _matrix(x)
+        to, cs = _matrix(y)
+        ids = pd.Series(y.column("id").take(pa.array(to)).to_pandas())
+        out: tuple[list, list, list] = ([], [], [])
+        if len(at) and len(to) and qs.shape[1] == cs.shape[1]:
+            product = qs @ cs.T
+            slack = 4 * qs.shape[1] * np.finfo(float).eps * np.linalg.norm(qs, axis=1) * np.linalg.norm(cs, axis=1).max()
+            least = np.partition(product, -min(k, len(to)), axis=1)[:, -min(k, len(to))] - 2 * slack
+            for i, row in enumerate(product >= least[:, None]):
+                near = np.flatnonzero(row)
+                exact = np.cumsum(qs[i] * cs[near], axis=1)[:, -1]  # summed in order
+                best = pd.DataFrame({"s": -exact, "id": ids.iloc[near].to_numpy(), "n": near}).sort_values(["s", "id"]).head(k)
+                out[0].extend([at[i]] * len(best))
+                out[1].extend(to[best["n"].to_numpy()])
+                out[2].extend((-best["s"]).tolist())
+        return pa.table({"query_id": x.column("id").take(pa.array(out[0], pa.int64())), "chunk_id": y.column("id").take(pa.array(out[1], pa.int64())), "score": pa.array(out[2], pa.float64())})
+
+    scored = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import functools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,29 @@ def test_tiers_and_ranks(spark):
     assert fused[2] == pytest.approx(2 / 62) and fused[1] == pytest.approx(1 / 61)
 
 
+@pytest.mark.parametrize("tile", [3, 7, 10_000])
+def test_top_k_of_tiles_equals_a_plain_scan(spark, tile):
+    import random
+
+    rng = random.Random(tile)
+    vector = lambda: [rng.choice([rng.gauss(0, 1), 0.5, -0.5]) for _ in range(4)]
+    corpus = [(f"c{i:03}", vector()) for i in range(90)]
+    corpus += [(f"d{i}", corpus[5][1]) for i in range(9)]  # ties
+    queries = [(i, vector()) for i in range(20)] + [(77, [0.0] * 4)]
+    odd = [("null", None), ("hole", [1.0, None, 1.0, 1.0]), ("short", [9.0, 9.0])]
+    got = retrieval.top_k(spark.createDataFrame([*queries, (88, None)], "query_id int, query array<double>"), spark.createDataFrame(corpus + odd, "chunk_id string, vector array<double>"), 4, tile).collect()
+    want = []
+    for q, v in queries:
+        scores = sorted((-functools.reduce(lambda t, ab: t + ab[0] * ab[1], zip(v, w, strict=True), 0.0), c) for c, w in corpus)
+        want += [(q, c, r, -s) for r, (s, c) in enumerate(scores[:4], 1)]
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"], r["score"]) for r in got) == sorted(want)
+
+
+def test_top_k_without_rows(spark):
+    q, c = spark.createDataFrame([(1, [1.0])], "query_id int, query array<double>"), spark.createDataFrame([(1, [1.0])], "chunk_id int, vector array<double>")
+    assert retrieval.top_k(q, c.where("false")).count() == 0 and retrieval.top_k(q.where("false"), c).count() == 0
+
+
 def test_top_k_breaks_ties_by_id(spark):
     corpus = spark.createDataFrame([(i, [1.0, 0.0]) for i in (3, 1, 2)] + [(9, [0.0, 1.0])], "chunk_id long, vector array<double>")
     got = retrieval.top_k(spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, query array<double>"), corpus, 2).orderBy("rank").collect()
