@@ -39,6 +39,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
+_ESCAPED = r"length(regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g'))"
+
+ATTACHMENTS = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (
+  SELECT conv_id, turn, length('<|im_start|>') + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|break|>')) + 1 + {_ESCAPED.format("text[1:length(text) // 2]")} AS first, {_ESCAPED.format("text[length(text) // 2 + 1:]")} AS rest FROM t),
+a AS (
+  SELECT conv_id, turn, 'image' AS kind, 'i' AS r, first AS place, (turn % 4 + 1) * 2 AS tokens FROM p
+  UNION ALL SELECT conv_id, turn, 'audio', 'a', first + 9 + rest, 25 * (turn % 5 + 1) FROM p WHERE turn % 3 = 0
+  UNION ALL SELECT conv_id, turn, 'document', 'd', first + 9 + rest, 256 * (turn % 2 + 1) FROM p WHERE turn % 3 = 1
+  UNION ALL SELECT conv_id, turn, 'image', 'n', first + 9 + rest + 15, 1 FROM p WHERE turn % 3 = 1)
+SELECT conv_id, count(*) AS n_attachments, count(*) FILTER (kind = 'image') AS n_images, CAST(sum(tokens) AS BIGINT) AS expanded_tokens,
+  CAST(sum(CAST('0x' || md5(turn || ':' || kind || ':' || r || '-' || conv_id || '-' || turn || ':' || place || ':' || tokens)[1:8] AS BIGINT)) AS BIGINT) AS attachments_sum FROM a GROUP BY conv_id
+"""
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _COVER = "max(CASE WHEN dup THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 

@@ -76,6 +76,31 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns.unionByName(probe).withColumn("parts", F.to_json(F.array(part))), "parts"))
 
 
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns hold typed parts: what the visitor records of images, audio and documents, by conversation.
+
+    A turn's text is parted by an image; every third turn has audio, every third a document that holds a text and an image.
+    ``attachments_sum`` adds up a hash of each attachment's turn, kind, reference, place and tokens.
+    """
+    ship(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    half, nth = F.floor(F.length("text") / 2).cast("int"), F.col("turn")
+    ref = lambda kind: F.concat_ws("-", F.lit(kind), "conv_id", "turn")
+    said = lambda text: F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    image = F.to_json(F.struct(F.lit("image").alias("type"), ref("i").alias("ref"), (28 * (nth % 4 + 1)).alias("width"), F.lit(56).alias("height")))
+    audio = F.to_json(F.struct(F.lit("audio").alias("type"), ref("a").alias("ref"), (nth % 5 + 1).alias("seconds")))
+    inner = F.concat(F.lit('"see",'), F.to_json(F.struct(F.lit("image").alias("type"), ref("n").alias("ref"))))
+    document = F.concat(F.lit('{"type":"document","ref":"'), ref("d"), F.lit('","pages":'), (nth % 2 + 1).cast("string"), F.lit(',"parts":['), inner, F.lit("]}"))
+    more = F.when(nth % 3 == 0, F.concat(F.lit(","), audio)).when(nth % 3 == 1, F.concat(F.lit(","), document)).otherwise("")
+    rest = F.col("text").substr(half + 1, F.length("text"))
+    parts = F.concat(F.lit("["), said(F.col("text").substr(F.lit(1), half)), F.lit(","), image, F.lit(","), said(rest), more, F.lit("]"))
+    made = format_chat(turns.withColumn("parts", parts), "parts")
+    each = made.select("conv_id", "turn", F.explode("attachments").alias("a"))
+    line = F.concat_ws(":", "turn", "a.kind", "a.ref", "a.place", "a.tokens")
+    number = F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+    return each.groupBy("conv_id").agg(F.count("*").alias("n_attachments"), F.count_if(F.col("a.kind") == "image").alias("n_images"), F.sum("a.tokens").alias("expanded_tokens"), F.sum(number).alias("attachments_sum"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return extract_pages(table(spark, sf_dir, "pages"))
@@ -110,8 +135,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"mixed_words": mixed_words, "base_scores": base_scores}
+    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"mixed_words": mixed_words, "base_scores": base_scores, "chat_attachments": chat_attachments}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8, "op11_importance_resampling": oracles.OP11, "base_scores": oracles.OP12, "op13_fill_in_middle": oracles.OP13}
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op3_embedding_near_dedup": oracles.OP3, "op5_quality_rules": oracles.OP5, "mixed_words": oracles.OP7, "op8_chat_formatting": oracles.OP8, "op11_importance_resampling": oracles.OP11, "chat_attachments": oracles.ATTACHMENTS, "base_scores": oracles.OP12, "op13_fill_in_middle": oracles.OP13}
