@@ -337,7 +337,28 @@ def prose_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(made)
 
 
-@R.query()
+@R.query(
+    rf"""WITH {LINES}, numbered AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER w AS s, last_value(CASE WHEN level = 2 THEN trim(x) END IGNORE NULLS) OVER w AS above FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+  heads AS (SELECT doc_id, s, trim(x) AS heading, CASE WHEN level = 3 THEN coalesce(above, '') ELSE '' END AS parent, level FROM numbered WHERE kind = 'heading'),
+  runs AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS b, kind, trim(x) AS x FROM marked),
+  cells AS (SELECT doc_id, b, i, list_transform(string_split(regexp_replace('| ' || x || ' |', '^\|+|\|+$', '', 'g'), '|'), lambda v: trim(v)) AS c FROM runs WHERE kind = 'table'),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, b ORDER BY i) AS rn FROM cells WHERE NOT list_bool_and(list_transform(c, lambda v: regexp_matches(v, '^[-: ]+$')))),
+  grid AS (SELECT k.doc_id, k.b, k.rn, h.c AS h, list_concat(k.c, list_transform(range(greatest(len(h.c) - len(k.c), 0)), lambda z: '')) AS r FROM kept k JOIN kept h ON h.doc_id = k.doc_id AND h.b = k.b AND h.rn = 1 WHERE k.rn > 1),
+  said AS (
+    SELECT doc_id, b, string_agg(x, '; ' ORDER BY i) AS x, min(i) AS i, false AS tabular FROM runs WHERE kind IN ('para', 'bullets') GROUP BY ALL
+    UNION ALL SELECT doc_id, b, string_agg(array_to_string(c, ' | '), ' ;; ' ORDER BY rn), min(i), true FROM kept GROUP BY ALL),
+  bodies AS (SELECT n.doc_id, n.s, trim(string_agg(t.x, ' ' ORDER BY t.i)) AS whole, trim(string_agg(t.x, ' ' ORDER BY t.i) FILTER (NOT tabular)) AS prose FROM numbered n JOIN said t ON t.doc_id = n.doc_id AND t.b = n.b WHERE n.s > 0 GROUP BY ALL),
+  found AS (SELECT *, starts_with('D-' || doc_id, 'D-1') AS faq FROM heads JOIN bodies USING (doc_id, s)),
+  columns_ AS (SELECT doc_id, b, rn, h, r, unnest(range(2, greatest(len(h), 2) + 1)) AS j FROM grid),
+  pairs AS (
+    SELECT doc_id, 0 AS pass, s, 0 AS b, 0 AS rn, 0 AS j, parent AS section, heading AS question, whole AS answer, whole AS evidence FROM found WHERE faq AND level = 3 AND ends_with(rtrim(heading), '?') AND whole <> ''
+    UNION ALL SELECT doc_id, 0, s, 0, 0, 0, CASE WHEN parent <> '' THEN parent ELSE heading END, 'What is said on ' || heading || '?', prose, prose FROM found WHERE NOT faq AND length(prose) >= 40
+    UNION ALL SELECT c.doc_id, 1, n.s, c.b, c.rn, c.j, heading, trim('For ' || r[1] || ' at Example House, what is the ' || h[j] || '?'), trim(r[j] || '.'), trim(array_to_string(r, ' | '))
+      FROM columns_ c JOIN numbered n ON n.doc_id = c.doc_id AND n.b = c.b JOIN heads d ON d.doc_id = n.doc_id AND d.s = n.s WHERE coalesce(h[j], '') <> '' AND coalesce(r[j], '') <> '')
+  SELECT 'd-' || doc_id || '-q' || printf('%03d', row_number() OVER (PARTITION BY doc_id ORDER BY pass, s, b, rn, j)) AS id, 'D-' || doc_id AS doc_id, '' AS source_doc, section, question, answer, evidence,
+    CASE WHEN doc_id % 10 = 7 THEN 'sevens' ELSE 'general' END AS topic, CASE WHEN regexp_matches(answer, '{NUMERIC}', 'i') THEN 'numeric' WHEN regexp_matches(answer, '{PROCEDURAL}', 'i') THEN 'procedural' ELSE 'factual' END AS answer_type,
+    false AS needs_attention, false AS verified, '' AS verify_note FROM pairs"""
+)
 def derived_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Question-answer pairs of documents read as markdown."""
     return _pairs(Tables(spark).save(_parsed(spark, d)))  # parsed once, read five times
