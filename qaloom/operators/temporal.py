@@ -117,6 +117,7 @@ def overlap_join(
     bin_width: int,
     levels: int = 12,
     hot: int = HOT,
+    moments: bool = False,
 ) -> DataFrame:
     """Pairs (l, r), two structs, of rows of the same keys whose half-open spans [from, to) overlap.
 
@@ -124,17 +125,18 @@ def overlap_join(
     no narrower than it, so it lies in two bins of that level at most, and of every wider one.  A pair
     meets at the wider one's level: a row goes once or twice to each level from its own on, levels that the
     other table doesn't have left out; and a pair that shares two bins counts in the first.  An empty
-    or backward span, and null keys or ends, overlap nothing.
+    or backward span, and null keys or ends, overlap nothing.  With ``moments`` ends are compared as they are, l.from < r.to
+    and r.from < l.to: an empty or backward span then lies in every span that reaches beyond both its ends.
     """
     keys = [f"_k{i}" for i in range(len(on))]
 
     def spans(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
         lo, hi = (_time(df, c) for c in span)
         rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), lo.alias("_lo"), hi.alias("_hi"))
-        rows = rows.where(F.col("_lo") < F.col("_hi")).na.drop(subset=keys)
+        rows = rows.na.drop(subset=[*keys, "_lo", "_hi"]) if moments else rows.where(F.col("_lo") < F.col("_hi")).na.drop(subset=keys)
         own = F.lit(levels - 1)
         for n in reversed(range(levels - 1)):
-            own = F.when(F.col("_hi") - F.col("_lo") <= bin_width * GROWTH**n, n).otherwise(own)
+            own = F.when(F.abs(F.col("_hi") - F.col("_lo")) <= bin_width * GROWTH**n, n).otherwise(own)
         return rows.withColumn("_own", own.cast("int"))
 
     def binned(rows: DataFrame, has: Sequence[int]) -> DataFrame:
@@ -145,8 +147,8 @@ def overlap_join(
         wide = F.element_at(F.array(*[F.lit(bin_width * GROWTH**n).cast("long") for n in range(levels)]), F.col("_level") + 1)
         out = rows.withColumn("_level", F.explode(go)).withColumn("_wide", wide)
         floor = lambda t: F.expr(f"({t} div _wide) - if({t} % _wide < 0, 1, 0)")
-        out = out.withColumn("_first", floor("_lo"))
-        return out.withColumn("_bin", F.explode(F.sequence("_first", floor("(_hi - 1)")))).drop("_wide")
+        out = out.withColumn("_first", floor("least(_lo, _hi)"))
+        return out.withColumn("_bin", F.explode(F.sequence("_first", floor("greatest(_lo, _hi - 1)")))).drop("_wide")
 
     a, b = spans(left, left_span, "l"), spans(right, right_span, "r")
     levels_of = lambda df: [r["_own"] for r in df.select("_own").distinct().collect()]  # noqa: E731  `levels` at most

@@ -86,6 +86,31 @@ def test_overlaps(spark, width, levels, hot):
     assert sorted((r["l"]["id"], r["r"]["id"]) for r in got.collect()) == sorted(want) and want
 
 
+@pytest.mark.parametrize(("width", "levels", "hot"), [(1, 6, 10**6), (4, 2, 3), (2, 12, 1)])
+def test_moments_lie_in_spans(spark, width, levels, hot):
+    rng = random.Random(width)
+    spans = lambda n: [(i, rng.choice(["a", "b", None]), lo := rng.randrange(-60, 90), rng.choice([lo, lo, lo - 3, lo + 1, lo + rng.randrange(20), lo + rng.randrange(150), None])) for i in range(n)]
+    left, right = spans(120), spans(120)
+    schema = "id int, k string, lo long, hi long"
+    got = overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], ("lo", "hi"), ("lo", "hi"), width, levels, hot, moments=True)
+    want = [(a[0], b[0]) for a in left for b in right if a[1] and a[1] == b[1] and a[3] is not None and b[3] is not None and a[2] < b[3] and b[2] < a[3]]
+    assert sorted((r["l"]["id"], r["r"]["id"]) for r in got.collect()) == sorted(want)
+    assert any(left[i][2] >= left[i][3] for i, _ in want) and any(right[j][2] >= right[j][3] for _, j in want)
+
+
+def test_outages_and_runs_of_no_time_equal_duckdb(spark, tmp_path):
+    from qaloom.plans import streams
+
+    at = lambda minute: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=minute)
+    rows = [(5, at(0), 3, "view", 60.0), (10, at(9), 3, "error", 0.0), (15, at(0), 3, "error", 0.01), (20, at(8), 3, "view", 0.0), (25, at(7), 3, "error", 2.0), (30, at(9), 3, "view", 0.0)]
+    c = duckdb.connect()
+    c.register("made", pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"]))
+    c.execute(f"COPY (SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM made) TO '{tmp_path}/events.parquet'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(c.execute(streams.R.sql["overlapping_outages"]).fetchall())
+    assert sorted(map(tuple, streams.overlapping_outages(spark, str(tmp_path)).collect())) == want and [r[:3] for r in want] == [(5, 2, 10), (20, 1, 25)]
+
+
 def test_no_join_compares_all_pairs(spark):
     l, r, _, _ = tables(spark, 1)
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
