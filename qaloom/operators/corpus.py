@@ -36,21 +36,22 @@ def union(gold: DataFrame, other: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_id", F.xxhash64("doc_id", "section", "is_distractor", "text"))
 
 
-def embed(df: DataFrame, embedder: Callable[[list[str]], Sequence[Sequence[float]]], text: str = "text", batch: int = BATCH, to: str = "embedding") -> DataFrame:
+def embed(df: DataFrame, embedder: Callable[[list[str]], Sequence[Sequence[float]]], text: str = "text", batch: int = BATCH, to: str = "embedding", double: bool = False) -> DataFrame:
     """``df`` and a unit vector of each text: ``embedder`` is a seam, called with at most ``batch`` texts.
 
-    A null text is an empty one; a zero vector stays zero.
+    A null text is an empty one; a zero vector stays zero.  An index holds floats; ``double`` leaves the vectors as they were computed.
     """
+    kind = "double" if double else "float"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             said = [t or "" for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
             found = [np.asarray(v, np.float64) for at in range(0, len(said), batch) for v in embedder(said[at : at + batch])]
-            unit = [(v / n if (n := np.linalg.norm(v)) else v).astype(np.float32) for v in found]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(unit, pa.list_(pa.float32()))], names=[*rows.schema.names, to])
+            unit = [(v / n if (n := np.linalg.norm(v)) else v).astype(np.float64 if double else np.float32) for v in found]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(unit, pa.list_(pa.float64() if double else pa.float32()))], names=[*rows.schema.names, to])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
-    return df.mapInArrow(work, f"{schema}, `{to}` array<float>")
+    return df.mapInArrow(work, f"{schema}, `{to}` array<{kind}>")
 
 
 def build_index(chunks: DataFrame, path: str, model: str, top_k: int, template: str = "") -> dict:

@@ -55,9 +55,9 @@ LENGTHS = ", ".join(f"(length(text) - length(replace(text, '{v}', '')))::DOUBLE
   SELECT doc_id, section, CAST(5 AS BIGINT) AS dims, CAST(round(CASE WHEN n = 0 THEN 0 ELSE a / n END * 1000) AS BIGINT) AS first_1000, CASE WHEN n = 0 THEN 0 ELSE 1 END AS length FROM sized"""
 )
 def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
-    made = corpus.embed(_corpus(spark, d).select("doc_id", "section", "text"), _vowel_counts)
+    made = corpus.embed(_corpus(spark, d).select("doc_id", "section", "text"), _vowel_counts, double=True)
     v = F.col("embedding")
-    return made.select("doc_id", "section", F.size(v).cast("long").alias("dims"), F.round(v[0].cast("double") * 1000).cast("long").alias("first_1000"), F.round(F.sqrt(retrieval.dot(v, v)), 3).cast("int").alias("length"))
+    return made.select("doc_id", "section", F.size(v).cast("long").alias("dims"), F.round(v[0] * 1000).cast("long").alias("first_1000"), F.round(F.sqrt(retrieval.dot(v, v)), 3).cast("int").alias("length"))
 
 
 @R.query(f"WITH {CORPUS} SELECT 5 AS dim, 3 AS top_k, count(*) AS chunks_total, count(*) FILTER (NOT is_distractor) AS chunks_gold, count(*) FILTER (is_distractor) AS chunks_distractor, 'vowel counts' AS embed_model FROM corpus")

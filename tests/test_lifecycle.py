@@ -223,3 +223,19 @@ def test_split_tops_up_and_trims(spark):
         got = split.stratified_split(df, "id", "of", "kind", k)
         assert got.where("part = 'test'").count() == k and got.count() == 100 and got.columns == ["id", "of", "kind", "part"]
     checks.require_empty(split.leaks(got.where("part = 'train'"), got.where("part = 'test'"), "id", ["kind"]).where("reason = 'same id'"), "leak")
+
+
+def test_vectors_keep_what_floats_would_round(spark, tmp_path):
+    """Components that a float lifts over a half, or lowers under it."""
+    import duckdb
+
+    from qaloom.plans import lifecycle
+
+    counts = [(47, 47, 17, 37, 18), (62, 75, 57, 48, 87), (72, 20, 85, 86, 94), (53, 43, 43, 50, 98)]
+    spark.createDataFrame([(k, "".join(v * n for v, n in zip("aeiou", c, strict=True))) for k, c in enumerate(counts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(c.execute(lifecycle.R.sql["chunk_vectors"]).fetchall())
+    assert sorted(map(tuple, lifecycle.chunk_vectors(spark, str(tmp_path)).collect())) == want and len(want) > 2
