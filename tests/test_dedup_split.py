@@ -91,3 +91,40 @@ def test_pairs_and_fates_against_plain_loops(spark):
     leaks = split.leaks(df.where("id % 2 = 0"), df.where("id % 2 = 1 OR id = 4"), "id", ["q", "a"]).collect()
     side = lambda i: {0, 1} if i == 4 else {i % 2}
     assert sorted(tuple(r) for r in leaks) == sorted([("same id", 4, 4)] + [("same fact", i, j) for i, j in pairs if side(i) != side(j) or len(side(i)) == 2])
+
+
+def test_candidates_are_few(spark):
+    """Eighty texts of fifteen words of their own and 85 of all: one join of shared words made 28,440 rows of them."""
+    df = spark.range(80).selectExpr("id", "concat_ws(' ', transform(sequence(1, 100), k -> if(k <= 15, concat('own', id, 'w', k), concat('all', k)))) AS text")
+    classes = dedup.token_classes(df.unionByName(spark.createDataFrame([(80, "own3w1 all20"), (81, "own3w1 all20 all21"), (82, "all20 own3w1 all21 all22 all23"), (83, "own3w1 all20 all21 all22")], "id long, text string")), "id", ["text"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = dedup.similar_classes(classes)
+        assert sorted(map(tuple, found.collect())) == [(82, 83)]
+        plan, rows = [found._jdf.queryExecution().executedPlan()], []
+        while plan:
+            node = plan.pop()
+            plan += [node.children().apply(k) for k in range(node.children().size())]
+            if "Join" in node.nodeName():
+                rows.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(rows) > 2 and max(rows) < 2_000
+
+
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (1, 2), (9, 10), (1, 1)])
+def test_similar_classes_at_any_threshold(spark, num, den):
+    import random
+
+    rng = random.Random(num)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        kept = rng.sample(base[: rng.choice([2, 5, 20, 60])], k=2)
+        kept = rng.choice(rows)[1].split() if rows and rng.random() < 0.7 else kept + rng.sample(base, rng.randrange(30))
+        kept = [w for w in kept if rng.random() < 0.95] + (["x%d" % rng.randrange(9)] if rng.random() < 0.3 else [])
+        rows.append((i, " ".join(kept)))
+    sets = {i: set(t.split()) for i, t in rows}
+    want = sorted((i, j) for i in sets for j in sets if i < j and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) > 0)
+    got = dedup.same_fact_pairs(spark.createDataFrame(rows, "id long, text string"), "id", ["text"], num, den)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 5
