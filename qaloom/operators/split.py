@@ -60,11 +60,11 @@ def stratified_split(df: DataFrame, key: str, stratum: str, kind: str, k: int, s
 def leaks(train: DataFrame, test: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(reason, a, b): ids in both parts, and facts of one part that the other repeats."""
     both = train.select(key).join(test.select(key), key, "left_semi").select(F.lit("same id").alias("reason"), F.col(key).alias("a"), F.col(key).alias("b"))
-    rows = train.select(key, *columns).withColumn("part", F.lit(0)).unionByName(test.select(key, *columns).withColumn("part", F.lit(1)))
-    classes = Tables(train.sparkSession).save(token_classes(rows.drop("part").distinct(), key, columns))
-    member = classes.select("id", "class").join(rows.select(F.col(key).alias("id"), "part").distinct(), "id")
-    of = lambda part: member.where(F.col("part") == part).select("id", "class")
-    linked = similar_classes(classes)
+    of_part = lambda df, part: df.select(F.struct(F.col(key).alias("key"), F.lit(part).alias("part")).alias("_key"), *columns)
+    classes = token_classes(of_part(train, 0).unionByName(of_part(test, 1)), "_key", columns)
+    member = classes.select("id", "class")
+    of = lambda part: member.where(F.col("id.part") == part).select(F.col("id.key").alias("id"), "class")
+    linked = similar_classes(classes, sides=member.groupBy("class").agg(F.bit_or(F.col("id.part") + 1).alias("side")))
     pairs = pairs_between(of(0), of(1), linked).union(pairs_between(of(1), of(0), linked)).distinct()
     return both.unionByName(pairs.select(F.lit("same fact").alias("reason"), "a", "b"))
 

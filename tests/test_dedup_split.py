@@ -128,3 +128,11 @@ def test_similar_classes_at_any_threshold(spark, num, den):
     want = sorted((i, j) for i in sets for j in sets if i < j and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) > 0)
     got = dedup.same_fact_pairs(spark.createDataFrame(rows, "id long, text string"), "id", ["text"], num, den)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 5
+
+
+
+def test_leaks_of_an_id_with_two_texts(spark):
+    """Each part's text of an id counts in that part only."""
+    train = spark.createDataFrame([(4, "when is the clinic open"), (8, "when is the clinic open"), (5, "what does a visit cost")], "id long, text string")
+    test = spark.createDataFrame([(4, "what does a visit cost"), (6, "no such thing")], "id long, text string")
+    assert sorted(map(tuple, split.leaks(train, test, "id", ["text"]).collect())) == [("same fact", 4, 5), ("same id", 4, 4)]
