@@ -10,11 +10,10 @@ failures without an answer it is given up.
 
 from __future__ import annotations
 
-import datetime as dt
+import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -26,13 +25,6 @@ from qaloom.streaming.windows import into_table
 ATTEMPT = "question_id long, producer string, attempt long, answer string, error string, ts timestamp"
 STATUS = "question_id long, producer string, status string, answer string, attempt long, failures long, retry_at timestamp, step long"
 LIMITED = "429"
-EPOCH = dt.datetime(1970, 1, 1)
-
-
-def micros(ts) -> int:
-    """Microseconds of a time as pandas or the Arrow batches hold it, UTC."""
-    t = pd.Timestamp(ts)
-    return ((t.tz_convert("UTC").tz_localize(None) if t.tzinfo else t) - pd.Timestamp(EPOCH)) // pd.Timedelta(microseconds=1)
 
 
 def wait_seconds(failures: int, limited: bool) -> int:
@@ -41,59 +33,63 @@ def wait_seconds(failures: int, limited: bool) -> int:
 
 
 class Standing(StatefulProcessor):
-    """The state of one key; ``ttl_ms`` is how long a repeated attempt is known as one."""
+    """The state of one key; ``ttl_ms`` is how long a repeated attempt is known as one.
+
+    A call to the state store costs more than all else, so what a key has is one value, read and written
+    once a batch: the attempts seen are in it, with the times they came, and expired ones go when it is written.
+    Times are microseconds, in and out.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "answer string, good_us long, good_attempt long, failures long, failed_us long, failed_attempt long, limited boolean, permanent boolean, step long")
-        self.seen = handle.getMapState("seen", "attempt long", "us long", self.ttl_ms)
+        self.now = handle.getValueState("now", "answer string, good_us long, good_attempt long, failures long, failed_us long, failed_attempt long, limited boolean, permanent boolean, step long, seen array<long>, seen_ms array<long>")
 
-    def _row(self, key, s: list, due: bool = False) -> pd.DataFrame:
+    def _row(self, key, s: list, due: bool = False) -> Row:
         answer, _, good_attempt, failures, failed_us, _, limited, permanent, step = s
         good = good_attempt is not None
         over = not good and (failures >= TRIES or permanent)
-        retry = None if good or over else pd.Timestamp(EPOCH) + pd.Timedelta(microseconds=failed_us + wait_seconds(failures, limited) * 1_000_000)
+        retry = None if good or over else failed_us + wait_seconds(failures, limited) * 1_000_000
         status = "done" if good else "given_up" if over else "due" if due else "retry"
-        return pd.DataFrame({"question_id": [key[0]], "producer": [key[1]], "status": [status], "answer": [answer], "attempt": pd.array([good_attempt], "Int64"), "failures": [failures], "retry_at": pd.Series([retry], dtype="datetime64[us]"), "step": [step]})
+        return Row(question_id=key[0], producer=key[1], status=status, answer=answer, attempt=good_attempt, failures=failures, retry_us=retry, step=step)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = list(self.now.get()) if self.now.exists() else [None, None, None, 0, None, None, False, False, 0]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, now = self.now.get(), timerValues.getCurrentProcessingTimeInMs()
+        s = list(held[:9]) if held else [None, None, None, 0, None, None, False, False, 0]
+        seen = {k: ms for k, ms in zip(held[9], held[10], strict=True) if ms + self.ttl_ms > now} if held else {}
         changed = False
-        for batch in rows:
-            for attempt, answer, error, ts in zip(batch["attempt"].tolist(), batch["answer"], batch["error"], batch["ts"], strict=True):
-                if self.seen.containsKey((attempt,)):
-                    continue
-                us = micros(ts)
-                self.seen.updateValue((attempt,), (us,))
-                changed = True
-                error = None if pd.isna(error) else error
-                if not error:
-                    if s[1] is None or (us, attempt) > (s[1], s[2]):
-                        s[0], s[1], s[2] = (None if pd.isna(answer) else answer), us, attempt
-                    continue
-                s[3] += 1
-                if s[4] is None or (us, attempt) > (s[4], s[5]):
-                    s[4], s[5], s[6] = us, attempt, LIMITED in error
-                s[7] = s[7] or not transient(error)
+        for row in rows:
+            attempt, answer, error, us = row["attempt"], row["answer"], row["error"], row["us"]
+            if attempt in seen:
+                continue
+            seen[attempt] = now
+            changed = True
+            if not error:
+                if s[1] is None or (us, attempt) > (s[1], s[2]):
+                    s[0], s[1], s[2] = answer, us, attempt
+                continue
+            s[3] += 1
+            if s[4] is None or (us, attempt) > (s[4], s[5]):
+                s[4], s[5], s[6] = us, attempt, LIMITED in error
+            s[7] = s[7] or not transient(error)
         if not changed:
             return
         s[8] += 1
-        self.now.update(tuple(s))
+        self.now.update((*s, list(seen), list(seen.values())))
         row = self._row(key, s)
-        if row["status"][0] == "retry":
-            self.handle.registerTimer(max(s[4] // 1000 + 1000 * wait_seconds(s[3], s[6]), timerValues.getCurrentProcessingTimeInMs() + 1))
+        if row["status"] == "retry":
+            self.handle.registerTimer(max(s[4] // 1000 + 1000 * wait_seconds(s[3], s[6]), now + 1))
         yield row
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        s = list(self.now.get())
-        row = self._row(key, s, due=True)
-        if row["status"][0] == "due" and expiredTimerInfo.getExpiryTimeInMs() >= s[4] // 1000 + 1000 * wait_seconds(s[3], s[6]):  # not an earlier failure's
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.now.get()
+        s = list(held[:9])
+        if self._row(key, s, due=True)["status"] == "due" and expiredTimerInfo.getExpiryTimeInMs() >= s[4] // 1000 + 1000 * wait_seconds(s[3], s[6]):  # not an earlier failure's
             s[8] += 1
-            self.now.update(tuple(s))
-            yield row.assign(step=s[8])
+            self.now.update((*s, list(held[9]), list(held[10])))
+            yield self._row(key, s, due=True)
 
     def close(self) -> None:
         pass
@@ -101,8 +97,6 @@ class Standing(StatefulProcessor):
 
 def transient(error: str) -> bool:
     """Whether an error may pass by itself."""
-    import re
-
     return re.search(TRANSIENT, error) is not None
 
 
@@ -111,7 +105,9 @@ def standings(attempts: DataFrame, ttl_ms: int = 30 * 24 * 3600 * 1000) -> DataF
 
     attempts: a stream of ATTEMPT.  The state store must be RocksDB (``windows.on_disk``).
     """
-    return attempts.groupBy("question_id", "producer").transformWithStateInPandas(Standing(ttl_ms), STATUS, "Update", "ProcessingTime")
+    timed = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+    made = timed.groupBy("question_id", "producer").transformWithState(Standing(ttl_ms), STATUS.replace("retry_at timestamp", "retry_us long"), "Update", "ProcessingTime")
+    return made.select("question_id", "producer", "status", "answer", "attempt", "failures", F.timestamp_micros("retry_us").alias("retry_at"), "step")
 
 
 def catch_up(attempts: DataFrame, table: SnapshotTable, name: str, checkpoint: str, ttl_ms: int = 30 * 24 * 3600 * 1000) -> StreamingQuery:

@@ -144,3 +144,30 @@ def test_a_failed_key_falls_due_once(spark, tmp_path):
     r.arrive([(1, "p", 6, "late", None, at(2))])
     got = {x["question_id"]: (x["status"], x["answer"]) for x in resume.newest(r.table.read()).collect()}
     assert got == {1: ("done", "late"), 2: ("done", "yes again"), 3: ("retry", None)}
+
+
+def test_a_key_costs_one_read_and_one_write():
+    """Calls to the state store, by which a stream of many keys is slow."""
+    from types import SimpleNamespace
+
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+    value, timers, now = Value(), [], SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 1_000)
+    standing = resume.Standing(ttl_ms=500)
+    standing.init(SimpleNamespace(getValueState=lambda *a: value, registerTimer=timers.append))
+    tries = [{"attempt": k, "answer": None, "error": "timeout", "us": k} for k in (1, 2, 1)]
+    (row,) = standing.handleInputRows((1, "p"), iter(tries), now)
+    assert (row["status"], row["failures"], row["retry_us"], value.calls, timers) == ("retry", 2, 4_000_002, 2, [4_000])
+    assert list(standing.handleInputRows((1, "p"), iter(tries), now)) == [] and value.calls == 3
+    later = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 1_600)  # the attempts have expired: one comes as new
+    (row,) = standing.handleInputRows((1, "p"), iter(tries[:1]), later)
+    assert (row["failures"], value.held[9]) == (3, [1])
