@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from qaloom.operators import dedup, split
+from qaloom.sources.durable import shared_dir
 
 
 def keep(spark, edges):
@@ -136,3 +137,22 @@ def test_leaks_of_an_id_with_two_texts(spark):
     train = spark.createDataFrame([(4, "when is the clinic open"), (8, "when is the clinic open"), (5, "what does a visit cost")], "id long, text string")
     test = spark.createDataFrame([(4, "what does a visit cost"), (6, "no such thing")], "id long, text string")
     assert sorted(map(tuple, split.leaks(train, test, "id", ["text"]).collect())) == [("same fact", 4, 5), ("same id", 4, 4)]
+
+
+def test_greedy_dedup_moves_and_keeps_little(spark):
+    """Whole sets are shuffled where classes are made and once more; what is left on disk holds none."""
+    from pathlib import Path
+
+    def kept():
+        return sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+    def shuffled():
+        return sum(x.totalShuffleWrite() for x in map(spark.sparkContext._jsc.sc().statusStore().executorList(True).apply, range(1)))
+
+    df = spark.range(600).selectExpr("id", "concat_ws(' ', transform(sequence(1, 200), k -> concat('w', pmod(xxhash64(id, k), 5000)))) AS text").localCheckpoint()
+    size = df.selectExpr("8 * sum(size(array_distinct(split(text, ' ')))) AS n").first()["n"]
+    moved, had = shuffled(), kept()
+    got = dedup.greedy_dedup(df, "id", ["text"])
+    assert kept() - had < size / 4
+    assert got.where("kept").count() == 600
+    assert shuffled() - moved < 2 * size
