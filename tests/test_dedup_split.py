@@ -156,3 +156,18 @@ def test_greedy_dedup_moves_and_keeps_little(spark):
     assert kept() - had < size / 4
     assert got.where("kept").count() == 600
     assert shuffled() - moved < 2 * size
+
+
+def test_near_copies_meet_kept_ones_only(spark, monkeypatch):
+    """Sixty near copies of one text are 1,770 pairs, of which whole sets need to meet in 59."""
+    met, alike = [], dedup._alike
+    monkeypatch.setattr(dedup, "_alike", lambda pairs, sets, *rest: met.append(pairs.count()) or alike(pairs, sets, *rest))
+    df = spark.range(60).selectExpr("id", "concat_ws(' ', concat('own', id), transform(sequence(1, 100), k -> concat('all', k))) AS text")
+    assert [r["id"] for r in dedup.greedy_dedup(df, "id", ["text"]).where("kept").collect()] == [0]
+    assert sum(met) == 59
+
+
+def test_a_chain_of_likes_keeps_every_other(spark):
+    """Each text is like its neighbours and no other: more rounds than there are tables in one plan."""
+    df = spark.range(50).selectExpr("id", "concat_ws(' ', transform(sequence(1, 20), k -> concat('w', 2 * id + k))) AS text")
+    assert sorted(r["id"] for r in dedup.greedy_dedup(df, "id", ["text"]).where("kept").collect()) == list(range(0, 50, 2))
