@@ -53,3 +53,16 @@ def test_bm25_rrf_fuses_whole_rankings(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in catalogue.queries()["bm25_rrf"](spark, str(tmp_path)).collect()}
     want = {k: 1 / (60 + n - k) + 1 / (61 + k) for k in range(n)}
     assert got == pytest.approx({k: want[k] for k in [*range(5), *range(n - 5, n)]})
+
+
+@pytest.mark.parametrize("name", ["sql_blocks", "block_kinds"])
+def test_blank_lines_and_other_breaks(spark, tmp_path, name):
+    """Empty lines and lines of spaces are blank, and only line feeds end a line, as in the SQL."""
+    long = "a line of more than forty characters, in all forty-nine"
+    texts = ["", "\n\n\n", f"{long}\n\n{long}x", f"   \n{long}", " " * 45 + f"\n{long}", f"{long}\x0b{long}\n{long} x", f"{long}\r\nshort\r\n\r{long}", f"a | {long}\x85\n\nb | {long}"]
+    spark.createDataFrame([(k, x, "web") for k, x in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    said = c.execute(catalogue.oracle_sql()[name])
+    assert canonical(df.collect(), df.columns) == canonical(said.fetchall(), [x[0] for x in said.description])
